@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from itinera import constants as K
+from itinera.functions.once import bind
 
 
 def _c(col) -> Column:
@@ -29,16 +30,22 @@ def city_from_station(name, suffixes=tuple(K.STATION_SUFFIXES), articles=()) ->
     ``articles`` (for example ``("Le", "La", "Les")``) keeps two words when the
     first one is an article; by default the first word alone is the city (P13).
     """
-    city = F.trim(F.coalesce(_c(name), F.lit("")))
-    for suffix in suffixes:
-        city = F.when(city.rlike("(?i)^sainte?"), city) \
-            .otherwise(F.regexp_replace(city, "(?i)" + suffix, ""))
-    words = F.split(F.trim(city), r"\s+")
-    first = words[0]
-    if articles:
-        first = F.when(first.isin(list(articles)), F.concat_ws(" ", F.slice(words, 1, 2))) \
-            .otherwise(first)
-    return F.trim(F.when(city.contains("-"), city).otherwise(first))
+    def cut(station: Column) -> Column:
+        shortened = station
+        for suffix in suffixes:
+            shortened = F.regexp_replace(shortened, "(?i)" + suffix, "")
+        # a cut never changes how the name begins, so one test covers all suffixes
+        return F.trim(F.when(station.rlike("(?i)^sainte?"), station).otherwise(shortened))
+
+    def lead(city: Column) -> Column:
+        words = F.split(city, r"\s+")
+        first = words[0]
+        if articles:
+            first = F.when(first.isin(list(articles)), F.concat_ws(" ", F.slice(words, 1, 2))) \
+                .otherwise(first)
+        return F.when(city.contains("-"), city).otherwise(first)
+
+    return bind(bind(F.trim(F.coalesce(_c(name), F.lit(""))), cut), lead)
 
 
 def service_class(short_name, long_name, rules=tuple(K.SERVICE_CLASS_RULES),

@@ -80,7 +80,8 @@ def misspell(city: Column, variants: Column | None = None, seed: int = 42) -> Co
     return F.when(F.coalesce(F.size(variants), F.lit(0)) > 0, pick).otherwise(generic)
 
 
-def expand_templates(templates: DataFrame, places: DataFrame, n_templates: int, n_places: int) -> DataFrame:
+def expand_templates(templates: DataFrame, places: DataFrame, n_templates: int, n_places: int,
+                     marks: tuple[str, str] = ("{origin}", "{destination}")) -> DataFrame:
     """Every template with every ordered pair of different places.
 
     ``templates`` has (t, template, category, difficulty, lower) and ``places``
@@ -97,8 +98,8 @@ def expand_templates(templates: DataFrame, places: DataFrame, n_templates: int,
         (at + 1).alias(ID), F.floor(at / pairs).cast("bigint").alias("t"), first.alias("o"),
         F.when(other >= first, other + 1).otherwise(other).alias("d"))
     end = lambda k, name: places.select(F.col("k").cast("bigint").alias(k), F.col("name").alias(name))
-    filled = F.replace(F.replace("template", F.lit("{origin}"), F.col("origin")),
-                       F.lit("{destination}"), F.col("destination"))
+    filled = F.replace(F.replace("template", F.lit(marks[0]), F.col("origin")),
+                       F.lit(marks[1]), F.col("destination"))
     return (numbers.join(templates.withColumn("t", F.col("t").cast("bigint")), "t")
             .join(end("o", "origin"), "o").join(end("d", "destination"), "d")
             .select(ID, F.when(F.col("lower"), F.lower(filled)).otherwise(filled).alias("sentence"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from itinera import constants as K
 from itinera.functions import text as T
+from itinera.functions.once import bind, with_computed
 from itinera.operators.matching import INLINE_KEYS, find_places
 
 
@@ -49,8 +50,8 @@ def keyword_end(norm: Column, places: Column, tokens: list[str]) -> Column:
     The text behind a later keyword is part of the text behind the first one, so
     a place missing there is missing everywhere after it.
     """
-    rest = _after_first(norm, tokens)
-    return F.get(F.filter(places, lambda p: rest.contains(p)), 0)
+    return bind(_after_first(norm, tokens),
+                lambda rest: F.get(F.filter(places, lambda p: rest.contains(p)), 0))
 
 
 def _preceded(norm: Column, place: Column, tokens: list[str]) -> Column:
@@ -68,13 +69,13 @@ def extract_orders(orders: DataFrame, gazetteer: DataFrame, text_col: str = "sen
     Cascade of B1, I3, I4 and I5; the place list (C4) is computed once per row.
     With one place only, the row is valid with one end missing (P4).
     """
-    found = find_places(orders, gazetteer, text_col, id_col, inline_keys=inline_keys)
+    given = [c for c in orders.columns if c not in ("origin", "destination", "valid", "method")]
+    found = find_places(orders.select(*given), gazetteer, text_col, id_col, inline_keys=inline_keys)
     norm, places = F.col("norm"), F.col("places")
     first = F.get(places, 0)
-    rows = (found
-            .withColumn("_order", is_order(norm, places, token_match))
-            .withColumn("_kw_o", keyword_end(norm, places, K.ORIGIN_TOKENS))
-            .withColumn("_kw_d", keyword_end(norm, places, K.DESTINATION_TOKENS)))
+    rows = with_computed(found, _order=is_order(norm, places, token_match),
+                         _kw_o=keyword_end(norm, places, K.ORIGIN_TOKENS),
+                         _kw_d=keyword_end(norm, places, K.DESTINATION_TOKENS))
     by_keywords = F.col("_kw_o").isNotNull() & F.col("_kw_d").isNotNull()
     direct = _any_in(norm, K.TICKET_WORDS) & (F.size(places) >= 2)
     single = F.size(places) == 1
@@ -89,10 +90,9 @@ def extract_orders(orders: DataFrame, gazetteer: DataFrame, text_col: str = "sen
     method = (F.when(~F.col("_order"), "invalid").when(by_keywords, "keywords")
               .when(direct, "direct_format")
               .when(origin.isNotNull() | destination.isNotNull(), "heuristic").otherwise("failed"))
-    picked = (rows.withColumn("method", method)
-              .withColumn("_o", F.when(F.col("_order"), origin))
-              .withColumn("_d", F.when(F.col("_order"), destination))
-              .withColumn("valid", ~F.col("method").isin("invalid", "failed")))
+    picked = with_computed(rows, method=method, _o=F.when(F.col("_order"), origin),
+                           _d=F.when(F.col("_order"), destination)) \
+        .withColumn("valid", ~F.col("method").isin("invalid", "failed"))
     names = gazetteer.select("norm", "canonical")
     return (picked
             .join(names.select(F.col("norm").alias("_o"), F.col("canonical").alias("origin")), "_o", "left")
@@ -126,13 +126,11 @@ def first_span(tokens: Column, labels: Column, kind: str) -> Column:
 
 def decode_spans(df: DataFrame, tokens: str = "tokens", labels: str = "labels") -> DataFrame:
     """E7 for a table: add ``origin`` and ``destination``; lengths must agree."""
-    same = F.size(tokens) == F.size(labels)
-    checked = df.withColumn("_ok", F.when(~same, F.raise_error(
-        F.lit("tokens and labels differ in length"))).otherwise(F.lit(True)).cast("boolean"))
-    return (checked.filter(F.col("_ok"))
-            .withColumn("origin", first_span(F.col(tokens), F.col(labels), "ORIGIN"))
-            .withColumn("destination", first_span(F.col(tokens), F.col(labels), "DEST"))
-            .drop("_ok"))
+    differs = F.size(tokens) != F.size(labels)
+    wrong = F.raise_error(F.lit("tokens and labels differ in length")).cast("string")
+    span = lambda kind: F.when(differs, wrong).otherwise(
+        first_span(F.col(tokens), F.col(labels), kind))
+    return with_computed(df, origin=span("ORIGIN"), destination=span("DEST"))
 
 
 def all_spans(df: DataFrame, id_col: str, tokens: str = "tokens", labels: str = "labels") -> DataFrame:

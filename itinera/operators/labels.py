@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from itinera import constants as K
 from itinera.functions import text as T
+from itinera.functions.once import bind, with_computed
 
 ALL_LABELS = list(K.LABEL_IDS)
 
@@ -18,22 +19,28 @@ def entity_positions(tokens: Column, entity: Column, known: Column, floor: float
     The window is as long as the entity. A similar window counts only when the
     entity is a ``known`` dictionary place.
     """
-    parts = F.transform(T.label_tokens(entity), lambda t: F.trim(F.lower(t)))
-    lowered = F.transform(tokens, lambda t: F.trim(F.lower(t)))
-    size = F.size(parts)
-    key = T.fuzzy_key(entity)
+    size = F.size(T.label_tokens(entity))
 
-    def hit(start: Column) -> Column:
-        same = F.slice(lowered, start + 1, size) == parts
-        window = T.fuzzy_key(F.array_join(F.slice(tokens, start + 1, size), ""))
-        edits = F.levenshtein(window, key)
-        longest = F.greatest(F.length(window), F.length(key))
-        near = (edits <= max_distance) & (F.lit(1.0) - edits / F.greatest(longest, F.lit(1)) > floor)
-        return same | (known & near)
+    def search(e: Column) -> Column:
+        last = F.size(tokens) - e["size"]
 
-    last = F.size(tokens) - size
-    starts = F.filter(F.sequence(F.lit(0), last), hit)
-    return F.when((size > 0) & (last >= 0), starts).otherwise(F.array().cast("array<int>"))
+        def hit(start: Column) -> Column:
+            same = F.slice(e["lowered"], start + 1, e["size"]) == e["parts"]
+            window = T.fuzzy_key(F.array_join(F.slice(tokens, start + 1, e["size"]), ""))
+            return same | (known & bind(window, near))
+
+        def near(window: Column) -> Column:
+            edits = F.levenshtein(window, e["key"])
+            longest = F.greatest(F.length(window), F.length(e["key"]), F.lit(1))
+            return (edits <= max_distance) & (F.lit(1.0) - edits / longest > floor)
+
+        starts = F.filter(F.sequence(F.lit(0), last), hit)
+        return F.when((e["size"] > 0) & (last >= 0), starts).otherwise(F.array().cast("array<int>"))
+
+    lower = lambda t: F.trim(F.lower(t))
+    return bind(F.struct(F.transform(T.label_tokens(entity), lower).alias("parts"),
+                         F.transform(tokens, lower).alias("lowered"),
+                         size.alias("size"), T.fuzzy_key(entity).alias("key")), search)
 
 
 def bio_labels(orders: DataFrame, gazetteer: DataFrame, text_col: str = "sentence") -> DataFrame:
@@ -43,21 +50,20 @@ def bio_labels(orders: DataFrame, gazetteer: DataFrame, text_col: str = "sentenc
     last hit. Invalid rows are all 'O'.
     """
     places = gazetteer.select(F.lower(F.trim("canonical")).alias("_p")).distinct().withColumn("_m", F.lit(True))
-    rows = orders.withColumn("tokens", T.label_tokens(text_col))
+    rows = with_computed(orders, tokens=T.label_tokens(text_col))
     for end in ("origin", "destination"):
         rows = (rows.withColumn("_p", F.lower(F.trim(F.coalesce(end, F.lit("")))))
                 .join(places.withColumnRenamed("_m", f"_known_{end}"), "_p", "left").drop("_p"))
-    tokens = F.col("tokens")
-    for end in ("origin", "destination"):
-        rows = rows.withColumn(f"_{end}", entity_positions(
-            tokens, F.trim(F.coalesce(end, F.lit(""))), F.coalesce(f"_known_{end}", F.lit(False))))
-    width = lambda end: F.size(T.label_tokens(F.coalesce(end, F.lit(""))))
-    o_at, o_end = F.get("_origin", 0), F.get("_origin", 0) + F.col("_ow")
-    behind = F.get(F.filter("_destination", lambda s: s >= o_end), 0)
-    d_at = F.coalesce(behind, F.element_at("_destination", -1))
-    rows = rows.withColumn("_ow", width("origin")).withColumn("_dw", width("destination"))
-    rows = rows.withColumn("_oa", o_at).withColumn(
-        "_da", F.when(F.size("_destination") > 0, d_at))
+    text = lambda end: F.trim(F.coalesce(end, F.lit("")))
+    known = lambda end: F.coalesce(f"_known_{end}", F.lit(False))
+    rows = with_computed(
+        rows, _ow=F.size(T.label_tokens(text("origin"))), _dw=F.size(T.label_tokens(text("destination"))),
+        _origin=entity_positions(F.col("tokens"), text("origin"), known("origin")),
+        _destination=entity_positions(F.col("tokens"), text("destination"), known("destination")))
+    rows = rows.withColumn("_oa", F.get("_origin", 0))
+    behind = F.get(F.filter("_destination", lambda s: s >= F.col("_oa") + F.col("_ow")), 0)
+    last = F.when(F.size("_destination") > 0, F.element_at("_destination", -1))
+    rows = with_computed(rows, _da=F.coalesce(behind, last))
 
     def label(i: Column) -> Column:
         def inside(at: str, w: str) -> Column:
@@ -68,7 +74,8 @@ def bio_labels(orders: DataFrame, gazetteer: DataFrame, text_col: str = "sentenc
                 .when(starts("_da"), "B-DEST").when(inside("_da", "_dw"), "I-DEST")
                 .when(starts("_oa"), "B-ORIGIN").when(inside("_oa", "_ow"), "I-ORIGIN").otherwise("O"))
 
-    return rows.select(*orders.columns, "tokens", F.transform("tokens", lambda t, i: label(i)).alias("labels"))
+    labelled = with_computed(rows, labels=F.transform("tokens", lambda t, i: label(i)))
+    return labelled.select(*orders.columns, "tokens", "labels")
 
 
 def label_problems(df: DataFrame, tokens: str = "tokens", labels: str = "labels") -> DataFrame:
@@ -76,7 +83,7 @@ def label_problems(df: DataFrame, tokens: str = "tokens", labels: str = "labels"
     domain = F.array(*[F.lit(label) for label in ALL_LABELS])
     unknown = ~F.forall(labels, lambda x: F.array_contains(domain, x))
     differs = F.size(tokens) != F.size(labels)
-    return df.withColumn("problem", F.when(differs, "length").when(unknown, "label")) \
+    return with_computed(df, problem=F.when(differs, "length").when(unknown, "label")) \
         .filter(F.col("problem").isNotNull())
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itinera.functions import text as T
+from itinera.functions.once import with_computed
 
 INLINE_KEYS = 20_000
 MAX_GRAM = 4
@@ -39,6 +40,21 @@ def _gram_sizes(keys: list[str]) -> dict[int, list[str]]:
     return {n: ks for n, ks in sorted(sizes.items()) if n <= MAX_GRAM}
 
 
+def _known_gram(keys: list[str], min_length: int):
+    def known(gram: Column) -> Column:
+        hit = gram.isin(keys)
+        return hit & (F.length(gram) >= min_length) if min_length else hit
+
+    return known
+
+
+def _numbered(n: int):
+    def numbered(gram: Column, i: Column) -> Column:
+        return F.struct(F.lit(n).alias("n"), i.alias("pos"), gram.alias("gram"))
+
+    return numbered
+
+
 def inline_places(norm: Column, keys: list[str], min_length: int = 3) -> Column:
     """C4 inside the row: matched keys, 1-grams first, then 2- to 4-grams, no repeats.
 
@@ -48,11 +64,7 @@ def inline_places(norm: Column, keys: list[str], min_length: int = 3) -> Column:
     words = F.split(norm, " ")
     parts = []
     for n, same_size in _gram_sizes(keys).items():
-        def known(gram: Column, n=n, same_size=same_size) -> Column:
-            hit = gram.isin(same_size)
-            return hit & (F.length(gram) >= min_length) if n == 1 else hit
-
-        parts.append(F.filter(_grams(words, n), known))
+        parts.append(F.filter(_grams(words, n), _known_gram(same_size, min_length if n == 1 else 0)))
     if not parts:
         return F.array().cast("array<string>")
     return F.array_distinct(F.concat(*parts))
@@ -61,9 +73,7 @@ def inline_places(norm: Column, keys: list[str], min_length: int = 3) -> Column:
 def _joined_places(df: DataFrame, gazetteer: DataFrame, id_col: str, min_length: int) -> DataFrame:
     """C4 as an n-gram equi-join, for dictionaries too large to travel with the plan."""
     words = F.split("norm", " ")
-    sized = [F.transform(_grams(words, n),
-                         lambda g, i, n=n: F.struct(F.lit(n).alias("n"), i.alias("pos"), g.alias("gram")))
-             for n in range(1, MAX_GRAM + 1)]
+    sized = [F.transform(_grams(words, n), _numbered(n)) for n in range(1, MAX_GRAM + 1)]
     grams = (df.select(id_col, F.explode(F.concat(*sized)).alias("g")).select(id_col, "g.*")
              .filter((F.col("n") > 1) | (F.length("gram") >= min_length)))
     hits = (grams.join(gazetteer.select(F.col("norm").alias("gram")), "gram")
@@ -81,11 +91,11 @@ def find_places(df: DataFrame, gazetteer: DataFrame, text_col: str, id_col: str,
     Two keys never share a canonical name (a key is the matching form of its
     name), so working on keys is the same as working on names.
     """
-    df = df.withColumn("norm", T.matching_form(text_col))
+    df = with_computed(df, norm=T.matching_form(text_col))
     keys = _inline_keys(gazetteer, inline_keys)
     if keys is None:
         return _joined_places(df, gazetteer, id_col, min_length)
-    return df.withColumn("places", inline_places(F.col("norm"), keys, min_length))
+    return with_computed(df, places=inline_places(F.col("norm"), keys, min_length))
 
 
 def place_mentions(df: DataFrame, gazetteer: DataFrame, text_col: str, id_col: str,

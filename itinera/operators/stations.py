@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from itinera import constants as K
 from itinera.functions import text as T
 from itinera.functions import transport as X
+from itinera.functions.once import with_computed
 from itinera.plans.ranking import first_in_group, rank_in_group
 
 
@@ -16,7 +17,8 @@ def build_stations(stops: DataFrame, prefix: str = K.NATIONAL_PREFIX, articles=(
     coded = stops.withColumn("uic_code", X.station_code("stop_id")) \
         .filter(F.col("uic_code").startswith(prefix))
     first = first_in_group(coded, ["uic_code"], ["seq"])
-    city = X.city_from_station("stop_name", articles=articles)
+    first = with_computed(first, _city=X.city_from_station("stop_name", articles=articles))
+    city = F.col("_city")
     return first.select(
         "uic_code", F.col("stop_name").alias("station_name"),
         T.station_form("stop_name").alias("station_name_normalized"),

@@ -32,4 +32,5 @@ def resolve_stream(orders: DataFrame, gazetteer: DataFrame, city_station: DataFr
 
 def first_seen(events: DataFrame, keys: list[str], time_col: str, delay: str = "1 hour") -> DataFrame:
     """K2: pass each key once; state is dropped ``delay`` behind the newest event."""
-    return events.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
+    timed = events.withColumn(time_col, F.col(time_col).cast("timestamp"))
+    return timed.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
