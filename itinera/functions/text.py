@@ -82,12 +82,13 @@ def normalize_apostrophes(col, legacy: bool = False) -> Column:
 
 def remove_non_alphanumeric(col, keep_spaces=True, keep_hyphens=True,
                             keep_apostrophes=True) -> Column:
-    """H5: blank out every character outside the keep set, then squeeze."""
-    keep = "a-zA-ZÀ-ÿ0-9"
-    keep += WHITESPACE if keep_spaces else ""
-    keep += r"\-" if keep_hyphens else ""
-    keep += "'" if keep_apostrophes else ""
-    return _squeeze(F.regexp_replace(_text(col), f"[^{keep}]", " "))
+    """H5: blank out every character outside the keep set, then squeeze.
+
+    White space is squeezed to one blank whether it is kept or blanked out, so
+    ``keep_spaces`` changes nothing and one pass over runs of other characters does both.
+    """
+    keep = "a-zA-ZÀ-ÿ0-9" + (r"\-" if keep_hyphens else "") + ("'" if keep_apostrophes else "")
+    return F.trim(F.regexp_replace(_text(col), f"[^{keep}]+", " "))
 
 
 def tokenize(col, keep_punctuation: bool = False) -> Column:

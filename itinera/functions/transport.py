@@ -15,7 +15,8 @@ def _c(col) -> Column:
 
 def station_code(stop_id) -> Column:
     """The eight digits at the end of a stop id, else null."""
-    return F.nullif(F.regexp_extract(_c(stop_id), r"(\d{8})$", 1), F.lit(""))
+    tail = F.substring(_c(stop_id), -8, 8)
+    return F.when(tail.rlike("^[0-9]{8}$"), tail)
 
 
 def clock_to_seconds(clock) -> Column:

@@ -60,9 +60,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, hub_degree: int = H
     most of the nodes.
     """
     store = TableStore(nodes.sparkSession, "components")
-    both = edges.select("src", "dst").unionByName(
-        edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) \
-        .filter(F.col("src") != F.col("dst")).distinct()
+    ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    both = (edges.filter(F.col("src") != F.col("dst"))
+            .select(F.inline(F.array(ends("src", "dst"), ends("dst", "src")))).distinct())
     graph = Adjacency(both, store, hub_degree)
     ids = nodes.select("node").unionByName(both.select(F.col("src").alias("node"))).distinct()
     labels, _ = store.write(ids.withColumn("component", F.col("node"))

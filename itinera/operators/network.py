@@ -63,16 +63,18 @@ def connections(segments: DataFrame, classes: DataFrame, min_trips: int = K.MIN_
                     "line_code", "trip_count"))
 
 
-def reverse_pairs(edges: DataFrame) -> DataFrame:
-    """Both ends exchanged, names included."""
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Every row and its reversal (names exchanged too), from a single pass over the input."""
     swap = {"origin_uic": "destination_uic", "destination_uic": "origin_uic",
             "origin_name": "destination_name", "destination_name": "origin_name"}
-    return edges.select(*[F.col(c).alias(swap.get(c, c)) for c in edges.columns]).select(*edges.columns)
+    there = F.struct(*[F.col(c).alias(c) for c in edges.columns])
+    back = F.struct(*[F.col(swap.get(c, c)).alias(c) for c in edges.columns])
+    return edges.select(F.inline(F.array(there, back)))
 
 
 def symmetric(edges: DataFrame, measure: str = "duration_minutes") -> DataFrame:
     """Every pair in both directions, the faster row winning."""
-    return fastest_per_pair(edges.unionByName(reverse_pairs(edges)), measure)
+    return fastest_per_pair(both_ways(edges), measure)
 
 
 def with_names(edges: DataFrame, stops: DataFrame) -> DataFrame:
@@ -191,8 +193,7 @@ def transfer_edges(groups: DataFrame, nodes: DataFrame, edges: DataFrame) -> Dat
     left = present.select("city", F.col("uic").alias("origin_uic"), F.col("seq").alias("_i"), "minutes")
     right = present.select("city", F.col("uic").alias("destination_uic"), F.col("seq").alias("_j"))
     pairs = left.join(right, "city").filter(F.col("_i") < F.col("_j"))
-    both = edges.select(*PAIR).unionByName(reverse_pairs(edges.select(*PAIR)))
-    return (pairs.join(both, PAIR, "left_anti")
+    return (pairs.join(both_ways(edges.select(*PAIR)), PAIR, "left_anti")
             .select(*PAIR, F.col("minutes").alias("duration_minutes"),
                     F.lit(K.TRANSFER_CLASS).alias("line_code"),
                     F.lit(None).cast("double").alias("distance_km")))
@@ -222,7 +223,7 @@ def build_network(stations: DataFrame, connection_rows: DataFrame, transfers: Da
               .select(*PAIR, "b.*"))
     if transfers is not None:
         single = single.unionByName(transfer_edges(transfers, nodes, single).select(*single.columns))
-    edges = single.unionByName(reverse_pairs(single)).select(
+    edges = both_ways(single).select(
         F.col("origin_uic").alias("src"), F.col("destination_uic").alias("dst"),
         F.col("duration_minutes").alias("minutes"), "line_code", "distance_km",
         X.routing_cost("duration_minutes", "line_code").alias("cost"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", name: str = "itinera") -> SparkSession:
@@ -15,3 +15,13 @@ def local_session(cores: str | int = "*", name: str = "itinera") -> SparkSession
             .config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
             .getOrCreate())
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a table that has fewer splits than there are cores.
+
+    Meant for small files read by dear expressions. A large input has more
+    splits than cores and is left alone, so nothing is shuffled at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

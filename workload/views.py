@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from itinera.plans.session import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
@@ -189,7 +191,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or a view as a DataFrame."""
     if name in VIEWS:
         return spark.sql(VIEWS[name], **{r: table(spark, sf_dir, r) for r in refs(name)})
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def with_views(*names: str) -> list[tuple[str, str]]:
