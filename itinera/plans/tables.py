@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 
 
+@lru_cache(maxsize=1)
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="spark-itinera-")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Folder named by ``spark.checkpoint.dir``; a local one only in local mode without it."""
     root = spark.conf.get(_SETTING, None)
@@ -17,9 +23,7 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError(f"set {_SETTING} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="spark-itinera-")
-    spark.conf.set(_SETTING, root)
-    return root
+    return _local_root()
 
 
 class TableStore:
