@@ -169,9 +169,8 @@ def dataset_stats(df: DataFrame) -> DataFrame:
             .when(F.col("gid") == 5, F.col("category")).when(F.col("gid") == 6, F.col("difficulty"))
             .otherwise("all"))
     rows = sets.select(kind.alias("slice_kind"), name.alias("slice"), "n")
-    total = rows.filter(F.col("slice_kind") == "all").select(F.lit(1).alias("_k"), F.col("n").alias("_total"))
-    return (rows.withColumn("_k", F.lit(1)).join(total, "_k")
-            .select("slice_kind", "slice", "n", (F.col("n") * 100.0 / F.col("_total")).alias("percent")))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return rows.select("slice_kind", "slice", "n", (F.col("n") * 100.0 / total).alias("percent"))
 
 
 def length_stats(df: DataFrame) -> DataFrame:
@@ -209,8 +208,7 @@ def structure_check(df: DataFrame, expected_rows: int | None = None,
     per_sentence = df.groupBy("sentence").agg(n.alias("c"))
     duplicates = per_sentence.agg(F.count_if(F.col("c") > 1).alias("duplicated"),
                                   F.coalesce(F.sum("c"), F.lit(0)).alias("rows"))
-    ids = sequence_check(df)
-    one = duplicates.withColumn("_k", F.lit(1)).join(ids.withColumn("_k", F.lit(1)), "_k")
+    one = duplicates.withColumn("is_sequential", sequence_check(df).select("is_sequential").scalar())
     wanted = F.lit(expected_rows) if expected_rows is not None else F.col("rows")
     none = F.lit("all")
     checks = F.array(
@@ -261,8 +259,8 @@ def distribution_check(df: DataFrame, targets: DataFrame, difficulty_shares: Dat
     category = targets.join(df.groupBy("category").agg(n.alias("_a")), "category", "left") \
         .select(_check("category", F.col("category"), F.col("expected"), zero("_a"),
                        within(F.col("expected"), zero("_a"))).alias("c"))
-    total = df.agg(F.count_if(valid).alias("_t")).withColumn("_k", F.lit(1))
-    shares = (difficulty_shares.withColumn("_k", F.lit(1)).join(total, "_k")
+    total = df.agg(F.count_if(valid)).scalar()
+    shares = (difficulty_shares.withColumn("_t", total)
               .join(df.filter(valid).groupBy("difficulty").agg(n.alias("_a")), "difficulty", "left")
               .withColumn("expected", F.col("_t") * F.col("share"))
               .select(_check("difficulty", F.col("difficulty"), F.col("expected"), zero("_a"),

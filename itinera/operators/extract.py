@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from itinera import constants as K
 from itinera.functions import text as T
 from itinera.functions.once import bind, with_computed
-from itinera.operators.matching import INLINE_KEYS, find_places
+from itinera.operators.matching import INLINE_KEYS, dictionary_keys, find_places
+from itinera.plans.lookup import left_lookup
 
 
 def _any_in(text: Column, words: list[str]) -> Column:
@@ -70,7 +71,9 @@ def extract_orders(orders: DataFrame, gazetteer: DataFrame, text_col: str = "sen
     With one place only, the row is valid with one end missing (P4).
     """
     given = [c for c in orders.columns if c not in ("origin", "destination", "valid", "method")]
-    found = find_places(orders.select(*given), gazetteer, text_col, id_col, inline_keys=inline_keys)
+    keys = dictionary_keys(gazetteer, inline_keys)
+    found = find_places(orders.select(*given), gazetteer, text_col, id_col,
+                        inline_keys=0 if keys is None else inline_keys, keys=keys)
     norm, places = F.col("norm"), F.col("places")
     first = F.get(places, 0)
     rows = with_computed(found, _order=is_order(norm, places, token_match),
@@ -93,11 +96,11 @@ def extract_orders(orders: DataFrame, gazetteer: DataFrame, text_col: str = "sen
     picked = with_computed(rows, method=method, _o=F.when(F.col("_order"), origin),
                            _d=F.when(F.col("_order"), destination)) \
         .withColumn("valid", ~F.col("method").isin("invalid", "failed"))
-    names = gazetteer.select("norm", "canonical")
-    return (picked
-            .join(names.select(F.col("norm").alias("_o"), F.col("canonical").alias("origin")), "_o", "left")
-            .join(names.select(F.col("norm").alias("_d"), F.col("canonical").alias("destination")), "_d", "left")
-            .select(*found.columns, "origin", "destination", "valid", "method"))
+    for key, end in (("_o", "origin"), ("_d", "destination")):
+        names = gazetteer.select(F.col("norm").alias(key), F.col("canonical").alias(end))
+        # the dictionary is known to be small when its keys fit the plan
+        picked = left_lookup(picked, F.broadcast(names) if keys is not None else names, [key], id_col)
+    return picked.select(*found.columns, "origin", "destination", "valid", "method")
 
 
 # ------------------------------------------------------------- token labels: E7-E9

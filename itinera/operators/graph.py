@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from itinera.functions import transport as X
 from itinera.plans.adjacency import HUB_DEGREE, Adjacency
+from itinera.plans.ranking import next_in_group
 from itinera.plans.tables import TableStore
 
-_JUMP_LANES = 16
-
 
 # ------------------------------------------------------------ lookups and degrees
 
@@ -55,9 +54,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, hub_degree: int = H
     """(node, component), the component being its smallest node.
 
     Rounds of neighbour minimum and pointer jumping until no label moves. The
-    neighbour step aggregates before it shuffles; the jump looks labels up in the
-    few labels that still moved, copied over lanes because one label may cover
-    most of the nodes.
+    neighbour step aggregates before it shuffles. The jump first counts the nodes
+    per label: labels of normal size are looked up in a shuffle join, the few that
+    cover more than ``hub_degree`` nodes (at most nodes / ``hub_degree``) by broadcast,
+    so a component of any size is spread over all tasks.
     """
     store = TableStore(nodes.sparkSession, "components")
     ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
@@ -76,16 +76,21 @@ def connected_components(nodes: DataFrame, edges: DataFrame, hub_degree: int = H
                   .unionByName(pushed).groupBy("node")
                   .agg(F.min("component").alias("component"), F.max("old").alias("old")))
         merged, _ = store.write(merged, f"merged-{rounds}")
-        lane = F.pmod(F.xxhash64("node"), F.lit(_JUMP_LANES)).cast("int")
-        parents = (merged.filter(F.col("node") != F.col("component"))
-                   .select(F.col("node").alias("component"), F.col("component").alias("parent"),
-                           F.explode(F.sequence(F.lit(0), F.lit(_JUMP_LANES - 1))).alias("lane")))
-        jumped = (merged.withColumn("lane", lane).join(parents, ["component", "lane"], "left")
-                  .select("node", F.coalesce("parent", "component").alias("component"), "old"))
-        jumped = jumped.withColumn("moved", F.col("component") != F.col("old")).drop("old")
-        new, seen = store.write(jumped, f"labels-{rounds}", moved=F.count_if("moved"))
-        store.drop(f"labels-{rounds - 1}")
-        store.drop(f"merged-{rounds}")
+        used = merged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        parents = used.join(merged.select(F.col("node").alias("component"), F.col("component").alias("parent")), "component")
+        parents, seen = store.write(parents, f"parents-{rounds}", hot=F.count_if(F.col("n") > hub_degree))
+        if seen["hot"]:
+            hot = F.broadcast(parents.filter(F.col("n") > hub_degree).select("component", "parent"))
+            tried = merged.join(hot, "component", "left")
+            small = tried.filter(F.col("parent").isNull()).drop("parent") \
+                .join(parents.filter(F.col("n") <= hub_degree).select("component", "parent"), "component")
+            jumped = tried.filter(F.col("parent").isNotNull()).unionByName(small)
+        else:
+            jumped = merged.join(parents.select("component", "parent"), "component")
+        moved = jumped.select("node", F.col("parent").alias("component"), (F.col("parent") != F.col("old")).alias("moved"))
+        new, seen = store.write(moved, f"labels-{rounds}", moved=F.count_if("moved"))
+        for name in (f"labels-{rounds - 1}", f"merged-{rounds}", f"parents-{rounds}"):
+            store.drop(name)
         labels = new
         if not seen["moved"]:
             return labels.select("node", "component")
@@ -129,13 +134,11 @@ def hop_diameter(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None =
     """
     starts = nodes.select("node") if sources is None else sources
     reach = hop_distances(edges, starts, hub_degree)
-    total = nodes.agg(F.count_distinct("node").alias("n"))
+    total = nodes.select("node").distinct().agg(F.count(F.lit(1))).scalar()
     per_source = reach.groupBy("source").agg(F.count(F.lit(1)).alias("seen"), F.max("hops").alias("far"))
     found = per_source.agg(F.min("seen").alias("least"), F.max("far").alias("far"))
-    # two one-row tables side by side
-    both = found.withColumn("_k", F.lit(1)).join(total.withColumn("_k", F.lit(1)), "_k")
-    connected = F.coalesce(F.col("least") == F.col("n"), F.lit(False))
-    return both.select(connected.alias("is_connected"), F.when(connected, F.col("far")).alias("diameter"))
+    connected = F.coalesce(F.col("least") == total, F.lit(False))
+    return found.select(connected.alias("is_connected"), F.when(connected, F.col("far")).alias("diameter"))
 
 
 # --------------------------------------------------------------- J9: shortest paths
@@ -263,24 +266,34 @@ def route_segments(routes: DataFrame, nodes: DataFrame, edges: DataFrame, key: l
                     F.coalesce("line_code", F.lit("TRAIN")).alias("line_code")))
 
 
-def given_route_time(routes: DataFrame, nodes: DataFrame, edges: DataFrame, key: str,
-                     path: str = "path") -> DataFrame:
-    """Minutes of given routes: (key, total_minutes, error).
+def given_stops_time(stops: DataFrame, nodes: DataFrame, edges: DataFrame, key: str, order: str = "pos",
+                     **options) -> DataFrame:
+    """J12 for routes given one stop per row (key, pos, uic): (key, total_minutes, error).
 
-    Errors in order: too_short, unknown_station, missing_edge.
+    Errors in order: too_short, unknown_station, missing_edge. A route of any
+    length is spread over tasks; only its sums are brought together.
     """
-    known = nodes.select("uic", F.lit(1).alias("_k"))
-    unknown = (routes.select(key, F.explode(path).alias("uic")).join(known, "uic", "left")
-               .groupBy(key).agg(F.count_if(F.col("_k").isNull()).alias("unknown")))
-    sums = (_steps(routes, [key], path)
-            .join(edges.select("src", "dst", "minutes"), ["src", "dst"], "left")
-            .groupBy(key).agg(F.sum("minutes").alias("minutes"),
-                              F.count_if(F.col("minutes").isNull()).alias("missing")))
-    error = (F.when(F.coalesce(F.size(path), F.lit(0)) < 2, "too_short")
-             .when(F.col("unknown") > 0, "unknown_station").when(F.col("missing") > 0, "missing_edge"))
-    return (routes.join(unknown, key, "left").join(sums, key, "left").withColumn("error", error)
-            .select(key, F.when(F.col("error").isNull(), F.col("minutes")).cast("int")
-                    .alias("total_minutes"), "error"))
+    known = nodes.select("uic", F.lit(True).alias("_known"))
+    links = edges.select(F.col("src").alias("uic"), F.col("dst").alias("next_uic"), "minutes")
+    legs = (next_in_group(stops.select(key, order, "uic"), [key], [order], ["uic"], **options)
+            .join(known, "uic", "left").join(links, ["uic", "next_uic"], "left"))
+    sums = legs.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("_known").isNull()).alias("unknown"),
+        F.sum("minutes").alias("minutes"),
+        F.count_if(F.col("next_uic").isNotNull() & F.col("minutes").isNull()).alias("missing"))
+    error = (F.when(F.col("n") < 2, "too_short").when(F.col("unknown") > 0, "unknown_station")
+             .when(F.col("missing") > 0, "missing_edge"))
+    return sums.withColumn("error", error).select(
+        key, F.when(F.col("error").isNull(), F.col("minutes")).cast("int").alias("total_minutes"), "error")
+
+
+def given_route_time(routes: DataFrame, nodes: DataFrame, edges: DataFrame, key: str,
+                     path: str = "path") -> DataFrame:
+    """J12 for routes given as arrays; a route without stops is too short."""
+    stops = routes.select(key, F.posexplode(path).alias("pos", "uic"))
+    empty = routes.filter(F.coalesce(F.size(path), F.lit(0)) <= 0).select(
+        key, F.lit(None).cast("int").alias("total_minutes"), F.lit("too_short").alias("error"))
+    return given_stops_time(stops, nodes, edges, key).unionByName(empty)
 
 
 def route_coordinates(routes: DataFrame, stations: DataFrame, key: list[str], stops: str = "stations") -> DataFrame:

@@ -109,8 +109,8 @@ def label_stats(examples: DataFrame) -> DataFrame:
     counts = (examples.select(F.explode("labels").alias("label")).groupBy("label")
               .agg(F.count(F.lit(1)).alias("n")))
     names = examples.sparkSession.createDataFrame([(label,) for label in ALL_LABELS], "label string")
-    total = counts.agg(F.sum("n").alias("_t")).withColumn("_k", F.lit(1))
-    return (names.join(counts, "label", "left").withColumn("_k", F.lit(1)).join(total, "_k")
+    total = counts.agg(F.sum("n")).scalar()
+    return (names.join(counts, "label", "left").withColumn("_t", total)
             .select("label", F.coalesce("n", F.lit(0)).alias("n"),
                     F.coalesce(F.try_divide(F.coalesce("n", F.lit(0)), F.col("_t")), F.lit(0.0)).alias("share")))
 

@@ -27,7 +27,7 @@ def _grams(words: Column, n: int) -> Column:
     return F.when(last >= 1, grams).otherwise(F.array().cast("array<string>"))
 
 
-def _inline_keys(gazetteer: DataFrame, limit: int) -> list[str] | None:
+def dictionary_keys(gazetteer: DataFrame, limit: int) -> list[str] | None:
     """Dictionary keys when there are at most ``limit`` of them, else None."""
     rows = gazetteer.select("norm").limit(limit + 1).collect()
     return None if len(rows) > limit else sorted(r["norm"] for r in rows)
@@ -85,14 +85,16 @@ def _joined_places(df: DataFrame, gazetteer: DataFrame, id_col: str, min_length:
 
 
 def find_places(df: DataFrame, gazetteer: DataFrame, text_col: str, id_col: str,
-                min_length: int = 3, inline_keys: int = INLINE_KEYS) -> DataFrame:
+                min_length: int = 3, inline_keys: int = INLINE_KEYS,
+                keys: list[str] | None = None) -> DataFrame:
     """C4: add ``norm`` (matching form) and ``places`` (matched keys in mention order).
 
     Two keys never share a canonical name (a key is the matching form of its
-    name), so working on keys is the same as working on names.
+    name), so working on keys is the same as working on names. ``keys`` passes the
+    result of ``dictionary_keys`` on, where the caller has it.
     """
     df = with_computed(df, norm=T.matching_form(text_col))
-    keys = _inline_keys(gazetteer, inline_keys)
+    keys = dictionary_keys(gazetteer, inline_keys) if keys is None else keys
     if keys is None:
         return _joined_places(df, gazetteer, id_col, min_length)
     return with_computed(df, places=inline_places(F.col("norm"), keys, min_length))

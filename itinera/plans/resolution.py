@@ -11,6 +11,7 @@ from itinera.operators.graph import shortest_paths
 from itinera.operators.matching import resolve_entities
 from itinera.operators.network import Network
 from itinera.operators.stations import flag_foreign, map_cities
+from itinera.plans.lookup import left_lookup
 from itinera.plans.tables import TableStore
 
 
@@ -44,11 +45,12 @@ def resolve_orders(extracted: DataFrame, city_station: DataFrame, network: Netwo
     complete = F.col("valid") & is_complete(F.col("origin"), F.col("destination"))
     names = (base.filter(complete).select(F.explode(F.array("origin", "destination")).alias("city")).distinct())
     mapped = flag_foreign(map_cities(names, "city", city_station), "city", foreign)
-    mapped, _ = TableStore(base.sparkSession, "resolve").write(mapped, "cities")
+    store = TableStore(base.sparkSession, "resolve")
+    mapped, _ = store.write(mapped, "cities")
     rows = base.withColumn("_complete", complete)
     for end in ("origin", "destination"):
-        rows = rows.join(mapped.select(F.col("city").alias(end), F.col("uic").alias(f"{end}_uic"),
-                                       F.col("is_foreign").alias(f"_{end}_foreign")), end, "left") \
+        rows = left_lookup(rows, mapped.select(F.col("city").alias(end), F.col("uic").alias(f"{end}_uic"),
+                                               F.col("is_foreign").alias(f"_{end}_foreign")), [end], "sentence_id") \
             .withColumn(f"{end}_uic", F.when(F.col("_complete"), F.col(f"{end}_uic")))
     if routes is None:
         asked = rows.filter(F.col("origin_uic").isNotNull() & F.col("destination_uic").isNotNull())
@@ -61,7 +63,8 @@ def resolve_orders(extracted: DataFrame, city_station: DataFrame, network: Netwo
              .select("origin_uic", "destination_uic", F.col("s.name").alias("_stations")))
     table = routes.select("origin_uic", "destination_uic", "path", "minutes", F.col("error").alias("_error")) \
         .join(stops, ["origin_uic", "destination_uic"], "left").withColumn("_asked", F.lit(True))
-    rows = rows.join(table, ["origin_uic", "destination_uic"], "left")
+    table, _ = store.write(table, "routes")
+    rows = left_lookup(rows, table, ["origin_uic", "destination_uic"], "sentence_id")
 
     def missing(end: str) -> tuple:
         lost = F.col("_complete") & F.col(f"{end}_uic").isNull()

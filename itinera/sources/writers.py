@@ -58,16 +58,27 @@ def write_sorted(df: DataFrame, order: Sequence, path: str) -> None:
     _write_csv(df.orderBy(*order), path)
 
 
-def write_gazetteer_json(names: DataFrame, aliases: DataFrame, path: str) -> None:
-    """One JSON document with sorted names and the alias map."""
+def write_gazetteer_json(names: DataFrame, aliases: DataFrame, path: str, limit: int = 1_000_000) -> None:
+    """One JSON document with sorted names and the alias map.
+
+    The format is a single document, so it is refused above ``limit`` rows;
+    ``write_gazetteer_rows`` has no such bound.
+    """
+    for table in (names, aliases):
+        if table.limit(limit + 1).count() > limit:
+            raise ValueError(f"more than {limit} rows: use write_gazetteer_rows")
     lists = names.groupBy().agg(
         F.sort_array(F.collect_set(F.when(F.col("kind") == "city", F.col("name")))).alias("cities"),
         F.sort_array(F.collect_set(F.when(F.col("kind") == "station", F.col("name")))).alias("stations"))
     grouped = aliases.groupBy("canonical_norm").agg(F.collect_list("alias").alias("a"))
-    mapping = grouped.groupBy().agg(
-        F.map_from_entries(F.collect_list(F.struct("canonical_norm", "a"))).alias("aliases"))
-    doc = lists.withColumn("_k", F.lit(1)).join(mapping.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    doc.write.mode("overwrite").json(path)
+    mapping = grouped.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("canonical_norm", "a"))))
+    lists.withColumn("aliases", mapping.scalar()).write.mode("overwrite").json(path)
+
+
+def write_gazetteer_rows(names: DataFrame, aliases: DataFrame, path: str) -> None:
+    """A7 without a size bound: sorted names and alias rows as JSON lines."""
+    names.orderBy("kind", "name").write.mode("overwrite").json(f"{path}/names")
+    aliases.orderBy("canonical_norm", "alias").write.mode("overwrite").json(f"{path}/aliases")
 
 
 def write_token_examples(examples: DataFrame, path: str) -> None:
@@ -80,16 +91,16 @@ def evaluation_report(summary: DataFrame, slices: DataFrame, robustness: DataFra
                       dataset: str, info: dict | None = None) -> DataFrame:
     """One row with metadata, metrics, slice list and robustness map."""
     row = F.struct("slice_kind", "slice", "total", "correct", "accuracy")
-    listed = slices.groupBy().agg(F.sort_array(F.collect_list(row)).alias("slices")).withColumn("_k", F.lit(1))
+    listed = slices.groupBy().agg(F.sort_array(F.collect_list(row))).scalar()
     scores = robustness.groupBy().agg(F.map_from_entries(F.sort_array(
-        F.collect_list(F.struct("slice", "accuracy")))).alias("robustness")).withColumn("_k", F.lit(1))
+        F.collect_list(F.struct("slice", "accuracy"))))).scalar()
     extra = F.create_map(*[F.lit(x) for kv in (info or {}).items() for x in kv]) if info \
         else F.create_map().cast("map<string,string>")
     meta = F.struct(F.lit(model).alias("model_name"), F.lit(dataset).alias("dataset_name"),
                     F.current_timestamp().alias("timestamp"), extra.alias("additional_info"))
     metrics = F.struct(*summary.columns)
-    return (summary.withColumn("_k", F.lit(1)).join(listed, "_k").join(scores, "_k")
-            .select(meta.alias("metadata"), metrics.alias("metrics"), "slices", "robustness"))
+    return summary.select(meta.alias("metadata"), metrics.alias("metrics"), listed.alias("slices"),
+                          scores.alias("robustness"))
 
 
 def write_report(report: DataFrame, path: str) -> None:
