@@ -50,11 +50,26 @@ def top_connected(nodes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
 
 # ------------------------------------------------------------------ J7: components
 
+def _jump(merged: DataFrame, owner: DataFrame, store: TableStore, name: str, hub_degree: int) -> DataFrame:
+    """``merged`` with the label of its label (``parent``), hot labels by broadcast."""
+    used = merged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    parents, seen = store.write(used.join(owner, "component"), name, hot=F.count_if(F.col("n") > hub_degree))
+    if not seen["hot"]:
+        return merged.join(parents.select("component", "parent"), "component")
+    hot = parents.filter(F.col("n") > hub_degree).select("component", "parent")
+    tried = merged.join(F.broadcast(hot), "component", "left")
+    rest = (tried.filter(F.col("parent").isNull()).drop("parent")
+            .join(parents.filter(F.col("n") <= hub_degree).select("component", "parent"), "component"))
+    return tried.filter(F.col("parent").isNotNull()).unionByName(rest)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, hub_degree: int = HUB_DEGREE) -> DataFrame:
     """(node, component), the component being its smallest node.
 
-    Rounds of neighbour minimum and pointer jumping until no label moves. The
-    neighbour step aggregates before it shuffles. The jump first counts the nodes
+    Rounds of neighbour minimum, hooking and pointer jumping until no label moves.
+    A moved node hands its new label to its neighbours and to the node its old
+    label names, so whole groups join at once; that step aggregates before it
+    shuffles. The jump first counts the nodes
     per label: labels of normal size are looked up in a shuffle join, the few that
     cover more than ``hub_degree`` nodes (at most nodes / ``hub_degree``) by broadcast,
     so a component of any size is spread over all tasks.
@@ -65,32 +80,29 @@ def connected_components(nodes: DataFrame, edges: DataFrame, hub_degree: int = H
             .select(F.inline(F.array(ends("src", "dst"), ends("dst", "src")))).distinct())
     graph = Adjacency(both, store, hub_degree)
     ids = nodes.select("node").unionByName(both.select(F.col("src").alias("node"))).distinct()
-    labels, _ = store.write(ids.withColumn("component", F.col("node"))
-                            .withColumn("moved", F.lit(True)), "labels-0")
+    labels, seen = store.write(ids.select("node", F.col("node").alias("component"), F.col("node").alias("before"),
+                                          F.lit(True).alias("moved")), "labels-0", n=F.count(F.lit(1)))
+    none_hot = seen["n"] <= hub_degree
+    nothing = F.lit(None).cast("string").alias("old")
     rounds = 0
     while True:
         rounds += 1
-        pushed = graph.expand(labels.filter("moved").select("node", "component")) \
-            .select(F.col("dst").alias("node"), "component", F.lit(None).cast("string").alias("old"))
+        fresh = labels.filter("moved")
+        pushed = graph.expand(fresh.select("node", "component")) \
+            .select(F.col("dst").alias("node"), "component", nothing)
+        hooked = fresh.select(F.col("before").alias("node"), "component", nothing)
         merged = (labels.select("node", "component", F.col("component").alias("old"))
-                  .unionByName(pushed).groupBy("node")
+                  .unionByName(pushed).unionByName(hooked).groupBy("node")
                   .agg(F.min("component").alias("component"), F.max("old").alias("old")))
         merged, _ = store.write(merged, f"merged-{rounds}")
-        used = merged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-        parents = used.join(merged.select(F.col("node").alias("component"), F.col("component").alias("parent")), "component")
-        parents, seen = store.write(parents, f"parents-{rounds}", hot=F.count_if(F.col("n") > hub_degree))
-        if seen["hot"]:
-            hot = F.broadcast(parents.filter(F.col("n") > hub_degree).select("component", "parent"))
-            tried = merged.join(hot, "component", "left")
-            small = tried.filter(F.col("parent").isNull()).drop("parent") \
-                .join(parents.filter(F.col("n") <= hub_degree).select("component", "parent"), "component")
-            jumped = tried.filter(F.col("parent").isNotNull()).unionByName(small)
-        else:
-            jumped = merged.join(parents.select("component", "parent"), "component")
-        moved = jumped.select("node", F.col("parent").alias("component"), (F.col("parent") != F.col("old")).alias("moved"))
+        owner = merged.select(F.col("node").alias("component"), F.col("component").alias("parent"))
+        jumped = merged.join(owner, "component") if none_hot \
+            else _jump(merged, owner, store, f"parents-{rounds}", hub_degree)
+        moved = jumped.select("node", F.col("parent").alias("component"), F.col("old").alias("before"),
+                              (F.col("parent") != F.col("old")).alias("moved"))
         new, seen = store.write(moved, f"labels-{rounds}", moved=F.count_if("moved"))
         for name in (f"labels-{rounds - 1}", f"merged-{rounds}", f"parents-{rounds}"):
-            store.drop(name)
+            store.drop(name)  # a table that was not written is skipped
         labels = new
         if not seen["moved"]:
             return labels.select("node", "component")

@@ -165,12 +165,12 @@ VIEWS: dict[str, str] = {
                CASE s_suppkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C;A' ELSE NULL END AS segment_drg,
                s_suppkey AS seq
         FROM {supplier} JOIN {places} ON k = s_suppkey % 25""",
-    # hand-made override edges: each station to the next one, one way
+    # override edges: each station to another one, one way
     "extra_edges": """
-        SELECT CAST(87000000 + s_suppkey AS STRING) AS origin_uic,
-               CAST(87000000 + (s_suppkey * 7 + 1) % n AS STRING) AS destination_uic,
-               CAST(5 + s_suppkey % 40 AS INT) AS duration_minutes, 'TGV' AS line_code, CAST(50 AS BIGINT) AS trip_count
-        FROM {supplier}, (SELECT count(*) AS n FROM {supplier}) c WHERE s_suppkey <> (s_suppkey * 7 + 1) % n""",
+        SELECT CAST(87000000 + s AS STRING) AS origin_uic, CAST(87000000 + t AS STRING) AS destination_uic,
+               CAST(5 + s % 40 AS INT) AS duration_minutes, 'TGV' AS line_code, CAST(50 AS BIGINT) AS trip_count
+        FROM (SELECT s_suppkey AS s, (s_suppkey * 7 + 1) % (SELECT count(*) FROM {supplier}) AS t FROM {supplier}) x
+        WHERE s <> t""",
     # transfer groups: three main stations per city
     "transfer_groups": """
         SELECT name AS city, CAST(87000000 + s AS STRING) AS uic, s AS seq, CAST(15 AS INT) AS minutes
