@@ -15,6 +15,9 @@ from itinera.plans.session import spread
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+# Tables whose rows feed dear expressions; the others are small or cheap to read.
+SPREAD = {"documents", "lineitem", "orders", "pages"}
+
 # The places of the labelled orders, keyed like nations.
 PLACES = ["Paris", "Lyon", "Marseille", "Toulouse", "Bordeaux", "Nice", "Nantes",
           "Strasbourg", "Montpellier", "Lille", "Rennes", "Reims", "Le Havre",
@@ -191,7 +194,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or a view as a DataFrame."""
     if name in VIEWS:
         return spark.sql(VIEWS[name], **{r: table(spark, sf_dir, r) for r in refs(name)})
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    given = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(given) if name in SPREAD else given
 
 
 def with_views(*names: str) -> list[tuple[str, str]]:
