@@ -1,6 +1,6 @@
 """Headline queries on ``$BENCH_SF_DIR`` with ``local[$BENCH_CPUS]``; prints one JSON line.
 
-Each query runs once to warm up and ``$BENCH_RUNS`` times (default 3) for the
+Each query runs once to warm up and ``$BENCH_RUNS`` times (default 1) for the
 median. Results go to a sink that computes every column and keeps nothing.
 """
 
@@ -23,7 +23,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = sys.argv[1:] or HEADLINE
 
     from itinera.plans.session import local_session

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from itinera.functions import text as T
 from itinera.functions.once import with_computed
+from itinera.plans.tables import TableStore
 
 INLINE_KEYS = 20_000
 MAX_GRAM = 4
@@ -361,6 +362,8 @@ def suggestion_summary(found: DataFrame, city_station: DataFrame, max_length: in
     auto-accepted one (single suggestion) and the ambiguity flag."""
     from itinera.operators.stations import map_cities
 
+    # read twice below, so it is written once
+    found, _ = TableStore(found.sparkSession, "suggestions").write(found, "rows")
     names = found.select(F.col("canonical").alias("city")).distinct()
     linked = map_cities(names, "city", city_station).select(
         F.col("city").alias("canonical"), F.col("uic").isNotNull().alias("has_station"))
