@@ -148,7 +148,7 @@ def split_crosstab(splits: DataFrame) -> DataFrame:
 
 
 def split_stats(splits: DataFrame) -> DataFrame:
-    """Per split: rows, valid, invalid, average words per validity (print_set_stats)."""
+    """Per split: rows, valid, invalid, average words per validity."""
     valid = F.col("is_valid") == 1
     words = T.word_count("sentence")
     return splits.groupBy("split").agg(
