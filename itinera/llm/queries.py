@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from itinera.llm import embedding_dedup, html_text, jaccard, packing, pieces, private_data, secret_scan
+from itinera.llm import embedding_dedup, html_text, jaccard, language_id, neighbours, packing, pieces, private_data, secret_scan
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,10 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_groups(_table(spark, sf_dir, "documents")).drop("key")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"),
                                   with_ids=False)
@@ -43,14 +48,20 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.find_private(_table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_html": op5_html,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
+    "op10_language_id": op10_language_id,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
