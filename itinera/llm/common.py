@@ -59,11 +59,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """One 64-bit hash for each word ``[^\\x20\\x09-\\x0D]+`` of a text of bytes."""
+def words_at(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash, the start and the end of each word ``[^\\x20\\x09-\\x0D]+`` of a text of bytes."""
     raw = np.frombuffer(text, dtype=np.uint8)
     if not len(raw):
-        return np.empty(0, dtype=np.uint64)
+        none = np.empty(0, dtype=np.int64)
+        return none.astype(np.uint64), none, none
     inside = np.empty(len(raw) + 2, dtype=np.int8)
     inside[0] = inside[-1] = 0
     inside[1:-1] = ~_SPACE[raw]
@@ -72,7 +73,12 @@ def word_hashes(text: bytes) -> np.ndarray:
     up, down = _powers(len(raw))
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[raw] * up[:len(raw)], dtype=np.uint64, out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start, end
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """One hash for each word of a text."""
+    return words_at(text)[0]
 
 
 _TURNS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,

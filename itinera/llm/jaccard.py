@@ -197,28 +197,9 @@ class _Verifier:
         return self.store.write(both.mapInArrow(lambda x: _verify(x, width, percent), "a bigint, b bigint"), f"{name}-links")[0]
 
 
-def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH,
-                   percent: int = PERCENT) -> DataFrame:
-    """Groups of documents linked by Jaccard similarity of word shingles: (doc_id, key, n_shingles, component_id).
-
-    Two documents link when 100 * shared >= ``percent`` * union. Texts of one
-    shingle set are one class. Shingles are ordered by a frequency sketch over
-    the whole corpus; each class keeps a prefix whose length follows its
-    estimated candidate cost, and a longer prefix asks for more shared tokens.
-    First every class is checked against one leader, the first class of the
-    tokens it shares most; linked classes then count as one, and each pair of
-    classes of different components that shares enough prefix tokens is
-    checked. So a large group of near copies costs about one check for each
-    copy, and no link that could join two components is left out.
-
-    ``component_id`` is the smallest id reachable by links, a row's own if it
-    has none. Null and empty texts have no shingles and link with nothing; null
-    ids stay and are the component only of groups without another id. Repeated
-    rows are each returned (``key`` is a hash of the text). Other columns are
-    not looked at. No rows give no rows. Class hashes have 64 bits.
-    """
+def _linked(docs: DataFrame, store: TableStore, id_column: str, text_column: str, width: int, percent: int) -> DataFrame:
+    """Every row's text hash, shingles and group of classes: (doc_id, key, n_shingles, component)."""
     spark = docs.sparkSession
-    store = TableStore(spark, "jaccard")
     text = F.coalesce(F.col(text_column), F.lit(""))
     rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("key"), text_or_empty(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -257,7 +238,54 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     whole = components(near.unionByName(far), store, "all").select(F.col("node").alias("cls"), "component")
     named = sized.join(whole, "cls", "left").select("doc_id", "key", "n_shingles", F.coalesce("component", "cls").alias("component"))
     named, _ = store.write(named, "named")
+    return named
+
+
+def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH,
+                   percent: int = PERCENT) -> DataFrame:
+    """Groups of documents linked by Jaccard similarity of word shingles: (doc_id, key, n_shingles, component_id).
+
+    Two documents link when 100 * shared >= ``percent`` * union. Texts of one
+    shingle set are one class. Shingles are ordered by a frequency sketch over
+    the whole corpus; each class keeps a prefix whose length follows its
+    estimated candidate cost, and a longer prefix asks for more shared tokens.
+    First every class is checked against one leader, the first class of the
+    tokens it shares most; linked classes then count as one, and each pair of
+    classes of different components that shares enough prefix tokens is
+    checked. So a large group of near copies costs about one check for each
+    copy, and no link that could join two components is left out.
+
+    ``component_id`` is the smallest id reachable by links, a row's own if it
+    has none. Null and empty texts have no shingles and link with nothing; null
+    ids stay and are the component only of groups without another id. Repeated
+    rows are each returned (``key`` is a hash of the text). Other columns are
+    not looked at. No rows give no rows. Class hashes have 64 bits.
+    """
+    named = _linked(docs, TableStore(docs.sparkSession, "jaccard"), id_column, text_column, width, percent)
     least = named.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     alone = named.filter("component is null").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"))
     return (named.filter("component is not null").join(least, "component")
             .select("doc_id", "key", "n_shingles", F.col("least").alias("component_id")).unionByName(alone))
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The documents with one of each linked group left, that of the smallest id (nulls last), with their columns.
+
+    Rows without shingles stay. Of rows alike in id and text one stays.
+    """
+    store = TableStore(docs.sparkSession, "keep-one")
+    named = _linked(docs, store, id_column, text_column, width, percent).filter("component is not null")
+    row = F.xxhash64("doc_id", "key").alias("_row")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", row)).alias("m"), F.count(F.lit(1)).alias("n"))
+    crowd, _ = store.write(named.join(first.filter("n > 1").select("component", F.col("m._row").alias("_kept")), "component")
+                           .select(row, "_kept"), "crowd")
+    gone, seen = store.write(crowd.filter("_row != _kept").select("_row").distinct(), "gone", n=F.count(F.lit(1)))
+    again, found = store.write(crowd.filter("_row = _kept").groupBy("_row").count().filter("count > 1").select("_row", F.lit(True).alias("_twice")),
+                               "again", n=F.count(F.lit(1)))
+    key = F.xxhash64(F.col(id_column), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
+    left = lookup_join(docs.withColumn("_row", key), gone, ["_row"], "left_anti", seen["n"])
+    if not found["n"]:
+        return left.select(*docs.columns)
+    marked = lookup_join(left, again, ["_row"], "left", found["n"])
+    once = marked.filter("_twice").dropDuplicates(["_row"])
+    return marked.filter("_twice is null").unionByName(once).select(*docs.columns)
