@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from itinera import constants as K
 from itinera.functions import text as T
-from itinera.plans.ranking import GROUP_LIMIT, ordinal, rank_in_group, top_in_group
+from itinera.plans.ranking import GROUP_LIMIT, ordinal, rank_in_group, same_keys, top_in_group
 
 ID = "sentenceID"
 
@@ -123,7 +123,7 @@ def stratified_split(df: DataFrame, train: float = 0.70, val: float = 0.15, test
     n_val = F.floor((F.col("_n") - n_test) * F.lit(val / (train + val)))
     split = (F.when(F.col("_pos") <= n_test, "test")
              .when(F.col("_pos") <= n_test + n_val, "val").otherwise("train"))
-    return ranked.join(sizes, strata).select(*df.columns, split.alias("split"))
+    return same_keys(ranked, sizes, strata).select(*df.columns, split.alias("split"))
 
 
 def leaked_ids(splits: DataFrame, id_col: str = ID) -> DataFrame:

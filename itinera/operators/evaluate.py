@@ -116,11 +116,11 @@ def slice_breakdown(joined: DataFrame, correct: str = "exact") -> DataFrame:
 def full_evaluation(truth: DataFrame, predictions: DataFrame, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(summary row, slice table, robustness table) from one comparison.
 
-    The comparison feeds three small aggregates; persist it before reuse when it
-    is dear to compute.
+    The comparison feeds three small aggregates; the caller writes or persists
+    its inputs where they are dear to compute.
     """
     joined = compare(truth, predictions, **options).select(
-        "category", "difficulty", "truth_valid", "pred_valid", "origin_ok", "dest_ok", "exact").persist()
+        "category", "difficulty", "truth_valid", "pred_valid", "origin_ok", "dest_ok", "exact")
     summary = joined.agg(*_accuracy_columns(), *_validity_columns())
     return summary, slice_breakdown(joined), robustness(joined)
 

@@ -144,7 +144,7 @@ def all_spans(df: DataFrame, id_col: str, tokens: str = "tokens", labels: str =
     """
     positions = F.arrays_zip(F.col(labels).alias("label"),
                              F.sequence(F.lit(0), F.size(labels) - 1).alias("at"))
-    kind_of = lambda label: F.substring(label, 3, 100)
+    kind_of = lambda label: F.substr(label, F.lit(3))
     span_type = "array<struct<start:int,stop:int,kind:string>>"
     start = F.struct(F.array().cast(span_type).alias("spans"),
                      F.lit(None).cast("int").alias("start"), F.lit(None).cast("string").alias("kind"))

@@ -72,33 +72,59 @@ def inline_places(norm: Column, keys: list[str], min_length: int = 3) -> Column:
 
 
 def _joined_places(df: DataFrame, gazetteer: DataFrame, id_col: str, min_length: int) -> DataFrame:
-    """C4 as an n-gram equi-join, for dictionaries too large to travel with the plan."""
+    """C4 as an n-gram equi-join, for dictionaries too large to travel with the plan.
+
+    Every row gets a key of its own, written with it, so rows with null or
+    repeated ids keep their own places. A name mentioned by several of its
+    forms counts once, by the first mention.
+    """
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    df, _ = TableStore(df.sparkSession, "places").write(rows, "rows")
+    id_col = "_row"
     words = F.split("norm", " ")
     sized = [F.transform(_grams(words, n), _numbered(n)) for n in range(1, MAX_GRAM + 1)]
     grams = (df.select(id_col, F.explode(F.concat(*sized)).alias("g")).select(id_col, "g.*")
              .filter((F.col("n") > 1) | (F.length("gram") >= min_length)))
-    hits = (grams.join(gazetteer.select(F.col("norm").alias("gram")), "gram")
-            .groupBy(id_col, "gram").agg(F.min(F.struct("n", "pos")).alias("at"))
-            .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", "gram"))).alias("hits"))
+    names = gazetteer.select(F.col("norm").alias("gram"), "canonical")
+    hits = (grams.join(names, "gram")
+            .groupBy(id_col, "canonical").agg(F.min(F.struct("n", "pos", "gram")).alias("at"))
+            .groupBy(id_col).agg(F.array_sort(F.collect_list("at")).alias("hits"))
             .select(id_col, F.col("hits.gram").alias("places")))
-    return (df.join(hits, id_col, "left")
+    return (df.join(hits, id_col, "left").drop(id_col)
             .withColumn("places", F.coalesce("places", F.array().cast("array<string>"))))
 
 
+def shared_names(gazetteer: DataFrame) -> dict[str, str]:
+    """Canonical name of each key that shares it with other keys; as bounded as the dictionary that travels with the plan."""
+    several = gazetteer.groupBy("canonical").agg(F.collect_set("norm").alias("keys")).filter(F.size("keys") > 1)
+    return {key: row["canonical"] for row in several.collect() for key in row["keys"]}
+
+
+def _named(shared: dict[str, str], key: Column) -> Column:
+    """The canonical name of a key that shares it, else null."""
+    return F.create_map(*[F.lit(x) for pair in shared.items() for x in pair])[key]
+
+
 def find_places(df: DataFrame, gazetteer: DataFrame, text_col: str, id_col: str,
                 min_length: int = 3, inline_keys: int = INLINE_KEYS,
                 keys: list[str] | None = None) -> DataFrame:
     """C4: add ``norm`` (matching form) and ``places`` (matched keys in mention order).
 
-    Two keys never share a canonical name (a key is the matching form of its
-    name), so working on keys is the same as working on names. ``keys`` passes the
-    result of ``dictionary_keys`` on, where the caller has it.
+    A name and its aliases are several keys of one canonical name, which a row
+    mentions once. ``keys`` passes the result of ``dictionary_keys`` on, where
+    the caller has it.
     """
     df = with_computed(df, norm=T.matching_form(text_col))
     keys = dictionary_keys(gazetteer, inline_keys) if keys is None else keys
     if keys is None:
         return _joined_places(df, gazetteer, id_col, min_length)
-    return with_computed(df, places=inline_places(F.col("norm"), keys, min_length))
+    found = with_computed(df, places=inline_places(F.col("norm"), keys, min_length))
+    shared = shared_names(gazetteer)
+    if not shared:
+        return found
+    named = with_computed(found, _names=F.transform("places", lambda p: F.coalesce(_named(shared, p), p)))
+    first = F.filter("places", lambda p, i: F.array_position("_names", F.get("_names", i)) == i + 1)
+    return named.withColumn("places", first).drop("_names")
 
 
 def place_mentions(df: DataFrame, gazetteer: DataFrame, text_col: str, id_col: str,

@@ -155,7 +155,7 @@ def station_alias(stations: DataFrame) -> DataFrame:
     """(alt_uic, uic) from packed code lists, the last row winning per alternate."""
     packed = stations.select(F.transform(F.split("uic_code", ";"), lambda c: F.trim(c)).alias("codes"), "seq")
     return (packed.select(F.get("codes", 0).alias("uic"), "seq",
-                          F.explode(F.slice("codes", 2, 1000000)).alias("alt_uic"))
+                          F.explode(F.slice("codes", 2, F.size("codes"))).alias("alt_uic"))
             .groupBy("alt_uic").agg(F.max_by("uic", "seq").alias("uic")))
 
 

@@ -24,6 +24,13 @@ def _columns(items: Sequence) -> list[Column]:
     return [F.col(i) if isinstance(i, str) else i for i in items]
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys are equal, as they are to a window; the right keys go."""
+    theirs = {k: f"_their_{k}" for k in keys}
+    on = [left[k].eqNullSafe(F.col(t)) for k, t in theirs.items()]
+    return left.join(right.withColumnsRenamed(theirs), on, how).drop(*theirs.values())
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], group_limit: int) -> Column | None:
     """Condition that selects the rows of hot groups, or None when there are none.
 
@@ -59,7 +66,7 @@ def ordinal(df: DataFrame, order: Sequence, name: str = "ordinal",
               .withColumn("_start", F.sum("_n").over(
                   running.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)))
               .select("_task", *partition, "_first", F.coalesce("_start", F.lit(0)).alias("_start")))
-    joined = placed.join(starts, ["_task", *partition])
+    joined = same_keys(placed, starts, ["_task", *partition])
     number = (F.col("_start") + F.col("_row") - F.col("_first") + 1).cast("bigint")
     return joined.select(*[F.col(c) for c in df.columns], number.alias(name))
 
@@ -98,7 +105,7 @@ def next_in_group(df: DataFrame, keys: Sequence[str], order: Sequence, columns:
         ordinal(df.filter(hot), order, "_pos", keys), "numbered")
     following = numbered.select(*keys, (F.col("_pos") - 1).alias("_pos"),
                                 *[F.col(c).alias(prefix + c) for c in columns])
-    paired = numbered.join(following, [*keys, "_pos"], "left").drop("_pos")
+    paired = same_keys(numbered, following, [*keys, "_pos"], "left").drop("_pos")
     cold = plain(df.filter(~hot))
     return cold.unionByName(paired.select(*cold.columns))
 

@@ -102,3 +102,15 @@ def test_templates(spark):
     assert DS.sequence_check(out).first()["is_sequential"] and out.filter("sentence = 'billet paris lyon'").count() == 1
     typo = spark.createDataFrame([("Pau",), ("Toulouse",), ("Bordeaux",)], "n string").select("n", DS.misspell(F.col("n")).alias("m")).collect()
     assert all(r["m"] == r["n"] if len(r["n"]) <= 4 else abs(len(r["m"]) - len(r["n"])) == 1 for r in typo)
+
+
+def test_split_keeps_rows_of_a_null_stratum(spark):
+    from itinera.operators.dataset import stratified_split
+
+    rows = [(i, "s", None if i % 2 else 1) for i in range(20)]
+    df = spark.createDataFrame(rows, "sentenceID bigint, sentence string, is_valid int")
+    for limit in (3, 1000):
+        out = stratified_split(df, group_limit=limit)
+        assert out.count() == 20
+        assert {(r.is_valid, r.split): r["count"] for r in out.groupBy("is_valid", "split").count().collect()} == {
+            (v, s): n for v in (None, 1) for s, n in (("test", 1), ("val", 1), ("train", 8))}

@@ -93,3 +93,15 @@ def test_city_map(spark):
         match_col="m").collect()}
     assert out == {"Paris": ("1", "exact"), "Aix": ("10", "prefix"), "Le Mans": ("5", "prefix"), "Ai": (None, None),
                    "": (None, None), None: (None, None)}
+
+
+def test_both_paths_on_null_and_repeated_ids_and_aliases(spark):
+    from itinera.operators.matching import find_places
+
+    names = spark.createDataFrame([("paris", "Paris"), ("parris", "Paris"), ("lyon", "Lyon"), ("metz", "Metz"), ("tours", "Tours")],
+                                  "norm string, canonical string")
+    rows = [(None, "de Metz a Tours"), (1, "billet Paris Parris Lyon"), (1, "billet Lyon Metz"), (2, "rien")]
+    df = spark.createDataFrame(rows, "sentenceID bigint, sentence string")
+    found = [sorted((r.sentence, tuple(r.places)) for r in find_places(df, names, "sentence", "sentenceID", inline_keys=k).collect()) for k in (100, 1)]
+    assert found[0] == found[1] == sorted([("de Metz a Tours", ("metz", "tours")), ("billet Paris Parris Lyon", ("paris", "lyon")),
+                                           ("billet Lyon Metz", ("lyon", "metz")), ("rien", ())])

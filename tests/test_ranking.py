@@ -73,3 +73,13 @@ def test_store_folder(spark):
     assert checkpoint_root(FakeSession(spark_master="local[2]"))
     with pytest.raises(ValueError):
         checkpoint_root(FakeSession(spark_master="spark://host"))
+
+
+@pytest.mark.parametrize("limit", [5, 1000])
+def test_null_keys_on_both_paths(spark, limit):
+    rows = [(None if i % 2 else "a", i, i * 3) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, i int, x int")
+    ranked = {(r.g, r.i): r["rank"] for r in R.rank_in_group(df, ["g"], ["i"], group_limit=limit).collect()}
+    assert ranked == {(g, i): i // 2 + 1 for g, i, _ in rows}
+    following = {(r.g, r.i): r.next_x for r in R.next_in_group(df, ["g"], ["i"], ["x"], group_limit=limit).collect()}
+    assert following == {(g, i): (i + 2) * 3 if i < 38 else None for g, i, _ in rows}

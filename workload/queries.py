@@ -234,7 +234,7 @@ def label_example_stats(spark, d):
 @query
 def label_problems(spark, d):
     broken = _labelled(spark, d).withColumn("labels", F.expr(
-        "CASE sentenceID % 7 WHEN 0 THEN slice(labels, 2, 100) WHEN 1 THEN transform(labels, x -> replace(x, 'DEST', 'CITY')) "
+        "CASE sentenceID % 7 WHEN 0 THEN slice(labels, 2, size(labels)) WHEN 1 THEN transform(labels, x -> replace(x, 'DEST', 'CITY')) "
         "ELSE labels END"))
     return LB.label_problems(broken).select("sentenceID", "problem")
 
@@ -599,8 +599,7 @@ def main_component_members(spark, d):
 
 def _resolved(spark, d, mode: str) -> DataFrame:
     foreign = GZ.build_gazetteer(table(spark, d, "place_names").filter(F.col("name").isin("Nice", "Metz"))).select("norm")
-    cities = _city_map(spark, d).filter(~F.col("city_norm").isin("nice", "brest", "toulon"))
-    return RS.resolve_orders(_extracted(spark, d), cities, _flat_network(spark, d), foreign, mode)
+    return RS.resolve_orders(_extracted(spark, d), _city_map(spark, d), _flat_network(spark, d), foreign, mode)
 
 
 @query
@@ -676,6 +675,16 @@ def evaluation_summary(spark, d):
     return _rounded(summary, *[c for c, t in summary.dtypes if t == "double"])
 
 
+@query
+def evaluation_slices(spark, d):
+    return _rounded(EV.full_evaluation(table(spark, d, "orders_text"), table(spark, d, "preds"))[1], "accuracy")
+
+
+@query
+def evaluation_robustness(spark, d):
+    return _rounded(EV.full_evaluation(table(spark, d, "orders_text"), table(spark, d, "preds"))[2], "accuracy")
+
+
 @query
 def simple_accuracy(spark, d):
     rows = _extracted(spark, d).select(F.col("origin"), F.col("destination"), "sentenceID")
@@ -896,8 +905,9 @@ def stream_resolve(spark, d):
     source = spark.readStream.schema(orders.schema).parquet(orders.inputFiles()[0].rsplit("/", 1)[0])
     net = _flat_network(spark, d)
     cities = _city_map(spark, d)
-    pairs = cities.select(F.col("uic").alias("origin_uic"), F.lit(1).alias("k")).join(
-        cities.select(F.col("uic").alias("destination_uic"), F.lit(1).alias("k")), "k").drop("k")
+    asked = ST.map_cities(_extracted(spark, d), "origin", cities, "origin_uic")
+    asked = ST.map_cities(asked, "destination", cities, "destination_uic")
+    pairs = asked.select("origin_uic", "destination_uic").dropna().distinct()  # routes for the pairs in demand only
     routes, _ = TableStore(spark, "stream").write(GR.shortest_paths(net.nodes, net.edges, pairs), "routes")
     out = _drain(SM.resolve_stream(source, _gaz(spark, d), cities, routes), "stream-resolve")
     return out.select("sentenceID", "origin", "destination", "origin_uic", "destination_uic", "valid", "method",

@@ -103,10 +103,10 @@ VIEWS: dict[str, str] = {
                    AS uic_code,
                s_suppkey AS seq
         FROM {supplier} JOIN {places} ON k = s_suppkey % 25""",
-    # well supported supplier-part pairs: a sparse graph with several components
+    # all supplier-part pairs, one large component, and all customer-order pairs, a component for each customer
     "support_graph": """
-        SELECT 's' || CAST(l_suppkey AS STRING) AS src, 'p' || CAST(l_partkey AS STRING) AS dst
-        FROM {lineitem} GROUP BY l_suppkey, l_partkey HAVING count(*) >= 3""",
+        SELECT DISTINCT 's' || CAST(l_suppkey AS STRING) AS src, 'p' || CAST(l_partkey AS STRING) AS dst FROM {lineitem}
+        UNION ALL SELECT 'c' || CAST(o_custkey AS STRING) AS src, 'o' || CAST(o_orderkey AS STRING) AS dst FROM {orders}""",
     # near-duplicate names
     "part_names": "SELECT p_name AS name, min(p_partkey) AS seq FROM {part} GROUP BY p_name",
     "typo_names": """
