@@ -7,7 +7,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itinera.llm.common import components, lookup_join, once_per_worker, shingle_hashes, text_or_empty, word_hashes
@@ -37,7 +37,19 @@ def _class(shingles: np.ndarray) -> int | None:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-_PROFILE = ["doc_id", "key", "n_shingles", "cls", "chunk", "counts"]
+#: 64-bit words of a set's parity bitmap.
+WORDS = 8
+_BITS = [f"b{i}" for i in range(WORDS)]
+_PROFILE = ["doc_id", "key", "n_shingles", "cls", *_BITS, "chunk", "counts"]
+
+
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """A bit for each of 64 * ``WORDS`` slots: whether an odd number of members fall there.
+
+    The bits in which two sets differ are at most the members that only one of them has.
+    """
+    slots = np.bincount((shingles >> np.uint64(40)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+    return np.packbits(slots.astype(np.uint8)).view(np.int64)
 
 
 def _profile(batches, width: int):
@@ -52,12 +64,12 @@ def _profile(batches, width: int):
             counts += np.bincount((every & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(list(map(len, sets)), pa.int64()),
-             pa.array(list(map(_class, sets)), pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], _PROFILE)
+             pa.array(list(map(_class, sets)), pa.int64()), *map(pa.array, np.array(list(map(parity, sets)), dtype=np.int64).reshape(n, WORDS).T.copy()),
+             pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], _PROFILE)
     if kind is not None:
         n = COUNTERS // CHUNK
         cut = [counts[i * CHUNK:(i + 1) * CHUNK].tobytes() for i in range(n)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                                          pa.array(range(n), pa.int32()), pa.array(cut, pa.binary())], _PROFILE)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * (3 + WORDS), pa.array(range(n), pa.int32()), pa.array(cut, pa.binary())], _PROFILE)
 
 
 def _add_counts(batches):
@@ -132,7 +144,8 @@ def _shared_tokens(batches):
 
     One row is held back from batch to batch, whatever the length of a token's run.
     """
-    held, opens, leader = None, True, 0
+    names = ["token", "cls", "n", "k", "leader", "leader_n", "leader_k"]
+    held, opens, before = None, True, (0, 0, 0)
     for batch in batches:
         cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         if held is not None:
@@ -142,18 +155,16 @@ def _shared_tokens(batches):
             continue
         fresh = np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))
         cols = [c[fresh] for c in cols]
-        token, cls = cols[0], cols[1]
+        token = cols[0]
         first = np.append(opens, token[1:] != token[:-1])
         begin = np.maximum.accumulate(np.where(first, np.arange(len(token)), -1))
-        lead = np.where(begin >= 0, cls[np.maximum(begin, 0)], leader)
-        paired = ~first[:-1] | (token[1:] == token[:-1])
-        keep = np.flatnonzero(paired)
-        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in cols] + [pa.array(lead[:-1][keep])],
-                                         ["token", "cls", "n", "k", "leader"])
-        held, opens, leader = [c[-1:] for c in cols], bool(first[-1]), int(lead[-1])
+        lead = [np.where(begin >= 0, c[np.maximum(begin, 0)], old).astype(c.dtype) for c, old in zip(cols[1:], before)]
+        keep = np.flatnonzero(~first[:-1] | (token[1:] == token[:-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(c[:-1][keep]) for c in cols + lead], names)
+        held, opens, before = [c[-1:] for c in cols], bool(first[-1]), tuple(int(x[-1]) for x in lead)
     if held is not None and not opens:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held] + [pa.array([leader], pa.int64())],
-                                         ["token", "cls", "n", "k", "leader"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in held]
+                                         + [pa.array(np.array([x], dtype=c.dtype)) for x, c in zip(before, held[1:])], names)
 
 
 def _verify(batches, width: int, percent: int):
@@ -178,6 +189,24 @@ def _verify(batches, width: int, percent: int):
                                          ["a", "b"])
 
 
+def _fits(a: str, b: str, percent: int) -> Column:
+    """Whether sizes and parity bitmaps let two classes be similar: members of one side only are few enough."""
+    apart = sum((F.bit_count(F.col(f"{w}_{a}").bitwiseXOR(F.col(f"{w}_{b}"))) for w in _BITS), F.lit(0))
+    x, y = F.col(f"n_{a}"), F.col(f"n_{b}")
+    return (x * percent <= y * 100) & (y * percent <= x * 100) & (apart * (100 + percent) <= (x + y) * (100 - percent))
+
+
+def _enough(n: Column, k: Column, m: Column, j: Column, percent: int) -> Column:
+    """Least shared prefix tokens of two sets of ``n`` and ``m`` members that asked for ``k`` and ``j``.
+
+    Behind the prefix that ends first nothing is known of the rest: the sets
+    share at most what the prefixes share and the longer of the two rests.
+    """
+    up = lambda c, d: F.ceil(c / d)
+    whole = up((n + m) * percent, F.lit(100 + percent))
+    return whole - F.greatest(up(n * percent, F.lit(100)) - k, up(m * percent, F.lit(100)) - j)
+
+
 class _Verifier:
     """Checks pairs of classes on their whole texts."""
 
@@ -187,7 +216,7 @@ class _Verifier:
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b) that are similar; a class's text is read once for all its pairs."""
         pairs, seen = self.store.write(pairs, f"{name}-pairs", n=F.count(F.lit(1)))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.reps, "cls")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.reps.select("cls", "key"), "cls")
         wanted, counted = self.store.write(wanted, f"{name}-wanted", n=F.count(F.lit(1)))
         held = lookup_join(self.texts, wanted, ["key"], "inner", counted["n"]).dropDuplicates(["cls"]).select("cls", "text")
         held, _ = self.store.write(held, f"{name}-texts")
@@ -204,20 +233,26 @@ def _linked(docs: DataFrame, store: TableStore, id_column: str, text_column: str
     rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("key"), text_or_empty(text_column).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     profile, _ = store.write(rows.mapInArrow(lambda b: _profile(b, width), f"doc_id {kind}, key bigint, n_shingles bigint, cls bigint, "
-                                                                          "chunk int, counts binary"), "profile")
+                                               + "".join(f"{w} bigint, " for w in _BITS) + "chunk int, counts binary"), "profile")
     shared = spark.sparkContext.broadcast(_levels(profile.filter("chunk is not null").select("chunk", "counts")))
     name = uuid.uuid4().hex
     sized = profile.filter("chunk is null").select("doc_id", "key", "n_shingles", "cls")
-    reps = sized.filter("cls is not null").groupBy("cls").agg(F.min("key").alias("key"))
+    reps = (profile.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("key", "n_shingles", *_BITS)).alias("m"))
+            .select("cls", "m.key", F.col("m.n_shingles").alias("n"), *[f"m.{w}" for w in _BITS]))
+    reps, _ = store.write(reps, "classes")
+    marks = lambda c: reps.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), *[F.col(w).alias(f"{w}_{c}") for w in _BITS])
     postings = (rows.select("text").mapInArrow(lambda b: _prefixes(b, shared, name, width, percent), "token bigint, cls bigint, n int, k int")
                 .repartition("token").sortWithinPartitions("token", "cls")
-                .mapInArrow(_shared_tokens, "token bigint, cls bigint, n int, k int, leader bigint"))
+                .mapInArrow(_shared_tokens, "token bigint, cls bigint, n int, k int, leader bigint, leader_n int, leader_k int"))
     postings, _ = store.write(postings, "postings")
     verifier = _Verifier(rows.select("key", "text"), reps, store, width, percent)
 
-    votes = (postings.filter("cls != leader").groupBy("cls", "leader").agg(F.count(F.lit(1)).alias("votes"), F.max("k").alias("k"))
-             .groupBy("cls").agg(F.max(F.struct("votes", "leader", "k")).alias("m")).filter("m.votes >= m.k"))
-    near = verifier.links(votes.select(F.col("cls").alias("a"), F.col("m.leader").alias("b")), "leaders")
+    need = _enough(F.col("n"), F.col("k"), F.col("leader_n"), F.col("leader_k"), percent)
+    votes = (postings.filter("cls != leader").groupBy("cls", "leader", "n", "k", "leader_n", "leader_k").agg(F.count(F.lit(1)).alias("votes"))
+             .filter(2 * F.col("votes") >= need).groupBy("cls").agg(F.max(F.struct("votes", "leader")).alias("m"))
+             .select(F.col("cls").alias("a"), F.col("m.leader").alias("b")))
+    votes = votes.join(marks("a"), "a").join(marks("b"), "b").filter(_fits("a", "b", percent)).select("a", "b")
+    near = verifier.links(votes, "leaders")
     joined = components(near, store, "leaders")
 
     part = postings.join(joined.withColumnRenamed("node", "cls"), "cls", "left") \
@@ -226,13 +261,15 @@ def _linked(docs: DataFrame, store: TableStore, id_column: str, text_column: str
     size = part.groupBy("token", "part").agg(F.count(F.lit(1)).alias("size"))
     mixed = size.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "part")).alias("m")) \
         .filter("parts > 1").select("token", F.col("m.part").alias("main"))
-    split, _ = store.write(part.join(mixed, "token"), "mixed")
-    one = split.filter("part != main").select("token", *[F.col(c).alias(f"{c}_a") for c in ("cls", "n", "k", "part")])
-    two = split.select("token", *[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "k", "part")], (F.col("part") != F.col("main")).alias("minor"))
-    fits = (F.col("n_a") * percent <= F.col("n_b") * 100) & (F.col("n_b") * percent <= F.col("n_a") * 100)
-    met = one.join(two, "token").filter((F.col("part_a") != F.col("part_b")) & fits & (~F.col("minor") | (F.col("cls_a") < F.col("cls_b"))))
+    split, _ = store.write(part.join(mixed, "token").join(reps.drop("key", "n"), "cls"), "mixed")
+    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("cls", "n", "k", "part", *_BITS)]
+    one = split.filter("part != main").select("token", *side("a"))
+    two = split.select("token", *side("b"), (F.col("part") != F.col("main")).alias("minor"))
+    met = one.join(two, "token").filter((F.col("part_a") != F.col("part_b")) & (~F.col("minor") | (F.col("cls_a") < F.col("cls_b")))
+                                        & _fits("a", "b", percent))
+    need = _enough(F.col("n_a"), F.col("k_a"), F.col("n_b"), F.col("k_b"), percent)
     pairs = (met.groupBy(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
-             .agg(F.count(F.lit(1)).alias("votes"), F.first(F.least("k_a", "k_b")).alias("k")).filter("votes >= k"))
+             .agg(F.count(F.lit(1)).alias("votes"), F.first(need).alias("need")).filter("votes >= need"))
     far = verifier.links(pairs.select("a", "b"), "others")
 
     whole = components(near.unionByName(far), store, "all").select(F.col("node").alias("cls"), "component")
@@ -251,8 +288,9 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     estimated candidate cost, and a longer prefix asks for more shared tokens.
     First every class is checked against one leader, the first class of the
     tokens it shares most; linked classes then count as one, and each pair of
-    classes of different components that shares enough prefix tokens is
-    checked. So a large group of near copies costs about one check for each
+    classes of different components is checked if it shares enough prefix
+    tokens and if sizes and parity bitmaps, which never differ more than the
+    sets, allow the similarity. So a large group of near copies costs about one check for each
     copy, and no link that could join two components is left out.
 
     ``component_id`` is the smallest id reachable by links, a row's own if it

@@ -102,6 +102,10 @@ def test_prefix_keeps_enough_shared():
             continue
         (x, k), (y, m) = (jaccard.prefix(s, level, float(rng.random()), 85) for s in (a, b))
         assert len(np.intersect1d(x, y)) >= min(k, m)
+        o, rest = -(-85 * (len(a) + len(b)) // 185), [-(-85 * len(s) // 100) for s in (a, b)]
+        assert len(np.intersect1d(x, y)) >= o - max(rest[0] - k, rest[1] - m)
+        apart = int(np.bitwise_count((jaccard.parity(a) ^ jaccard.parity(b)).view(np.uint64)).sum())
+        assert apart <= len(np.setxor1d(a, b))
 
 
 def test_shared_tokens_stream_in_any_batches():
