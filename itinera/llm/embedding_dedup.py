@@ -8,19 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itinera.llm.common import components
-from itinera.llm.vectors import matrix, sample_rows, spherical_centres, takes_part, unit
+from itinera.llm.vectors import by_length, matrix, sample_rows, spherical_centres, takes_part, unit
 from itinera.plans.tables import TableStore
 
-#: Least cosine, rows for each cell aimed at, most cells, rows of a block.
-COSINE, CELL_ROWS, MOST_CELLS, BLOCK = 0.93, 1000, 4096, 1024
+#: Least cosine, rows of one label for each cell aimed at, most cells, rows of a block.
+COSINE, CELL_ROWS, MOST_CELLS, BLOCK = 0.93, 4096, 4096, 1024
 
 
 def _assign(batches, centres: np.ndarray, reach: float):
     """Each vector at home in its nearest cell, and a guest in every cell whose members it could link with."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in by_length(whole, 2)):
         n = batch.num_rows
-        if not n:
-            continue
         points = unit(matrix(batch.column(2)))
         if points.shape[1] == centres.shape[1]:
             near = points @ centres.T
@@ -36,19 +34,23 @@ def _assign(batches, centres: np.ndarray, reach: float):
         at = pa.array(row)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0).take(at), batch.column(1).take(at), pa.array(cell.astype(np.int32)), pa.array(home[row] == cell),
-             batch.column(3).take(at), pa.array([p.tobytes() for p in points[row]], pa.binary())],
-            ["cls", "label", "cell", "home", "copies", "unit"])
+             batch.column(3).take(at), batch.column(2).take(at)], ["cls", "label", "cell", "home", "copies", "v"])
 
 
 def _block(table: pa.Table, cosine: float) -> pa.Table:
-    """Links of one block of home vectors with one block of the cell: a count for each, and a forest of the links."""
-    cls, left, copies = (table.column(c).to_numpy() for c in ("cls", "left", "copies"))
-    raw = table.column("unit").to_pylist()
-    points = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(raw), -1)
-    a, b = np.flatnonzero(left), np.flatnonzero(~left)
+    """Links between two parts of a cell, or inside one: counts for home vectors, and a forest of the links."""
+    table = table.combine_chunks()
+    cls, home, copies, own = (table.column(c).to_numpy() for c in ("cls", "home", "copies", "own"))
+    points = unit(matrix(table.column("v").chunk(0)))
+    low = own == own.min()
+    a = np.flatnonzero(low)
+    b = np.flatnonzero(~low) if table.column("i")[0].as_py() != table.column("j")[0].as_py() else a
     linked = points[a] @ points[b].T >= cosine
     linked &= cls[a][:, None] != cls[b][None, :]
-    links = linked @ copies[b]
+    links = np.zeros(len(cls), dtype=np.int64)
+    links[a] += linked @ copies[b]
+    if b is not a:
+        links[b] += copies[a] @ linked
     names, place = np.unique(cls, return_inverse=True)
     root = np.arange(len(names))
     x, y = np.nonzero(linked)
@@ -62,10 +64,11 @@ def _block(table: pa.Table, cosine: float) -> pa.Table:
         if (root == before).all():
             break
     moved = np.flatnonzero(root != np.arange(len(names)))
-    out_cls = np.concatenate([cls[a], names[moved]])
+    at = np.flatnonzero(home & (links > 0))
+    out_cls = np.concatenate([cls[at], names[moved]])
     return pa.Table.from_arrays(
-        [pa.array(out_cls), pa.array(np.concatenate([links, np.zeros(len(moved), dtype=np.int64)])),
-         pa.array(np.concatenate([cls[a], names[root[moved]]]))], ["cls", "links", "root"])
+        [pa.array(out_cls), pa.array(np.concatenate([links[at], np.zeros(len(moved), dtype=np.int64)])),
+         pa.array(np.concatenate([cls[at], names[root[moved]]]))], ["cls", "links", "root"])
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_column: str = "vec_id", vector_column: str = "embedding",
@@ -82,9 +85,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_column: str =
     Products give a count for each home vector and a forest of the links, never
     all pairs.
 
-    Vectors that are null, empty, zero or hold null or non-finite components,
-    those without a label, and those of another length link with nothing:
-    no links, themselves the component, kept. Repeated rows are vectors that
+    Vectors that are null, empty, zero or hold null or non-finite components
+    and those without a label link with nothing: no links, themselves the
+    component, kept. Vectors of different lengths never link. Repeated rows are vectors that
     link with each other. A null id names a component only if it has no other.
     Other columns are not looked at; no rows give no rows.
     """
@@ -99,21 +102,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_column: str =
     if usual is None:
         return named.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     sample = sample_rows(classes.filter(F.size("v") == usual.d), "v", seen["n"])
-    centres = spherical_centres(sample, min(MOST_CELLS, seen["n"] // cell_rows)) if len(sample) else np.zeros((1, usual.d))
+    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    centres = spherical_centres(sample, min(MOST_CELLS, largest // cell_rows)) if len(sample) else np.zeros((1, usual.d))
     reach = float(np.sqrt(2 - 2 * cosine))
-    label = rows.schema["label"].dataType.simpleString()
-    placed = classes.withColumn("label", F.col("label")).mapInArrow(
-        lambda b: _assign(b, centres, reach), f"cls bigint, label {label}, cell int, home boolean, copies bigint, unit binary")
-    placed, _ = store.write(placed.withColumn("d", F.length("unit")), "placed")
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("label", "v")}
+    placed = classes.mapInArrow(lambda b: _assign(b, centres, reach), f"cls bigint, label {kinds['label']}, cell int, home boolean, "
+                                                                      f"copies bigint, v {kinds['v']}")
+    placed, _ = store.write(placed.withColumn("d", F.size("v")), "placed")
     sizes = placed.groupBy("label", "d", "cell").agg(F.count(F.lit(1)).alias("n")) \
         .select("label", "d", "cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     cut = placed.join(sizes, ["label", "d", "cell"]).withColumn("own", F.pmod(F.xxhash64("cls", F.lit(3)), "blocks").cast("int"))
-    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cols = ["label", "d", "cell", "cls", "copies", "unit"]
-    lefts = cut.filter("home").select(*cols, F.col("own").alias("i"), each.alias("j"), F.lit(True).alias("left"))
-    rights = cut.select(*cols, F.col("own").alias("j"), each.alias("i"), F.lit(False).alias("left"))
-    met = (lefts.unionByName(rights).groupBy("label", "d", "cell", "i", "j")
-           .applyInArrow(lambda t: _block(t, cosine), "cls bigint, links bigint, root bigint"))
+    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda q: F.struct(
+        F.least("own", q).alias("i"), F.greatest("own", q).alias("j"))))
+    met = (cut.withColumn("m", meet).select("label", "d", "cell", "m.i", "m.j", "own", "cls", "home", "copies", "v")
+           .groupBy("label", "d", "cell", "i", "j").applyInArrow(lambda t: _block(t, cosine), "cls bigint, links bigint, root bigint"))
     met, _ = store.write(met, "met")
     joined = components(met.filter("cls != root").select(F.col("cls").alias("a"), F.col("root").alias("b")), store, "groups")
     links = met.groupBy("cls").agg(F.sum("links").alias("links"))

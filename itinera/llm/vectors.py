@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def by_length(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """A batch's rows apart by the length of their vectors."""
+    lengths = pc.list_value_length(batch.column(column))
+    for n in pc.unique(lengths):
+        yield batch.filter(pc.equal(lengths, n))
+
+
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows scaled to length one, without overflow or underflow on the way."""
     rows = rows / np.abs(rows).max(axis=1, keepdims=True)
