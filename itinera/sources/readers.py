@@ -15,17 +15,20 @@ GTFS_COLUMNS = {
     "stops": "stop_id string, stop_name string, stop_lat double, stop_lon double",
     "routes": "route_id string, route_short_name string, route_long_name string",
     "trips": "trip_id string, route_id string",
-    "stop_times": "trip_id string, departure_time string, stop_id string, stop_sequence int",
+    "stop_times": "trip_id string, departure_time string, stop_id string, stop_sequence bigint",
 }
 GAZETTEER_SCHEMA = "cities array<string>, stations array<string>, aliases map<string,array<string>>"
 LABELLED_SCHEMA = ("tokens array<string>, labels array<string>, metadata struct<sentenceID:string,"
                    "origin:string,destination:string,is_valid:int,difficulty:string,category:string>")
 
 
-def _csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, quotes doubled inside quotes; missing paths raise."""
+def _csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """All columns as text, quotes doubled inside quotes; missing paths raise.
+
+    A file is read in splits unless ``multi_line`` allows line breaks inside quotes.
+    """
     return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", True).csv(path))
+            .option("multiLine", multi_line).csv(path))
 
 
 def _typed(df: DataFrame, schema: str) -> DataFrame:
@@ -36,13 +39,23 @@ def _typed(df: DataFrame, schema: str) -> DataFrame:
 
 
 def with_file_order(df: DataFrame) -> DataFrame:
-    """Add ``seq``: increasing in file order (file by file, line by line), not dense."""
-    return df.withColumn("seq", F.monotonically_increasing_id())
+    """Add ``seq``: increasing in file order (files by path, then line by line), not dense.
 
+    Spark packs splits by size, so its own row numbers do not follow the files.
+    ``seq`` is the file's place in the sorted list of paths, the split's offset
+    in the file and the row's number, in one decimal.
+    """
+    files = F.array(*[F.lit(f) for f in sorted(df.inputFiles())]).cast("array<string>")
+    row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # the row's number in its task
+    path = F.array_position(files, F.col("_metadata.file_path"))
+    seq = F.concat(F.lpad(path.cast("string"), 8, "0"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 14, "0"),
+                   F.lpad(row.cast("string"), 10, "0"))
+    return df.withColumn("seq", seq.cast("decimal(38,0)"))
 
-def read_orders(spark: SparkSession, path: str) -> DataFrame:
+
+def read_orders(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """A1: (sentenceID, sentence); raises on missing columns or no rows."""
-    raw = _csv_text(spark, path)
+    raw = _csv_text(spark, path, multi_line)
     missing = {"sentenceID", "sentence"} - set(raw.columns)
     if missing:
         raise ValueError(f"{path}: missing columns {sorted(missing)}, found {raw.columns}")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from itinera.operators.extract import extract_orders
 from itinera.operators.matching import INLINE_KEYS
@@ -16,10 +19,11 @@ def resolve_stream(orders: DataFrame, gazetteer: DataFrame, city_station: DataFr
 
     Matching happens inside the row and everything else is a stream-static join,
     so the query holds no state. ``routes`` is a ready table of routes (J9 rows).
+    A streaming plan can't join n-grams back to their row without state, so a
+    dictionary of more than ``inline_keys`` keys goes through ``resolve_batches``.
     """
-    size = gazetteer.limit(inline_keys + 1).count()
-    if size > inline_keys:
-        raise ValueError(f"the dictionary of a stream may hold {inline_keys} keys at most")
+    if orders.isStreaming and gazetteer.limit(inline_keys + 1).count() > inline_keys:
+        raise ValueError(f"more than {inline_keys} keys: use resolve_batches, which takes a dictionary of any size")
     extracted = extract_orders(orders, gazetteer, inline_keys=inline_keys)
     mapped = map_cities(extracted, "origin", city_station, "origin_uic")
     mapped = map_cities(mapped, "destination", city_station, "destination_uic")
@@ -30,6 +34,20 @@ def resolve_stream(orders: DataFrame, gazetteer: DataFrame, city_station: DataFr
                     F.col("path").isNotNull().alias("success")))
 
 
+def resolve_batches(orders: DataFrame, gazetteer: DataFrame, city_station: DataFrame, routes: DataFrame,
+                    sink: Callable[[DataFrame, int], None], checkpoint: str, inline_keys: int = INLINE_KEYS) -> StreamingQuery:
+    """K1 for dictionaries of any size: each micro-batch is resolved as a table and handed to ``sink(rows, batch)``.
+
+    A large dictionary is an n-gram join inside the batch; nothing is kept
+    between batches but the stream's own progress in ``checkpoint``.
+    """
+    def resolve(batch: DataFrame, number: int) -> None:
+        sink(resolve_stream(batch, gazetteer, city_station, routes, inline_keys), number)
+
+    return (orders.writeStream.foreachBatch(resolve).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def first_seen(events: DataFrame, keys: list[str], time_col: str, delay: str = "1 hour") -> DataFrame:
     """K2: pass each key once; state is dropped ``delay`` behind the newest event."""
     timed = events.withColumn(time_col, F.col(time_col).cast("timestamp"))

@@ -855,3 +855,15 @@ add("wide_route_table", f"""
 # D7 returns the same tables as D6 and D5 from its one comparison
 ORACLES["evaluation_slices"] = ORACLES["slice_breakdown"]
 ORACLES["evaluation_robustness"] = ORACLES["robustness"]
+
+# files written and read again hold the same rows
+add("orders_file", "SELECT CAST(sentenceID AS VARCHAR) AS sentenceID, sentence FROM orders_text", "orders_text")
+add("flat_file", "SELECT CAST(sentenceID AS VARCHAR) AS sentenceID, origin AS Departure, destination AS Destination FROM orders_text", "orders_text")
+add("gazetteer_file", """SELECT DISTINCT name, kind FROM all_names UNION ALL SELECT upper(name) AS name, 'alias' AS kind FROM place_names""",
+    "all_names place_names")
+add("sorted_file", """SELECT CAST(sentenceID AS BIGINT) AS sentenceID, category,
+                      row_number() OVER (ORDER BY category, sentenceID) AS place FROM orders_text""", "orders_text")
+add("error_file", "SELECT CAST(sentenceID AS VARCHAR) AS sentenceID, sentence FROM orders_text WHERE is_valid = 0", "orders_text")
+for _file, _same in (("batch_counters", "resolution_counters"), ("timetable_files", "connections"), ("station_file", "stations_clean"),
+                     ("token_file", "label_stats"), ("network_snapshot", "degree_stats")):
+    ORACLES[_file] = ORACLES[_same]

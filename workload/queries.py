@@ -24,6 +24,8 @@ from itinera.operators import network as NW
 from itinera.operators import stations as ST
 from itinera.plans import resolution as RS
 from itinera.plans.tables import TableStore
+from itinera.sources import readers as RD
+from itinera.sources import writers as WR
 from itinera.sources.writers import wide_routes
 from itinera.streaming import orders as SM
 from workload.views import table
@@ -887,6 +889,92 @@ def misspelt_places(spark, d):
     return names.select("name", DS.misspell(F.col("name"), variants).alias("misspelt"))
 
 
+# ------------------------------------------------- files out and in
+
+def _folder(spark, label: str) -> str:
+    return TableStore(spark, label).path
+
+
+def _csv(df: DataFrame, path: str) -> str:
+    """Several CSV files with a header each."""
+    df.repartition(3).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return path
+
+
+@query
+def orders_file(spark, d):
+    return RD.read_orders(spark, _csv(_orders(spark, d).select("sentenceID", "sentence"), _folder(spark, "orders-file")))
+
+
+@query
+def flat_file(spark, d):
+    path = _folder(spark, "flat-file")
+    WR.write_flat(_orders(spark, d).select("sentenceID", F.col("origin").alias("Departure"), F.col("destination").alias("Destination")), path)
+    return spark.read.option("header", True).csv(path).na.fill("")
+
+
+@query
+def batch_counters(spark, d):
+    orders = _csv(_orders(spark, d).select("sentenceID", "sentence"), _folder(spark, "batch-in"))
+    foreign = GZ.build_gazetteer(table(spark, d, "place_names").filter(F.col("name").isin("Nice", "Metz"))).select("norm")
+    return RS.run_batch(orders, _folder(spark, "batch-out"), "nlp", _gaz(spark, d), _city_map(spark, d), _flat_network(spark, d), foreign)
+
+
+@query
+def timetable_files(spark, d):
+    folder = _folder(spark, "timetable")
+    for name in ("stops", "routes", "trips", "stop_times"):
+        _csv(table(spark, d, name).select(*[c.strip().split(" ")[0] for c in RD.GTFS_COLUMNS[name].split(",")]), f"{folder}/{name}.txt")
+    read = {name: RD.read_gtfs(spark, folder, name) for name in ("routes", "trips", "stop_times")}
+    return NW.connections(NW.stop_segments(read["stop_times"]), NW.trip_classes(read["trips"], read["routes"]))
+
+
+@query
+def station_file(spark, d):
+    rows = RD.read_stations(spark, _csv(_stations(spark, d).drop("seq"), _folder(spark, "station-file")))
+    return rows.select("uic_code", "station_name", "station_name_normalized", "city_name", "city_name_normalized",
+                       _r("latitude").alias("latitude"), _r("longitude").alias("longitude"))
+
+
+@query
+def gazetteer_file(spark, d):
+    path = _folder(spark, "gazetteer-file")
+    aliases = table(spark, d, "place_names").select(F.lower("name").alias("canonical_norm"), F.upper("name").alias("alias"))
+    WR.write_gazetteer_json(table(spark, d, "all_names"), aliases, path)
+    names, read = RD.read_gazetteer_json(spark, path)
+    return names.select("name", "kind").unionByName(read.select(F.col("alias").alias("name"), F.lit("alias").alias("kind")))
+
+
+@query
+def sorted_file(spark, d):
+    path = _folder(spark, "sorted-file")
+    WR.write_sorted(_orders(spark, d).select("sentenceID", "category"), ["category", "sentenceID"], path)
+    read = RD.with_file_order(spark.read.option("header", True).csv(path))
+    return DS.ordinal(read, ["seq"], "place").select(F.col("sentenceID").cast("bigint").alias("sentenceID"), "category", "place")
+
+
+@query
+def error_file(spark, d):
+    path = _folder(spark, "error-file")
+    WR.write_errors(_orders(spark, d).filter(F.col("is_valid") == 0).select("sentenceID", "sentence"), path)
+    return RD.read_orders(spark, path)
+
+
+@query
+def token_file(spark, d):
+    path = _folder(spark, "token-file")
+    WR.write_token_examples(_labelled(spark, d).select("tokens", "labels"), path)
+    return _rounded(LB.label_stats(RD.read_token_examples(spark, path, json_lines=True)), "share")
+
+
+@query
+def network_snapshot(spark, d):
+    path = _folder(spark, "snapshot")
+    WR.get_or_build_network(spark, path, lambda: _flat_network(spark, d))
+    net = WR.load_network(spark, path)
+    return _rounded(GR.degree_stats(net.nodes, net.edges), "avg_degree")
+
+
 # -------------------------------------------------------------------------- streaming
 
 def _drain(stream: DataFrame, label: str) -> DataFrame:
