@@ -20,7 +20,7 @@ def test_held_out_accuracy_of_the_text_alone(spark):
     languages, model = language_id.train(docs.filter("doc_id % 2 = 0"))
     rest = docs.filter("doc_id % 2 = 1")
     out = language_id.identify(rest, languages, model, "text", "doc_id", F.lit(None).cast("string"), None)
-    right = out.join(rest.select(F.col("doc_id").alias("id"), F.col("lang").alias("true")), "id").filter("text_lang = true").count()
+    right = out.join(rest.select(F.col("doc_id").alias("id"), F.col("lang").alias("given")), "id").filter("text_lang = given").count()
     assert right >= 0.97 * rest.count()
 
 
