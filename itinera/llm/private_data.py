@@ -15,6 +15,8 @@ from itinera.plans.tables import TableStore
 KINDS = ("email", "ip", "card", "phone")
 #: Rounds of scoring, least distinct seeds that a pattern must meet, and the scores that patterns and instances need.
 ROUNDS, SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 3, 3, 0.8, 0.75
+#: Least share of known instances among all that a pattern meets, times the binary logarithm of one more than the known.
+KNOWN_SHARE = 1.0
 
 # A run's start is looked for only where a run can start (\G: right after the span before), and repeats never give
 # back, so a match costs one pass; the spans are those of the plain patterns.
@@ -121,22 +123,29 @@ def _patterns(near: Column) -> Column:
 def _learnt(found: DataFrame, store: TableStore) -> DataFrame:
     """Instances that patterns of high confidence discover: (kind, instance).
 
-    A pattern's score is the mean score of the instances that it meets (one
-    more in the divisor), an instance's the chance that not all of its patterns
-    are wrong; seeds keep 1. Scores pass along the graph for ``ROUNDS`` rounds.
+    A pattern's score is the share of its kind among the known instances that
+    it meets: seeds count 1, others their score, and seeds of other kinds
+    against it. Instances of which nothing is known only matter where they
+    swamp the known ones (``KNOWN_SHARE``). An instance's score is the chance that not
+    all of its patterns are wrong. Scores pass along the graph for ``ROUNDS``
+    rounds.
     """
     each = found.select("key", F.inline(F.concat(F.transform("sure", lambda s: s.withField("seed", F.lit(True))),
                                                  F.transform("maybe", lambda s: s.withField("seed", F.lit(False))))))
     graph = (each.select("kind", "seed", F.xxhash64("value").alias("instance"), F.explode(_patterns(F.col("near"))).alias("pattern"))
              .distinct())
     graph, _ = store.write(graph, "graph")
+    seeds, _ = store.write(graph.filter("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("all_seeds")), "seeds")
     scores = None
     for k in range(ROUNDS):
         seen = graph if scores is None else graph.join(scores, ["kind", "instance", "seed"], "left")
         known = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)) if scores is not None else F.lit(0.0))
-        good = (seen.groupBy("kind", "pattern").agg((F.sum(known) / (F.count(F.lit(1)) + 1)).alias("trust"),
-                                                    F.count_if("seed").alias("seeds"))
-                .filter((F.col("seeds") >= SUPPORT) & (F.col("trust") >= PATTERN_SCORE)))
+        other = F.col("all_seeds") - F.col("seeds")
+        good = (seen.groupBy("kind", "pattern").agg(F.sum(known).alias("known"), F.count(F.lit(1)).alias("met"), F.count_if("seed").alias("seeds"))
+                .filter(F.col("seeds") >= SUPPORT).join(seeds, "pattern")
+                .withColumn("trust", (F.col("known") + 0.5) / (F.col("known") + other + 1))
+                .filter((F.col("trust") >= PATTERN_SCORE) & (F.log2(F.col("known") + 1) * F.col("known") / F.col("met") >= KNOWN_SHARE))
+                .select("kind", "pattern", "trust"))
         good, _ = store.write(good, f"patterns-{k}")
         met = graph.filter("not seed").join(good, ["kind", "pattern"])
         scores = met.groupBy("kind", "instance", "seed").agg((1 - F.exp(F.sum(F.log(1 - 0.95 * F.col("trust"))))).alias("score"))

@@ -121,6 +121,16 @@ def test_private_bootstraps(spark):
     assert "Python" not in plan._jdf.queryExecution().toString()
 
 
+def test_private_contexts_of_as_many_unseen(spark):
+    rows = [(i, f"Please call office: +49 30 55512{i:02d} today") for i in range(30)]
+    rows += [(100 + i, f"Please call office: (030) 555 77{i:02d} today") for i in range(30)]
+    rows += [(200 + i, f"reach desk +49 40 77712{i:02d} today") for i in range(3)] + [(210, "reach desk (040) 777 8899 today")]
+    rows += [(300 + i, f"about +49 50 33312{i:02d} today") for i in range(3)] + [(310 + i, f"about 1234 56{i:02d} 78 people") for i in range(60)]
+    got = {r.doc_id: r.n_found for r in private_data.find_private(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(got[100 + i] == 1 for i in range(30)) and got[210] == 1
+    assert not any(got[310 + i] for i in range(60))
+
+
 def test_private_of_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     check_private(private_data.find_private(docs).collect(), {r.doc_id: r.text for r in docs.collect()})
