@@ -22,27 +22,33 @@ _CLOSES_P = BLOCKS - frozenset(("body", "html"))
 _SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"),
          "th": ("table", "tr"), "option": ("select",)}
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in a class, id or role that mark what is not the article.
-_ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|isement|ising|orial)?|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|sidebar|side-bar|rail|"
+#: Points of an element marked as an aside that make it the article's container if they are over half of the page's.
+RESCUED = 10
+#: Words that mark what is not the article if they make up a whole name in a class, id or role, with words of place.
+_PLACE = (r"(?:site|page|top|bottom|left|right|primary|secondary|global|box|bar|list|block|section|area|wrapper|container|"
+          r"inner|links?|buttons?|items?|slot|unit|icons?|[0-9]+)")
+_WORD = (
+    r"(?:ads?|advert(?:s|isement|ising|orial)?|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|sidebar|side-bar|rail|"
     r"widget|footer|foot|header|masthead|topbar|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|comments?|"
     r"discussion|disqus|replies|respond|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|subscribe|newsletter|"
     r"signup|login|share|sharing|social|related|recommended|recirc|outbrain|taboola|toolbar|skip|hidden|copyright|"
-    r"disclaimer|complementary|contentinfo|search)(?:$|[\s_-])", re.I)
+    r"disclaimer|complementary|contentinfo|search)")
+_ASIDE = re.compile(rf"(?:^|(?<=\s))(?:{_PLACE}[_-]+)*{_WORD}(?:[_-]+(?:{_WORD}|{_PLACE}))*(?:$|(?=\s))", re.I)
+_REPLIES = re.compile(r"(?:^|\s)(?:comments?|discussion|disqus|repl(?:y|ies)|respond)(?:$|[\s_-])", re.I)
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|text|body|page|blog)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+[^>]*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_GONE = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _RAW = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe")}
 
 
 class _Node:
     """An element: parent, whether it is left out, its score, and the characters in it and in its links."""
 
-    __slots__ = ("tag", "parent", "out", "names", "score", "chars", "linked", "paragraphs", "link")
+    __slots__ = ("tag", "parent", "out", "aside", "names", "score", "chars", "linked", "paragraphs", "link")
 
     def __init__(self, tag: str, parent: "_Node | None", names: str, out: bool):
-        self.tag, self.parent, self.names, self.out = tag, parent, names, out
+        self.tag, self.parent, self.names, self.out, self.aside = tag, parent, names, out, False
         self.score = self.chars = self.linked = self.paragraphs = 0
         self.link = tag == "a" or (parent is not None and parent.link)
 
@@ -116,11 +122,15 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
         if tag in BLOCKS:
             flush()
         above = stack[-1]
-        names = " ".join(x.strip("\"'") for x in _NAMES.findall(m[3])) if m[3] else ""
+        held: dict[str, str] = {}
+        for name, value in _ATTRIBUTE.findall(m[3]):
+            held.setdefault(name.lower(), value.strip("\"'"))
+        names = " ".join(held[x] for x in ("class", "id", "role") if x in held)
         inside = opened["article"] > 0
-        aside = tag in DROPPED or (tag == "header" and not inside) or (
-            tag not in ("html", "body", "article", "main") and bool(names) and bool(_ASIDE.search(names))) or (
-            tag == "article" and bool(re.search(r"comment|reply", names, re.I))) or bool(m[3] and _GONE.search(m[3]))
+        marked = tag not in ("html", "body", "article", "main") and bool(names) and bool(_ASIDE.search(names))
+        aside = tag in DROPPED or (tag == "header" and not inside) or (marked and (tag not in BLOCKS or bool(_REPLIES.search(names)))) or (
+            tag == "article" and bool(re.search(r"(?:^|\s)(?:comment|reply)(?:$|[\s_-])", names, re.I))) or (
+            "hidden" in held or held.get("aria-hidden", "").lower() == "true" or bool(_NONE.search(held.get("style", ""))))
         if tag in _VOID:
             continue
         if tag in _RAW:
@@ -128,6 +138,7 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
             at = done.end() if done else len(page)
             continue
         stack.append(_Node(tag, above, names, above.out or aside))
+        stack[-1].aside = marked
         opened[tag] += 1
         if above.out is False and stack[-1].out:
             if tag in BLOCKS or tag in DROPPED:
@@ -139,6 +150,26 @@ def _blocks(page: str) -> list[tuple[_Node, str, int]]:
     return out
 
 
+def _points(text: str, linked: int) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+
+
+def _without_asides(blocks: list[tuple[_Node, str, int]]) -> list[tuple[_Node, str, int]]:
+    """The blocks outside elements marked as asides; such an element stays if most of a long page is in it."""
+    total, inside, chains = 0.0, Counter(), []
+    for node, text, linked in blocks:
+        points, chain, up = _points(text, linked), [], node
+        while up is not None:
+            if up.aside:
+                chain.append(id(up))
+            up = up.parent
+        total += points
+        for n in chain:
+            inside[n] += points
+        chains.append(chain)
+    return [b for b, chain in zip(blocks, chains) if all(inside[n] >= RESCUED and inside[n] > total / 2 for n in chain)]
+
+
 def main_text(page: str) -> str:
     """The article's blocks, one per line.
 
@@ -148,14 +179,14 @@ def main_text(page: str) -> str:
     most points, discounted by its link density, is the article, with those
     siblings that also hold paragraphs that are not mostly links.
     """
-    blocks = _blocks(page)
+    blocks = _without_asides(_blocks(page))
     if not blocks:
         return ""
     seen: dict[int, _Node] = {}
     chains = []
     for node, text, linked in blocks:
         density = linked / len(text)
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - density)
+        points = _points(text, linked)
         chain, up, paragraph = [], node, node.tag in ("p", "pre", "blockquote", "td", "div", "section", "article", "main")
         holder = node.parent if node.tag in ("p", "pre", "blockquote", "td", "li") and node.parent else node
         level = count(0)

@@ -157,6 +157,19 @@ def test_html(spark):
     assert html_text.extract_pages(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("attributes", ['style="overflow:hidden"', 'aria-hidden="false"', 'class="hidden-print"', 'title="a hidden gem"',
+                                        'class="layout has-sidebar"', 'class="article-header"', 'class="no-sidebar"', 'class="widget"'])
+def test_html_containers_stay(attributes):
+    article = [f"Paragraph {i}, of a story, that goes on, long enough to count." for i in range(5)]
+    page = f"<body><div {attributes}>" + "".join(f"<p>{p}</p>" for p in article) + '</div><div class="top-nav"><p>Menu</p></div></body>'
+    assert html_text.main_text(page) == "\n".join(article)
+
+
+@pytest.mark.parametrize("attributes", ["hidden", "aria-hidden=true", 'style="color:red; display: none"', 'class="ad-banner"', 'id="comments"'])
+def test_html_asides_go(attributes):
+    assert html_text.main_text(f"<div><p>The article, all of it.</p><div {attributes}><p>Not this, at all.</p></div></div>") == "The article, all of it."
+
+
 def test_html_of_given_pages(spark):
     import html
 
