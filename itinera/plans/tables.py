@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @lru_cache(maxsize=1)
@@ -26,6 +29,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _local_root()
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query go when it ends, instead of when the driver's memory is next collected."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 class TableStore:
     """Parquet tables of one run.
 
@@ -44,7 +61,8 @@ class TableStore:
         if observation is not None:
             df = df.observe(observation, *[c.alias(k) for k, c in counters.items()])
         target = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(target)
+        with _shuffles_removed(self.spark):
+            df.write.mode("overwrite").parquet(target)
         table = self.spark.read.schema(df.schema).parquet(target)
         return table, (observation.get if observation is not None else {})
 
