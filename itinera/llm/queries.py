@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from itinera.llm import (alignment, embedding_dedup, html_text, jaccard, language_id, line_dedup, manifest, neighbours, packing, pieces,
-                         private_data, secret_scan)
+                         private_data, secret_scan, substrings)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_pages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_pii": op9_pii,
     "op10_language_id": op10_language_id,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_alignment": op12_alignment,
     "op13_manifest": op13_manifest,
 }
@@ -116,6 +121,17 @@ ORACLES: dict[str, str] = {
         reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, reach.c FROM reach JOIN e ON e.a = reach.doc_id)
         SELECT doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(reach.c) AS component_id
         FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id""",
+    "op11_substring_dedup": """
+        WITH words AS (
+            SELECT row_number() OVER () AS r, doc_id,
+                   list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        runs AS (SELECT r, doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words)),
+        later AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM runs) WHERE k > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 20)) AS i FROM later),
+        g AS (SELECT r, list(i) AS places, count(*) AS n FROM gone GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+               sha256(coalesce(array_to_string(CASE WHEN n IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(places, k)) END, ' '), '')) AS kept_sha256
+        FROM words LEFT JOIN g USING (r)""",
     "op13_manifest": f"""
         WITH RECURSIVE docs AS (
             SELECT row_number() OVER () AS r, doc_id, lang, {_fields('n_chars')} AS plain, {_fields('n_chars + 1')} AS more,
