@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 from collections import Counter
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -26,7 +28,9 @@ FAN = 16
 #: Most id pairs whose counts travel to every task; with more of them the counts are joined by shuffle.
 PAIRS = 4_000_000
 #: Bytes of segments that a worker remembers.
-CACHED = 64 << 20
+CACHED = 160 << 20
+#: Texts that are looked at together.
+TOGETHER = 128
 
 # Between two characters that are no white space, no token of either kind crosses the place before a single space:
 # the first pattern takes a space only in front, and no piece of the second has its marker after another character.
@@ -48,25 +52,70 @@ def _byte_level() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + k): b for k, b in enumerate(others)}}
 
 
+#: Fixed value: the pattern that byte-level vocabularies cut texts by.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Tokenizers:
-    """Both vocabularies: ids of a segment and the bytes of each id."""
+    """Both vocabularies: ids of segments and the bytes of each id.
+
+    The first is run by the faster of two libraries where its ids are in the
+    order of its merges, which then rank them.
+    """
 
     def __init__(self, first: str, second: bytes):
-        self.a = Tokenizer.from_str(first)
-        self.a.encode_special_tokens = True
+        alphabet, told = _byte_level(), json.loads(first)
+        spell = lambda piece: bytes(map(alphabet.__getitem__, piece)) if all(c in alphabet for c in piece) else piece.encode()
+        slow = Tokenizer.from_str(first)
+        slow.encode_special_tokens = True
+        self.bytes_a = {i: spell(piece) for piece, i in slow.get_vocab(True).items()}
+        vocab, merges = told["model"]["vocab"], [m if isinstance(m, list) else m.split(" ") for m in told["model"]["merges"]]
+        made = [vocab.get("".join(m), -1) for m in merges]
+        special = {t["content"] for t in told.get("added_tokens", [])}
+        ranks = {spell(piece): i for piece, i in vocab.items() if piece not in special}
+        if told["pre_tokenizer"].get("type") == "ByteLevel" and not told["pre_tokenizer"].get("add_prefix_space") and made == sorted(set(made)) \
+                and len(made) + 256 == len(ranks) and not told.get("normalizer"):
+            self.encode_a = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        else:
+            self.encode_a = lambda text: slow.encode(text, add_special_tokens=False).ids
         self.b = sentencepiece.SentencePieceProcessor(model_proto=second)
-        alphabet = _byte_level()
-        self.bytes_a = {i: bytes(alphabet[c] for c in piece) if all(c in alphabet for c in piece) else piece.encode()
-                        for piece, i in self.a.get_vocab(True).items()}
         piece = self.b.id_to_piece
         self.bytes_b = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode()
                         for i in range(self.b.get_piece_size())]
+        self.size_a = [len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)]
+        self.size_b = list(map(len, self.bytes_b))
+
+    def encode(self, parts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """Ids of space + segment by both for each segment, None where the tokens' bytes are not the segment's."""
+        out, of_a, of_b = [], self.bytes_a.__getitem__, self.bytes_b.__getitem__
+        for segment, b in zip(parts, self.b.encode(parts, num_threads=1)):
+            spaced = " " + segment
+            a, raw = self.encode_a(spaced), spaced.encode()
+            out.append((a, b) if b"".join(map(of_a, a)) == raw == b"".join(map(of_b, b)) else None)
+        return out
 
-    def encode(self, segment: str) -> tuple[list[int], list[int], bool]:
-        """Ids of space + segment by both, and whether both are its bytes."""
-        a, b = self.a.encode(" " + segment, add_special_tokens=False).ids, self.b.encode(segment)
-        raw = b" " + segment.encode()
-        return a, b, b"".join(map(self.bytes_a.__getitem__, a)) == raw == b"".join(map(self.bytes_b.__getitem__, b))
+    def groups_and_links(self, a: list[int], b: list[int]) -> tuple[str, int, list[int]]:
+        """Groups as text, their number, and the key of each linked pair, in one walk over the ends of both."""
+        size_a, size_b = self.size_a, self.size_b
+        links, groups = [], []
+        i = j = start_a = start_b = 0
+        end_a, end_b, last = size_a[a[0]], size_b[b[0]], len(a) - 1
+        while True:
+            links.append(a[i] << 32 | b[j])
+            if end_a < end_b:
+                i += 1
+                end_a += size_a[a[i]]
+            elif end_b < end_a:
+                j += 1
+                end_b += size_b[b[j]]
+            else:
+                groups.append(group_text(a[start_a:i + 1], b[start_b:j + 1]))
+                if i == last:
+                    return ";".join(groups), len(groups), links
+                i, j = i + 1, j + 1
+                start_a, start_b = i, j
+                end_a += size_a[a[i]]
+                end_b += size_b[b[j]]
 
 
 # --------------------------------------------------------------------------------------------- the monoid
@@ -102,7 +151,7 @@ class Fragment:
         return ";".join(filter(None, (group_text(*self.head), self.closed))) if self.cut else ""
 
 
-def group_text(a: tuple[int, ...], b: tuple[int, ...]) -> str:
+def group_text(a, b) -> str:
     return f"{','.join(map(str, a))}|{','.join(map(str, b))}"
 
 
@@ -123,11 +172,11 @@ class Aligned:
 
 def aligned(tokenizers: Tokenizers, segment: str) -> Aligned | None:
     """Tokens of space + segment with their ends, or None where the tokens' bytes are not the segment's."""
-    a, b, same = tokenizers.encode(segment)
-    if not same:
+    (ids,) = tokenizers.encode([segment])
+    if ids is None:
         return None
-    ends = lambda ids, of: np.cumsum([len(of[i]) for i in ids])
-    return Aligned(a, b, ends(a, tokenizers.bytes_a), ends(b, tokenizers.bytes_b))
+    ends = lambda found, size: np.cumsum([size[i] for i in found])
+    return Aligned(*ids, ends(ids[0], tokenizers.size_a), ends(ids[1], tokenizers.size_b))
 
 
 def fragment(text: Aligned, low: int, high: int, weigh) -> Fragment:
@@ -137,7 +186,8 @@ def fragment(text: Aligned, low: int, high: int, weigh) -> Fragment:
     common = np.intersect1d(text.end_a[a0:a1], text.end_b[b0:b1], assume_unique=True)
     first, second, ends = text.links()
     here = (ends > low) & (ends <= high)
-    counts = (int(a1 - a0), int(b1 - b0), len(common), int(here.sum()), *weigh(first[here], second[here]))
+    best, count = weigh(first[here] << 32 | second[here])
+    counts = (int(a1 - a0), int(b1 - b0), len(common), int(here.sum()), int(best.sum()), int(count.sum()))
     if not len(common):
         return Fragment(False, (tuple(text.a[a0:a1]), tuple(text.b[b0:b1])), counts=counts)
     cut_a, cut_b = np.searchsorted(text.end_a, common) + 1, np.searchsorted(text.end_b, common) + 1
@@ -146,8 +196,9 @@ def fragment(text: Aligned, low: int, high: int, weigh) -> Fragment:
                     (tuple(text.a[cut_a[-1]:a1]), tuple(text.b[cut_b[-1]:b1])), counts)
 
 
-def no_weights(first: np.ndarray, second: np.ndarray) -> tuple[int, int]:
-    return 0, 0
+def no_weights(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    nothing = np.zeros(len(keys), dtype=np.int64)
+    return nothing, nothing
 
 
 class Weights:
@@ -159,15 +210,11 @@ class Weights:
         b = self.keys & 0xFFFFFFFF
         most = np.zeros(int(b.max()) + 1 if len(b) else 1, dtype=np.int64)
         np.maximum.at(most, b, self.counts)
-        self.best = self.counts == most[b]
-
-    def __call__(self, first: np.ndarray, second: np.ndarray) -> tuple[int, int]:
-        at = np.searchsorted(self.keys, pair_keys(first, second))
-        return int(self.best[at].sum()), int(self.counts[at].sum())
-
+        self.best = (self.counts == most[b]).astype(np.int64)
 
-def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return first << 32 | second
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(self.keys, keys)
+        return self.best[at], self.counts[at]
 
 
 # ------------------------------------------------------------------------------------------------- ranges
@@ -205,17 +252,29 @@ class Aligner(dict):
         super().__init__()
         self.tokenizers, self.weigh, self.held = tokenizers, weigh, 0
 
-    def __missing__(self, segment: str) -> tuple[str, int] | None:
-        text, found = aligned(self.tokenizers, segment), None
-        if text is not None:
-            f = fragment(text, 0, int(text.end_a[-1]), self.weigh)
-            found = (f.groups(), sum(c << 64 * i for i, c in enumerate(f.counts)))
-        size = 400 + 8 * len(segment) + (len(found[0]) if found else 0)
-        if self.held + size > CACHED:
+    def learn(self, parts: set[str]) -> None:
+        """Remember segments, encoded and weighed together."""
+        if self.held > CACHED:
             self.clear()
             self.held = 0
-        self[segment], self.held = found, self.held + size
-        return found
+        fresh = list(parts - self.keys())
+        walked = [(s, ids, self.tokenizers.groups_and_links(*ids) if ids else None) for s, ids in zip(fresh, self.tokenizers.encode(fresh))]
+        links = [w[2] for _, _, w in walked if w]
+        if links:
+            first = np.cumsum([0] + [len(x) for x in links[:-1]])
+            best, count = (np.add.reduceat(x, first).tolist() for x in self.weigh(np.array([p for x in links for p in x], dtype=np.int64)))
+        k = 0
+        for segment, ids, w in walked:
+            self[segment] = None
+            self.held += 300 + 4 * len(segment)
+            if w:
+                self[segment] = w[0], len(ids[0]) | len(ids[1]) << 64 | w[1] << 128 | len(w[2]) << 192 | best[k] << 256 | count[k] << 320
+                self.held += len(w[0])
+                k += 1
+
+    def __missing__(self, segment: str) -> tuple[str, int] | None:
+        self.learn({segment})
+        return self[segment]
 
     def inside(self, parts: list[str]) -> Fragment | None:
         """The fragment of whole segments in turn, each of which starts and ends at a common end."""
@@ -228,11 +287,6 @@ class Aligner(dict):
         closed = ";".join(filter(None, [rest, *[f[0] for f in found[1:]]]))
         return Fragment(True, (a, b), closed, counts=tuple(total >> 64 * i & (1 << 64) - 1 for i in range(6)))
 
-    def whole_text(self, text: str) -> tuple[str, tuple[int, ...]] | None:
-        """(groups, counts) of a text of one range."""
-        f = self.inside(segments(text))
-        return None if f is None else (f.groups(), f.counts)
-
     def part(self, piece: str, low: int, high: int) -> Fragment | None:
         """The fragment of the bytes (low, high] of space + piece; None if the bytes differ."""
         parts = segments(piece)
@@ -279,38 +333,43 @@ def _ranges_of(batches, size: int):
                      pa.array([hi for _, _, hi in part], pa.int64())], ["key", "place", "text", "low", "high"])
 
 
-def _counts(found: dict[str, int], links: dict) -> pa.RecordBatch:
-    keys = np.concatenate([links[s][0] for s in found] or [np.empty(0, np.int64)])
-    times = np.concatenate([links[s][1] * n for s, n in found.items()] or [np.empty(0, np.int64)])
+def _counts(seen: dict[str, int], links: dict[str, list[int]]) -> pa.RecordBatch:
+    """(pair, n): links of segments times how often these occur."""
+    some = [(links[s], n) for s, n in seen.items()]
+    keys = np.array([p for x, _ in some for p in x], dtype=np.int64)
+    times = np.repeat(np.array([n for _, n in some], dtype=np.int64), [len(x) for x, _ in some]) if some else keys
     pairs, place = np.unique(keys, return_inverse=True)
     sums = np.zeros(len(pairs), dtype=np.int64)
     np.add.at(sums, place, times)
     return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(sums)], ["pair", "n"])
 
 
-def _linked(tokenizers: Tokenizers, segment: str):
-    text = aligned(tokenizers, segment)
-    if text is None:
-        return None
-    first, second, _ = text.links()
-    return np.unique(pair_keys(first, second), return_counts=True)
+def _learn_links(tokenizers: Tokenizers, links: dict[str, list[int]], unlike: set[str], parts: set[str]) -> int:
+    """Add the links of new segments, or those whose bytes differ to ``unlike``; returns about how many bytes they take."""
+    fresh, held = list(parts - links.keys() - unlike), 0
+    for segment, ids in zip(fresh, tokenizers.encode(fresh)):
+        if ids is None:
+            unlike.add(segment)
+        else:
+            links[segment] = tokenizers.groups_and_links(*ids)[2]
+        held += 250 + 4 * len(segment) + 40 * len(links.get(segment, ()))
+    return held
 
 
 def _pair_counts(batches, vocabularies, key: str):
     """(pair, n) of the task's texts, added up by segment; texts whose bytes differ count nothing."""
     tokenizers = _tokenizers(vocabularies, key)
-    seen, links, held = Counter(), {}, 0
+    seen, links, unlike, held = Counter(), {}, set(), 0
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            own = Counter(segments(text))
-            for segment in own.keys() - links.keys():
-                links[segment] = _linked(tokenizers, segment)
-                held += 400 + 4 * len(segment) + (16 * len(links[segment][0]) if links[segment] else 0)
-            if all(links[s] is not None for s in own):
-                seen.update(own)
+        for low in range(0, batch.num_rows, TOGETHER):
+            texts = [segments(t) for t in batch.column(0).slice(low, TOGETHER).to_pylist()]
+            held += _learn_links(tokenizers, links, unlike, set().union(*texts))
+            for parts in texts:
+                if not unlike or unlike.isdisjoint(parts):
+                    seen.update(parts)
             if held > CACHED:
                 yield _counts(seen, links)
-                seen, links, held = Counter(), {}, 0
+                seen, links, unlike, held = Counter(), {}, set(), 0
     yield _counts(seen, links)
 
 
@@ -329,8 +388,13 @@ def _columns(rows: list[tuple]) -> list[pa.Array]:
 def _short(batches, vocabularies, key: str, weights):
     aligner = once_per_worker(key + "w", lambda: Aligner(_tokenizers(vocabularies, key), weights.value if weights else no_weights))
     for batch in batches:
-        rows = [_row(aligner.whole_text(t) if t else None) for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *_columns(rows)], ["doc_id", *_NAMES])
+        for low in range(0, batch.num_rows, TOGETHER):
+            rows = batch.slice(low, TOGETHER)
+            texts = [segments(t) if t else None for t in rows.column(1).to_pylist()]
+            aligner.learn(set().union(*filter(None, texts)))
+            found = [aligner.inside(parts) if parts else None for parts in texts]
+            out = [_row((f.groups(), f.counts) if f else None) for f in found]
+            yield pa.RecordBatch.from_arrays([rows.column(0), *_columns(out)], ["doc_id", *_NAMES])
 
 
 _FRAGMENT = ("key bigint, place bigint, same boolean, cut boolean, head_a array<bigint>, head_b array<bigint>, closed string, "
@@ -393,9 +457,9 @@ def _doc_pairs(batches, vocabularies, key: str):
     tokenizers = _tokenizers(vocabularies, key)
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = Counter(segments(text))
-            links = {s: _linked(tokenizers, s) for s in own}
-            if all(links.values()):
+            own, links, unlike = Counter(segments(text)), {}, set()
+            _learn_links(tokenizers, links, unlike, set(own))
+            if not unlike:
                 out = _counts(own, links)
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * out.num_rows, pa.int64()), *out.columns], ["key", "pair", "n"])
 

@@ -96,6 +96,14 @@ def test_fragments_are_a_monoid(both):
         assert (x + y) + (z + w) == x + ((y + z) + w) == one == one + A.Fragment() == A.Fragment() + one
 
 
+def test_both_libraries_of_the_first_vocabulary_agree(both):
+    slow = Tokenizer.from_file(FIRST)
+    slow.encode_special_tokens = True
+    texts = [" " + t for t in some_texts(3000) if t]
+    assert both.encode_a.__self__.__class__.__name__ == "Encoding"
+    assert [both.encode_a(t) for t in texts] == [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_given_documents(spark, both):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").collect()
     got = QUERIES["op12_alignment"](spark, "/root/testdata/sf0.001").collect()
