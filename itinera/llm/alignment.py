@@ -9,9 +9,11 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
@@ -84,6 +86,7 @@ class Tokenizers:
                         for i in range(self.b.get_piece_size())]
         self.size_a = [len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)]
         self.size_b = list(map(len, self.bytes_b))
+        self.length_a, self.length_b = np.array(self.size_a), np.array(self.size_b)
 
     def encode(self, parts: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """Ids of space + segment by both for each segment, None where the tokens' bytes are not the segment's."""
@@ -94,28 +97,33 @@ class Tokenizers:
             out.append((a, b) if b"".join(map(of_a, a)) == raw == b"".join(map(of_b, b)) else None)
         return out
 
-    def groups_and_links(self, a: list[int], b: list[int]) -> tuple[str, int, list[int]]:
-        """Groups as text, their number, and the key of each linked pair, in one walk over the ends of both."""
-        size_a, size_b = self.size_a, self.size_b
-        links, groups = [], []
-        i = j = start_a = start_b = 0
-        end_a, end_b, last = size_a[a[0]], size_b[b[0]], len(a) - 1
-        while True:
-            links.append(a[i] << 32 | b[j])
-            if end_a < end_b:
-                i += 1
-                end_a += size_a[a[i]]
-            elif end_b < end_a:
-                j += 1
-                end_b += size_b[b[j]]
-            else:
-                groups.append(group_text(a[start_a:i + 1], b[start_b:j + 1]))
-                if i == last:
-                    return ";".join(groups), len(groups), links
-                i, j = i + 1, j + 1
-                start_a, start_b = i, j
-                end_a += size_a[a[i]]
-                end_b += size_b[b[j]]
+    def walk(self, ids: list[tuple[list[int], list[int]]]) -> Walk:
+        """Links and groups of many segments at once: one after another they are a text that has a common end after each."""
+        flat = [np.fromiter(chain.from_iterable(x[k] for x in ids), dtype=np.int64) for k in (0, 1)]
+        ends = [np.cumsum(size[f]) for size, f in zip((self.length_a, self.length_b), flat)]
+        last = ends[0][np.cumsum([len(x[0]) for x in ids]) - 1]
+        every, common = np.union1d(*ends), np.intersect1d(*ends, assume_unique=True)
+        keys = flat[0][np.searchsorted(ends[0], every)] << 32 | flat[1][np.searchsorted(ends[1], every)]
+        per = lambda found: np.diff(np.append(0, np.searchsorted(found, last, side="right")))
+        return Walk(flat, [np.append(0, np.searchsorted(e, common) + 1) for e in ends], keys, per(every), per(common))
+
+
+@dataclass(frozen=True)
+class Walk:
+    """Many segments in turn: ids of both, where groups are cut in them, pair keys of the links, links and groups of each segment."""
+    flat: list[np.ndarray]
+    cuts: list[np.ndarray]
+    keys: np.ndarray
+    links: np.ndarray
+    groups: np.ndarray
+
+    def texts(self) -> list[str]:
+        """The groups of each segment as text."""
+        shown = [list(map(str, f.tolist())) for f in self.flat]
+        a, b = (c.tolist() for c in self.cuts)
+        each = [f"{','.join(shown[0][i:j])}|{','.join(shown[1][k:m])}" for i, j, k, m in zip(a, a[1:], b, b[1:])]
+        ends = np.cumsum(self.groups).tolist()
+        return [";".join(each[i:j]) for i, j in zip([0, *ends], ends)]
 
 
 # --------------------------------------------------------------------------------------------- the monoid
@@ -258,19 +266,19 @@ class Aligner(dict):
             self.clear()
             self.held = 0
         fresh = list(parts - self.keys())
-        walked = [(s, ids, self.tokenizers.groups_and_links(*ids) if ids else None) for s, ids in zip(fresh, self.tokenizers.encode(fresh))]
-        links = [w[2] for _, _, w in walked if w]
-        if links:
-            first = np.cumsum([0] + [len(x) for x in links[:-1]])
-            best, count = (np.add.reduceat(x, first).tolist() for x in self.weigh(np.array([p for x in links for p in x], dtype=np.int64)))
-        k = 0
-        for segment, ids, w in walked:
-            self[segment] = None
-            self.held += 300 + 4 * len(segment)
-            if w:
-                self[segment] = w[0], len(ids[0]) | len(ids[1]) << 64 | w[1] << 128 | len(w[2]) << 192 | best[k] << 256 | count[k] << 320
-                self.held += len(w[0])
-                k += 1
+        ids = self.tokenizers.encode(fresh)
+        self.update(dict.fromkeys(fresh))
+        fresh = [s for s, x in zip(fresh, ids) if x]
+        ids = [x for x in ids if x]
+        if not fresh:
+            return
+        walk = self.tokenizers.walk(ids)
+        first = np.cumsum(np.append(0, walk.links[:-1]))
+        sums = [walk.links] + [np.add.reduceat(x, first) for x in self.weigh(walk.keys)]
+        texts = walk.texts()
+        for segment, (a, b), text, n_groups, n_links, best, count in zip(fresh, ids, texts, walk.groups.tolist(), *(x.tolist() for x in sums)):
+            self[segment] = text, len(a) | len(b) << 64 | n_groups << 128 | n_links << 192 | best << 256 | count << 320
+        self.held += 300 * len(fresh) + 4 * sum(map(len, fresh)) + sum(map(len, texts))
 
     def __missing__(self, segment: str) -> tuple[str, int] | None:
         self.learn({segment})
@@ -333,44 +341,50 @@ def _ranges_of(batches, size: int):
                      pa.array([hi for _, _, hi in part], pa.int64())], ["key", "place", "text", "low", "high"])
 
 
-def _counts(seen: dict[str, int], links: dict[str, list[int]]) -> pa.RecordBatch:
-    """(pair, n): links of segments times how often these occur."""
-    some = [(links[s], n) for s, n in seen.items()]
-    keys = np.array([p for x, _ in some for p in x], dtype=np.int64)
-    times = np.repeat(np.array([n for _, n in some], dtype=np.int64), [len(x) for x, _ in some]) if some else keys
-    pairs, place = np.unique(keys, return_inverse=True)
-    sums = np.zeros(len(pairs), dtype=np.int64)
-    np.add.at(sums, place, times)
-    return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(sums)], ["pair", "n"])
-
-
-def _learn_links(tokenizers: Tokenizers, links: dict[str, list[int]], unlike: set[str], parts: set[str]) -> int:
-    """Add the links of new segments, or those whose bytes differ to ``unlike``; returns about how many bytes they take."""
-    fresh, held = list(parts - links.keys() - unlike), 0
-    for segment, ids in zip(fresh, tokenizers.encode(fresh)):
-        if ids is None:
-            unlike.add(segment)
-        else:
-            links[segment] = tokenizers.groups_and_links(*ids)[2]
-        held += 250 + 4 * len(segment) + 40 * len(links.get(segment, ()))
-    return held
+class LinkCounts:
+    """Links of a task's texts, added up by segment before they are looked at one by one."""
+
+    def __init__(self, tokenizers: Tokenizers):
+        self.tokenizers, self.seen, self.known, self.unlike = tokenizers, Counter(), {}, set()
+        self.keys, self.links, self.held = [], [], 0
+
+    def add(self, texts: list[list[str]]) -> None:
+        """Count the segments of texts; those of a text whose bytes differ count nothing."""
+        fresh = list(set().union(*texts) - self.known.keys() - self.unlike)
+        ids = self.tokenizers.encode(fresh)
+        self.unlike.update(s for s, x in zip(fresh, ids) if not x)
+        fresh, ids = [s for s, x in zip(fresh, ids) if x], [x for x in ids if x]
+        if fresh:
+            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+            walk = self.tokenizers.walk(ids)
+            self.keys.append(walk.keys)
+            self.links.append(walk.links)
+            self.held += 250 * len(fresh) + 4 * sum(map(len, fresh)) + 8 * len(walk.keys)
+        for parts in texts:
+            if not self.unlike or self.unlike.isdisjoint(parts):
+                self.seen.update(parts)
+
+    def taken(self) -> pa.RecordBatch:
+        """(pair, n) of what was added since the last time."""
+        n = np.zeros(len(self.known), dtype=np.int64)
+        n[[self.known[s] for s in self.seen]] = list(self.seen.values())
+        keys = np.concatenate(self.keys or [n])
+        pairs, place = np.unique(keys, return_inverse=True)
+        sums = np.zeros(len(pairs), dtype=np.int64)
+        np.add.at(sums, place, np.repeat(n, np.concatenate(self.links or [n])))
+        self.__init__(self.tokenizers)
+        return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(sums)], ["pair", "n"])
 
 
 def _pair_counts(batches, vocabularies, key: str):
-    """(pair, n) of the task's texts, added up by segment; texts whose bytes differ count nothing."""
-    tokenizers = _tokenizers(vocabularies, key)
-    seen, links, unlike, held = Counter(), {}, set(), 0
+    """(pair, n) of the task's texts."""
+    counts = LinkCounts(_tokenizers(vocabularies, key))
     for batch in batches:
         for low in range(0, batch.num_rows, TOGETHER):
-            texts = [segments(t) for t in batch.column(0).slice(low, TOGETHER).to_pylist()]
-            held += _learn_links(tokenizers, links, unlike, set().union(*texts))
-            for parts in texts:
-                if not unlike or unlike.isdisjoint(parts):
-                    seen.update(parts)
-            if held > CACHED:
-                yield _counts(seen, links)
-                seen, links, unlike, held = Counter(), {}, set(), 0
-    yield _counts(seen, links)
+            counts.add([segments(t) for t in batch.column(0).slice(low, TOGETHER).to_pylist()])
+            if counts.held > CACHED:
+                yield counts.taken()
+    yield counts.taken()
 
 
 _RESULT = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
@@ -454,13 +468,13 @@ def compose(fragments: DataFrame, store: TableStore, fan: int = FAN) -> DataFram
 
 def _doc_pairs(batches, vocabularies, key: str):
     """(key, pair, n) of every text: how often it links a pair."""
-    tokenizers = _tokenizers(vocabularies, key)
+    counts = LinkCounts(_tokenizers(vocabularies, key))
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own, links, unlike = Counter(segments(text)), {}, set()
-            _learn_links(tokenizers, links, unlike, set(own))
-            if not unlike:
-                out = _counts(own, links)
+            counts.add([segments(text)])
+            out = counts.taken()
+            out = out.filter(pc.greater(out.column(1), 0))
+            if out.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * out.num_rows, pa.int64()), *out.columns], ["key", "pair", "n"])
 
 
