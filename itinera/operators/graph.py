@@ -118,45 +118,156 @@ def component_summary(components: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- J8: diameter
 
+class _Rounds:
+    """Rows that each round adds to a state, as one table a round.
+
+    A round writes only what is new. Beyond ``MOST`` tables they are merged to
+    one by ``merge``, so a row is rewritten once in so many rounds at the most.
+    """
+
+    MOST = 8
+
+    def __init__(self, store: TableStore, name: str, merge):
+        self.store, self.name, self.merge = store, name, merge
+        self.tables: list[DataFrame] = []
+        self.names: list[str] = []
+        self.written = 0
+
+    def add(self, rows: DataFrame, **counters: Column) -> tuple[DataFrame, dict]:
+        """Write the rows of a round; returns them and their counters. Older rounds may be merged then."""
+        last = self._write(rows, **counters)
+        if len(self.tables) > self.MOST:
+            older = self.rows()
+            names, self.names, self.tables = self.names, self.names[-1:], []
+            self.tables = [self._write(self.merge(older))[0]]
+            self.names.reverse()
+            for name in names[:-1]:
+                self.store.drop(name)
+        self.tables.append(last[0])
+        return last
+
+    def _write(self, rows: DataFrame, **counters: Column) -> tuple[DataFrame, dict]:
+        self.written += 1
+        self.names.append(f"{self.name}-{self.written}")
+        return self.store.write(rows, self.names[-1], **counters)
+
+    def rows(self) -> DataFrame:
+        out = self.tables[0]
+        for table in self.tables[1:]:
+            out = out.unionByName(table)
+        return out
+
+
 def hop_distances(edges: DataFrame, sources: DataFrame, hub_degree: int = HUB_DEGREE) -> DataFrame:
-    """Fewest hops from each source to every node it reaches: (source, node, hops)."""
+    """Fewest hops from each source to every node it reaches: (source, node, hops).
+
+    Breadth first: a round writes only the pairs that it is the first to reach.
+    """
     store = TableStore(edges.sparkSession, "hops")
     graph = Adjacency(edges.select("src", "dst").distinct(), store, hub_degree)
-    reached, _ = store.write(sources.select(F.col("node").alias("source"), "node").distinct()
-                             .withColumn("hops", F.lit(0)), "reached-0")
-    rounds = 0
+    reached = _Rounds(store, "reached", lambda rows: rows)
+    last, _ = reached.add(sources.select(F.col("node").alias("source"), "node").distinct().withColumn("hops", F.lit(0)))
+    hops = 0
     while True:
-        rounds += 1
-        frontier = reached.filter(F.col("hops") == rounds - 1).select("source", "node")
-        ahead = graph.expand(frontier).select("source", F.col("dst").alias("node"),
-                                              F.lit(rounds).alias("hops"))
-        merged = reached.unionByName(ahead).groupBy("source", "node").agg(F.min("hops").alias("hops"))
-        new, seen = store.write(merged, f"reached-{rounds}", fresh=F.count_if(F.col("hops") == rounds))
-        store.drop(f"reached-{rounds - 1}")
-        reached = new
-        if not seen["fresh"]:
-            return reached
+        hops += 1
+        ahead = graph.expand(last.select("source", "node")).select("source", F.col("dst").alias("node")).distinct()
+        fresh = ahead.join(reached.rows().select("source", "node"), ["source", "node"], "left_anti")
+        last, seen = reached.add(fresh.withColumn("hops", F.lit(hops)), n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return reached.rows()
 
 
 def hop_diameter(nodes: DataFrame, edges: DataFrame, sources: DataFrame | None = None,
-                 hub_degree: int = HUB_DEGREE) -> DataFrame:
-    """(is_connected, diameter); the diameter is null unless all sources reach all nodes.
+                 hub_degree: int = HUB_DEGREE, first_searches: int = 64) -> DataFrame:
+    """(is_connected, diameter, searches); the diameter is null unless all nodes reach all nodes.
+
+    A node's eccentricity is at most that of a searched node plus the way to
+    it, so a search from a few nodes bounds all others (Takes and Kosters,
+    "Determining the diameter of small world networks", 2011). Nodes whose
+    bound does not exceed the longest way found so far need no search. Rounds
+    search from those with the highest upper and the lowest lower bounds, twice
+    as many each time, until no node is left; the state is searches x nodes,
+    not nodes squared. Directed edges are allowed; ``searches`` counts the nodes searched from.
 
     With ``sources`` (node) the search starts there only and gives a lower bound.
     """
-    starts = nodes.select("node") if sources is None else sources
-    reach = hop_distances(edges, starts, hub_degree)
-    total = nodes.select("node").distinct().agg(F.count(F.lit(1))).scalar()
-    per_source = reach.groupBy("source").agg(F.count(F.lit(1)).alias("seen"), F.max("hops").alias("far"))
-    found = per_source.agg(F.min("seen").alias("least"), F.max("far").alias("far"))
-    connected = F.coalesce(F.col("least") == total, F.lit(False))
-    return found.select(connected.alias("is_connected"), F.when(connected, F.col("far")).alias("diameter"))
+    spark = edges.sparkSession
+    store = TableStore(spark, "diameter")
+    ids, seen = store.write(nodes.select("node").distinct(), "nodes", n=F.count(F.lit(1)))
+    total = seen["n"]
+    answer = lambda connected, far, searches: spark.range(1).select(
+        F.lit(connected).alias("is_connected"), F.lit(far).cast("int").alias("diameter"), F.lit(searches).cast("bigint").alias("searches"))
+    if sources is not None:
+        reach = hop_distances(edges, sources.select("node").distinct(), hub_degree)
+        found = reach.groupBy("source").agg(F.count(F.lit(1)).alias("seen"), F.max("hops").alias("far")) \
+            .agg(F.min("seen").alias("least"), F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).first()
+        connected = found["least"] == total and total > 0
+        return answer(connected, found["far"] if connected else None, found["n"])
+    if not total:
+        return answer(False, None, 0)
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    degree = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    unknown = F.lit(2 ** 31 - 1)
+    bounds, _ = store.write(ids.join(degree, "node", "left").select(
+        "node", F.coalesce("degree", F.lit(0)).alias("degree"), F.lit(0).alias("low"), unknown.alias("up"), F.lit(False).alias("done")), "bounds-0")
+    best, searches, batch, rounds = 0, 0, first_searches, 0
+    while True:
+        rounds += 1
+        left = bounds.filter(~F.col("done") & (F.col("up") > best))
+        high = left.orderBy(F.desc("up"), F.desc("degree"), "node").limit((batch + 1) // 2).select("node")
+        low = left.orderBy("low", F.desc("degree"), "node").limit((batch + 1) // 2).select("node")
+        chosen, picked = store.write(high.unionByName(low).distinct(), f"chosen-{rounds}", n=F.count(F.lit(1)))
+        if not picked["n"]:
+            return answer(True, best, searches)
+        searches += picked["n"]
+        far, out = store.write(hop_distances(edges, chosen, hub_degree).groupBy("source").agg(
+            F.count(F.lit(1)).alias("seen"), F.max("hops").alias("far")), f"far-{rounds}", least=F.min("seen"), far=F.max("far"))
+        if out["least"] < total:
+            return answer(False, None, searches)
+        best = max(best, out["far"])
+        told = (hop_distances(back, chosen, hub_degree).join(far.select("source", "far"), "source").groupBy("node")
+                .agg(F.count(F.lit(1)).alias("seen"), F.max("hops").alias("near"), F.min(F.col("hops") + F.col("far")).alias("most")))
+        now = (bounds.drop("seen").join(told, "node", "left").join(chosen.withColumn("now", F.lit(True)), "node", "left").select(
+            "node", "degree", F.greatest("low", F.coalesce("near", F.lit(0))).alias("low"), F.least("up", F.coalesce("most", unknown)).alias("up"),
+            (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"), F.coalesce("seen", F.lit(0)).alias("seen")))
+        bounds, out = store.write(now, f"bounds-{rounds}", least=F.min("seen"))
+        store.drop(f"bounds-{rounds - 1}")
+        if out["least"] < picked["n"]:  # some node does not reach a searched one
+            return answer(False, None, searches)
+        batch *= 2
 
 
 # --------------------------------------------------------------- J9: shortest paths
 
-def _label(cost: Column, hops: Column, path: Column, minutes: Column) -> Column:
-    return F.struct(cost.alias("cost"), hops.alias("hops"), path.alias("path"), minutes.alias("minutes"))
+#: Bits of a label that count hops; the cost in thousandths is above them.
+_HOP_BITS = 20
+_HOPS = (1 << _HOP_BITS) - 1
+
+
+def _path_levels(best: DataFrame, graph: Adjacency, depth: int, store: TableStore) -> DataFrame:
+    """The path of every (source, node) with a label, smallest first among equal labels: (source, node, path, minutes).
+
+    Only tight edges, those that give the label of their end, can be on such a
+    path. All paths to a node have equally many stops, so the smallest goes on
+    from the smallest path to one of its predecessors: one round for each hop,
+    over the nodes that many hops away.
+    """
+    mine = best.select("source", "node", "label")
+    tight = (graph.expand(mine).select("source", F.col("node").alias("before"), F.col("dst").alias("node"), "step",
+                                       (F.col("label") + F.col("weight")).alias("label"))
+             .join(mine, ["source", "node", "label"]).withColumn("hops", F.col("label").bitwiseAND(F.lit(_HOPS))))
+    tight, _ = store.write(tight.select("source", "before", "node", "step", "hops"), "tight")
+    start = mine.filter("label = 0").select("source", "node", F.array("source").alias("path"), F.lit(0).cast("bigint").alias("minutes"))
+    levels = [store.write(start, "level-0")[0]]
+    for hops in range(1, depth + 1):
+        ahead = (tight.filter(F.col("hops") == hops).join(levels[-1].withColumnRenamed("node", "before"), ["source", "before"])
+                 .groupBy("source", "node").agg(F.min(F.struct("path", (F.col("minutes") + F.col("step")).alias("minutes"))).alias("p")))
+        level = ahead.select("source", "node", F.concat("p.path", F.array("node")).alias("path"), "p.minutes")
+        levels.append(store.write(level, f"level-{hops}")[0])
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
 
 
 def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame,
@@ -167,53 +278,47 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame,
     (cost, hops, path) (P7). Unknown ends give ``InvalidStationError``, unreachable
     ones ``NoPathError``, equal ends a path of one node.
 
-    Label-correcting relaxation over (source, node): each round expands the rows
-    that improved, merges them into the state with one partially aggregated
-    shuffle, and drops rows that can no longer improve any target of their source.
-    Only the distinct sources enter, and only paths of improved rows travel.
+    Relaxation by deltas over (source, node): a round expands the labels that
+    improved and writes only those that improve in turn. A label is a cost and
+    its hops in one long; no path travels. A source is bounded by the dearest of its targets once
+    all are reached, before edges are followed and after. Paths are made at the
+    end, along the edges that are tight. Edge costs are positive, up to thousandths;
+    a sum too large for a label raises an overflow instead of a wrong route.
     """
     store = TableStore(edges.sparkSession, "paths")
     pairs = pairs.select("origin_uic", "destination_uic").distinct()
     known = nodes.select("uic")
     wanted = (pairs.join(known.withColumnRenamed("uic", "origin_uic"), "origin_uic", "left_semi")
               .join(known.withColumnRenamed("uic", "destination_uic"), "destination_uic", "left_semi"))
-    targets, _ = store.write(wanted.select(F.col("origin_uic").alias("source"),
-                                           F.col("destination_uic").alias("node")), "targets")
-    graph = Adjacency(edges.select("src", "dst", "cost", F.col("minutes").alias("step")), store, hub_degree)
-    zero = F.lit(0).cast("decimal(18,3)")
-    start = targets.select("source").distinct().select(
-        "source", F.col("source").alias("node"),
-        _label(zero, F.lit(0), F.array("source"), F.lit(0).cast("bigint")).alias("best"),
-        F.lit(True).alias("improved"))
-    state, _ = store.write(start, "state-0")
-    rounds = 0
-    while True:
-        rounds += 1
-        # a source is bounded once all its targets are reached: nothing dearer can help
-        limits = (targets.join(state.select("source", "node", F.col("best.cost").alias("cost")),
-                               ["source", "node"], "left")
-                  .groupBy("source").agg(F.max("cost").alias("limit"),
-                                         F.count_if(F.col("cost").isNull()).alias("open")))
-        frontier = (state.filter("improved").join(limits, "source")
-                    .filter((F.col("open") > 0) | (F.col("best.cost") < F.col("limit")))
-                    .select("source", "node", "best"))
-        best = F.col("best")
-        ahead = (graph.expand(frontier).filter(~F.array_contains(best["path"], F.col("dst")))
-                 .select("source", F.col("dst").alias("node"),
-                         _label((best["cost"] + F.col("cost")).cast("decimal(18,3)"), best["hops"] + 1,
-                                F.concat(best["path"], F.array("dst")), best["minutes"] + F.col("step"))
-                         .alias("best"),
-                         F.lit(None).cast(state.schema["best"].dataType).alias("old")))
-        merged = (state.select("source", "node", "best", F.col("best").alias("old")).unionByName(ahead)
-                  .groupBy("source", "node").agg(F.min("best").alias("best"), F.max("old").alias("old"))
-                  .select("source", "node", "best",
-                          (F.col("old").isNull() | (F.col("best") < F.col("old"))).alias("improved")))
-        new, seen = store.write(merged, f"state-{rounds}", improved=F.count_if("improved"))
-        store.drop(f"state-{rounds - 1}")
-        state = new
-        if not seen["improved"]:
-            break
-    found = state.select(F.col("source").alias("origin_uic"), F.col("node").alias("destination_uic"), "best.*")
+    targets = wanted.select(F.col("origin_uic").alias("source"), F.col("destination_uic").alias("node"))
+    weight = (F.col("cost") * 1000).cast("bigint") * (1 << _HOP_BITS) + 1
+    graph = Adjacency(edges.select("src", "dst", weight.alias("weight"), F.col("minutes").alias("step")), store, hub_degree)
+    nothing = F.lit(None).cast("bigint")
+    asked = (targets.withColumns({"label": nothing, "target": F.lit(True)})
+             .unionByName(targets.select("source", F.col("source").alias("node"), F.lit(0).cast("bigint").alias("label"), F.lit(False).alias("target")))
+             .groupBy("source", "node").agg(F.min("label").alias("label"), F.max("target").alias("target")))
+    merge = lambda rows: rows.groupBy("source", "node").agg(F.min("label").alias("label"), F.max("target").alias("target"))
+    state = _Rounds(store, "labels", merge)
+    last, seen = state.add(asked, n=F.count(F.lit(1)))
+    while seen["n"]:
+        limits = (merge(state.rows().filter("target")).groupBy("source")
+                  .agg(F.when(F.count_if(F.col("label").isNull()) == 0, F.max("label")).alias("limit")))
+        far = lambda label: F.col("limit").isNull() | (label <= F.col("limit").bitwiseOR(F.lit(_HOPS)))
+        frontier = last.filter("label is not null").join(limits, "source").filter(far(F.col("label")))
+        ahead = (graph.expand(frontier.select("source", "node", "label", "limit")).withColumn("label", F.col("label") + F.col("weight"))
+                 .filter(far(F.col("label"))).select("source", F.col("dst").alias("node"), "label", nothing.alias("old"), F.lit(False).alias("target")))
+        merged = (state.rows().withColumn("old", F.col("label")).unionByName(ahead).groupBy("source", "node")
+                  .agg(F.min("label").alias("label"), F.min("old").alias("old"), F.max("target").alias("target")))
+        better = merged.filter(F.col("label").isNotNull() & (F.col("old").isNull() | (F.col("label") < F.col("old"))))
+        last, seen = state.add(better.select("source", "node", "label", "target"), n=F.count(F.lit(1)))
+    best = merge(state.rows()).filter("label is not null")
+    hops = F.col("label").bitwiseAND(F.lit(_HOPS))
+    best, deep = store.write(best, "best", hops=F.max(F.when(F.col("target"), hops)))
+    paths = _path_levels(best, graph, deep["hops"] or 0, store)
+    found = (best.filter("target").join(paths, ["source", "node"])
+             .select(F.col("source").alias("origin_uic"), F.col("node").alias("destination_uic"), "path",
+                     (F.shiftright("label", _HOP_BITS).cast("decimal(18,0)") / 1000).cast("decimal(18,3)").alias("cost"), "minutes",
+                     hops.cast("int").alias("hops")))
     ends = known.withColumn("_known", F.lit(True))
     checked = (pairs
                .join(ends.select(F.col("uic").alias("origin_uic"), F.col("_known").alias("_o")), "origin_uic", "left")

@@ -94,7 +94,8 @@ def test_components(spark, net, hub_degree):
 def test_diameter_and_degrees(spark, net):
     network, pairs = net
     linked = network.edges.select(F.col("src").alias("node")).distinct()
-    assert GR.hop_diameter(linked, network.edges, hub_degree=4).first().asDict() == {"is_connected": True, "diameter": 2}
+    row = GR.hop_diameter(linked, network.edges, hub_degree=4).first()
+    assert (row["is_connected"], row["diameter"]) == (True, 2)
     everyone = network.nodes.select(F.col("uic").alias("node"))
     assert GR.hop_diameter(everyone, network.edges).first()["diameter"] is None
     stats = GR.degree_stats(network.nodes, network.edges).first()
@@ -104,6 +105,47 @@ def test_diameter_and_degrees(spark, net):
     assert both.exceptAll(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).isEmpty()
 
 
+def test_diameter_bounds_match_all_searches(spark):
+    """A core with long tails: few searches settle what a search from every node says; one directed edge."""
+    rng = random.Random(1)
+    links = {(rng.randrange(30), rng.randrange(30)) for _ in range(90)} | {(k, k + 1) for k in range(29)}
+    links |= {(100 + k if k else 0, 101 + k) for k in range(6)} | {(200 + k if k else 7, 201 + k) for k in range(4)}
+    links |= {(k, 300 + k) for k in range(25)}
+    links = {(a, b) for a, b in links if a != b}
+    both = links | {(b, a) for a, b in links}
+    for edges in (both, both - {(106, 105)}):
+        near = {}
+        for a, b in edges:
+            near.setdefault(a, []).append(b)
+        nodes, far, connected = {x for e in edges for x in e}, 0, True
+        for start in nodes:
+            hops, queue = {start: 0}, [start]
+            for x in queue:
+                for y in near.get(x, []):
+                    if y not in hops:
+                        hops[y] = hops[x] + 1
+                        queue.append(y)
+            connected, far = connected and len(hops) == len(nodes), max(far, *hops.values())
+        ids = spark.createDataFrame([(str(n),) for n in nodes], "node string")
+        rows = spark.createDataFrame([(str(a), str(b)) for a, b in edges], "src string, dst string")
+        row = GR.hop_diameter(ids, rows, first_searches=6).first()
+        assert (row["is_connected"], row["diameter"]) == (connected, far if connected else None)
+        assert row["searches"] <= len(nodes) / 2
+
+
+def test_shortest_paths_of_a_long_chain(spark, monkeypatch):
+    """Many rounds merge their tables, and ties are broken by hops, then by path."""
+    monkeypatch.setattr(GR._Rounds, "MOST", 3)
+    rows = [(f"{k:02d}", f"{k + 1:02d}", 2) for k in range(14)] + [("00", "x", 1), ("x", "01", 1), ("00", "b", 1), ("b", "z", 1), ("00", "a", 1), ("a", "z", 1)]
+    edges = spark.createDataFrame(rows, "src string, dst string, minutes int").withColumn("cost", F.col("minutes").cast("decimal(18,3)"))
+    nodes = spark.createDataFrame([(n,) for n in {x for a, b, _ in rows for x in (a, b)}], "uic string")
+    asked = spark.createDataFrame([("00", "14"), ("00", "z"), ("05", "00"), ("07", "07")], "origin_uic string, destination_uic string")
+    out = {(r["origin_uic"], r["destination_uic"]): r for r in GR.shortest_paths(nodes, edges, asked).collect()}
+    assert out["00", "14"]["path"] == [f"{k:02d}" for k in range(15)] and out["00", "14"]["hops"] == 14 and out["00", "14"]["minutes"] == 28
+    assert out["00", "z"]["path"] == ["00", "a", "z"] and out["05", "00"]["error"] == "NoPathError" and out["07", "07"]["path"] == ["07"]
+    assert GR.shortest_paths(nodes, edges, asked.limit(0)).count() == 0
+
+
 def test_given_routes_and_details(spark, net):
     network, pairs = net
     routes = spark.createDataFrame([("a", ["00", "05", "00"]), ("b", ["00"]), ("c", ["00", "77"]), ("d", ["40", "41"]), ("e", [])],

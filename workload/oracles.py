@@ -525,7 +525,8 @@ def relaxed(sources: str, rounds: int = 8) -> list[tuple[str, str]]:
 
 
 OD = NET + [
-    ("od", """SELECT DISTINCT CAST(87000000 + po.k AS VARCHAR) AS origin_uic, CAST(87000000 + pd.k AS VARCHAR) AS destination_uic
+    ("od", """SELECT DISTINCT CAST(87000000 + po.k + 25 * (sentenceID % 4) AS VARCHAR) AS origin_uic,
+                              CAST(87000000 + pd.k + 25 * (sentenceID // 4 % 4) AS VARCHAR) AS destination_uic
               FROM orders_text JOIN places po ON po.name = origin JOIN places pd ON pd.name = destination WHERE is_valid = 1
               UNION SELECT '87000003', CAST(CAST(origin_uic AS BIGINT) + 900000 AS VARCHAR) FROM extra_edges"""),
     ("known", "SELECT stop_id[-8:] AS uic, stop_name AS name, seq FROM stops"),

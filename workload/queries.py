@@ -514,17 +514,17 @@ def component_summary(spark, d):
 def hop_diameter(spark, d):
     net = _flat_network(spark, d)
     linked = net.edges.select(F.col("src").alias("node")).distinct()
-    return GR.hop_diameter(linked, net.edges).withColumn("diameter", F.col("diameter").cast("int"))
+    return GR.hop_diameter(linked, net.edges).drop("searches")
 
 
 def _od_pairs(spark, d) -> DataFrame:
-    """Station pairs of the labelled orders (the first station of each place), plus unknown codes."""
-    place = table(spark, d, "places")
-    code = (F.col("k") + 87000000).cast("string")
+    """Station pairs of the labelled orders (four stations of each place, by order), plus unknown codes."""
+    code = lambda k, turn: (F.col(k) + 87000000 + 25 * (turn % 4)).cast("string")
+    place = lambda end: table(spark, d, "places").select(F.col("name").alias(end), F.col("k").alias(f"{end}_k"))
+    turn = F.col("sentenceID")
     rows = table(spark, d, "orders_text").filter(F.col("is_valid") == 1)
-    return (rows.join(place.select(F.col("name").alias("origin"), code.alias("origin_uic")), "origin")
-            .join(place.select(F.col("name").alias("destination"), code.alias("destination_uic")), "destination")
-            .select("origin_uic", "destination_uic")
+    return (rows.join(place("origin"), "origin").join(place("destination"), "destination")
+            .select(code("origin_k", turn).alias("origin_uic"), code("destination_k", F.floor(turn / 4)).alias("destination_uic"))
             .unionByName(table(spark, d, "extra_edges").select(
                 F.lit("87000003").alias("origin_uic"), (F.col("origin_uic").cast("bigint") + 900000).cast("string").alias("destination_uic")))
             .distinct())
