@@ -163,10 +163,14 @@ class EditBound:
     def shortest_partner(self, length: Column) -> Column:
         return F.greatest(F.lit(0), length - self.pair(length))
 
-    def segments(self, length: Column) -> Column:
-        """Number of segments a string is cut into: one more than its largest bound."""
+    def needed(self, length: Column) -> Column:
+        """Segments of a string that suffice to meet all its partners: one more than its largest bound."""
         return self.pair(self.longest_partner(length)) + 1
 
+    def segments(self, length: Column) -> Column:
+        """Number of segments a string is cut into: some to spare where they keep three characters or more."""
+        return F.greatest(self.needed(length), F.floor(length / 3).cast("int"))
+
 
 def _segment_start(length: Column, count: Column, i: Column) -> Column:
     """0-based start of segment ``i`` when ``length`` is cut into ``count`` even parts."""
@@ -176,15 +180,22 @@ def _segment_start(length: Column, count: Column, i: Column) -> Column:
 
 
 def _dictionary_segments(entries: DataFrame, bound: EditBound) -> DataFrame:
-    parts = bound.segments(F.col("c_len"))
+    """The rarest segments of each entry, as many as are needed; the commonest are left out where there are some to spare.
 
+    With n segments and k edits n - k stay whole, so one of any k + 1 does.
+    """
     def cut(i: Column) -> Column:
         start = _segment_start(F.col("c_len"), F.col("parts"), i)
         stop = _segment_start(F.col("c_len"), F.col("parts"), i + 1)
         return F.struct(i.alias("part"), F.substring("c_key", start + 1, stop - start).alias("piece"))
 
-    return (entries.withColumn("parts", parts)
-            .withColumn("s", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cut)))
+    every = (entries.withColumn("parts", bound.segments(F.col("c_len")))
+             .withColumn("s", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), cut)))
+             .select("c_key", "c_len", "s.part", "s.piece"))
+    common = every.groupBy("c_len", "part", "piece").agg(F.count(F.lit(1)).alias("uses"))
+    ranked = (every.join(common, ["c_len", "part", "piece"]).groupBy("c_key", "c_len")
+              .agg(F.array_sort(F.collect_list(F.struct("uses", "part", "piece"))).alias("s")))
+    return (ranked.select("c_key", "c_len", F.explode(F.slice("s", F.lit(1), bound.needed(F.col("c_len")))).alias("s"))
             .select("c_key", "c_len", "s.part", "s.piece"))
 
 
@@ -216,18 +227,23 @@ def edit_pairs(queries: DataFrame, entries: DataFrame, bound: EditBound) -> Data
     If two strings are within k edits and one is cut into k + 1 segments, an
     untouched segment occurs in the other at a bounded shift (Li et al.,
     "Pass-Join", 2011). Joining on (length, segment number, segment) therefore
-    finds every pair; the distance is then checked. Short strings get empty
+    finds every pair. Longer entries are cut into more segments and indexed by their
+    rarest ones, so a segment that a large part of the dictionary shares is not
+    looked up. Pairs are made distinct before a distance is worked out, and that stops at the bound. Short strings get empty
     segments, which match by length alone, so no case is left out.
     """
+    allowed = bound.pair(F.greatest("q_len", "c_len"))
+    distance = F.expr("levenshtein(q_key, c_key, allowed)")
+    return (edit_candidates(queries, entries, bound).withColumn("allowed", allowed)
+            .withColumn("distance", distance).filter(F.col("distance") >= 0).select("q_key", "c_key", "distance"))
+
+
+def edit_candidates(queries: DataFrame, entries: DataFrame, bound: EditBound) -> DataFrame:
+    """Pairs whose distance ``edit_pairs`` works out, each once: (q_key, c_key, q_len, c_len)."""
     queries = queries.select("q_key").distinct().withColumn("q_len", F.length("q_key"))
     entries = entries.select("c_key").distinct().withColumn("c_len", F.length("c_key"))
-    candidates = _query_pieces(queries, bound).join(
-        _dictionary_segments(entries, bound), ["c_len", "part", "piece"])
-    allowed = bound.pair(F.greatest("q_len", "c_len"))
-    distance = F.levenshtein("q_key", "c_key")
-    return (candidates.select("q_key", "c_key", distance.alias("distance"), allowed.alias("allowed"))
-            .filter(F.col("distance") <= F.col("allowed"))
-            .select("q_key", "c_key", "distance").distinct())
+    found = _query_pieces(queries, bound).join(_dictionary_segments(entries, bound), ["c_len", "part", "piece"])
+    return found.select("q_key", "c_key", "q_len", "c_len").distinct()
 
 
 def closest_entry(queries: DataFrame, entries: DataFrame, max_distance: int = 2) -> DataFrame:

@@ -40,6 +40,17 @@ def test_edit_pairs_match_brute_force(spark, bound, allowed):
     assert got == want and want
 
 
+def test_few_candidates_although_most_words_share_a_piece(spark):
+    rng = random.Random(3)
+    right = sorted({"station" + "".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(1500)})
+    left = [w[:9] + w[10:] for w in right[::10]]
+    frame = lambda rows, c: spark.createDataFrame([(w,) for w in rows], f"{c} string")
+    asked, known, bound = frame(left, "q_key"), frame(right, "c_key"), MT.EditBound(k=2)
+    assert MT.edit_candidates(asked, known, bound).count() < 0.05 * len(left) * len(right)
+    got = {(r["q_key"], r["c_key"]) for r in MT.edit_pairs(asked, known, bound).collect()}
+    assert got == {(a, b) for a in left for b in right if levenshtein(a, b) <= 2}
+
+
 def names(spark, items):
     return spark.createDataFrame([(n, i) for i, n in enumerate(items)], "name string, seq bigint")
 

@@ -371,6 +371,11 @@ add("edit_distance_best", f"""
 SIMILAR = NAMES + [("likes", """SELECT query, canonical, seq, CAST(d AS INT) AS distance, 1.0::DOUBLE - d / greatest(length(f), length(fk)) AS similarity
     FROM (SELECT query, canonical, seq, f, fk, levenshtein(f, fk) AS d FROM asked, keys)
     WHERE 10 * d < 3 * greatest(length(f), length(fk))""")]
+add("word_corrections", """
+    SELECT q AS word, arg_min(c, (d, c)) AS closest, CAST(min(d) AS INT) AS distance, count(*) AS n_near
+    FROM (SELECT q, c, levenshtein(q, c) AS d FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS q FROM benchmark)
+          JOIN (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS c FROM documents) ON abs(length(q) - length(c)) <= 2)
+    WHERE d <= 2 GROUP BY q""", "")
 add("similarity_topk", "SELECT query, canonical, seq, distance, round(similarity, 6) AS similarity FROM likes",
     "typed_names all_names", SIMILAR)
 PREFIX = SIMILAR + [("prefixed", """SELECT query, canonical, seq, CAST(length(norm) - length(q) AS INT) AS gap FROM asked, keys

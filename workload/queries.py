@@ -314,6 +314,15 @@ def edit_distance_best(spark, d):
     return MT.closest_entry(table(spark, d, "typed_names"), names)
 
 
+@query
+def word_corrections(spark, d):
+    """C14 with a dictionary that grows with the corpus: words of the benchmark against every word of the documents."""
+    words = lambda name: table(spark, d, name).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+    pairs = MT.edit_pairs(words("benchmark").withColumnRenamed("w", "q_key"), words("documents").withColumnRenamed("w", "c_key"), MT.EditBound(k=2))
+    return (pairs.groupBy(F.col("q_key").alias("word")).agg(F.min(F.struct("distance", "c_key")).alias("best"), F.count(F.lit(1)).alias("n_near"))
+            .select("word", F.col("best.c_key").alias("closest"), "best.distance", "n_near"))
+
+
 @query
 def similarity_topk(spark, d):
     found = MT.similar_entries(table(spark, d, "typed_names"), _gaz(spark, d, "all_names"))
