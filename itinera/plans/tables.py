@@ -66,9 +66,16 @@ class TableStore:
         table = self.spark.read.schema(df.schema).parquet(target)
         return table, (observation.get if observation is not None else {})
 
+    def clear(self) -> None:
+        """Delete all tables, once what was made of them is written elsewhere."""
+        self._delete(self.path)
+
     def drop(self, name: str) -> None:
         """Delete a table that no later round reads."""
+        self._delete(f"{self.path}/{name}")
+
+    def _delete(self, place: str) -> None:
         jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(place)
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         path.getFileSystem(conf).delete(path, True)
