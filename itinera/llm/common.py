@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +36,13 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def set_apart(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """A table whose own columns of these names have others, and the way back for ``withColumnsRenamed``."""
+    taken = {n.lower() for n in names}
+    away = {c: f"{c}-{uuid.uuid4().hex}" for c in docs.columns if c.lower() in taken}
+    return docs.withColumnsRenamed(away), {b: a for a, b in away.items()}
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes."""
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itinera.llm.common import components, lookup_join, once_per_worker, shingle_hashes, text_or_empty, word_hashes
+from itinera.llm.common import components, lookup_join, once_per_worker, set_apart, shingle_hashes, text_or_empty, word_hashes
 from itinera.plans.tables import TableStore
 
 #: Words of a shingle and least similarity in hundredths.
@@ -309,10 +309,11 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The documents with one of each linked group left, that of the smallest id (nulls last), with their columns.
 
-    Rows without shingles stay. Of rows alike in id and text one stays.
+    Rows without shingles stay. Of rows alike in id and text one stays. Columns may have any names.
     """
-    store = TableStore(docs.sparkSession, "keep-one")
-    named = _linked(docs, store, id_column, text_column, width, percent).filter("component is not null")
+    docs, back = set_apart(docs, "_row", "_twice")
+    store, work = TableStore(docs.sparkSession, "keep-one"), TableStore(docs.sparkSession, "keep-one-compared")
+    named = _linked(docs, work, id_column, text_column, width, percent).filter("component is not null")
     row = F.xxhash64("doc_id", "key").alias("_row")
     first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key", row)).alias("m"), F.count(F.lit(1)).alias("n"))
     crowd, _ = store.write(named.join(first.filter("n > 1").select("component", F.col("m._row").alias("_kept")), "component")
@@ -320,10 +321,11 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     gone, seen = store.write(crowd.filter("_row != _kept").select("_row").distinct(), "gone", n=F.count(F.lit(1)))
     again, found = store.write(crowd.filter("_row = _kept").groupBy("_row").count().filter("count > 1").select("_row", F.lit(True).alias("_twice")),
                                "again", n=F.count(F.lit(1)))
+    work.clear()
     key = F.xxhash64(F.col(id_column), F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
     left = lookup_join(docs.withColumn("_row", key), gone, ["_row"], "left_anti", seen["n"])
     if not found["n"]:
-        return left.select(*docs.columns)
+        return left.select(*docs.columns).withColumnsRenamed(back)
     marked = lookup_join(left, again, ["_row"], "left", found["n"])
     once = marked.filter("_twice").dropDuplicates(["_row"])
-    return marked.filter("_twice is null").unionByName(once).select(*docs.columns)
+    return marked.filter("_twice is null").unionByName(once).select(*docs.columns).withColumnsRenamed(back)

@@ -10,12 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itinera.llm.common import lookup_join, once_per_worker, text_or_empty
+from itinera.llm.common import lookup_join, once_per_worker, set_apart, text_or_empty
 from itinera.llm.html_text import main_text
 from itinera.plans.tables import TableStore
 
-#: Labelled rows that the text model is fitted on, at most about so many; most languages it tells apart.
-TRAINING_ROWS, MOST_LANGUAGES = 20_000, 200
+#: Labelled rows of a language that the text model is fitted on, at most about so many; most languages it tells apart.
+TRAINING_ROWS, MOST_LANGUAGES = 5_000, 200
 #: Slots of the hashed letter triples; triples after which more text adds no evidence (a likelihood's weight, not a cut).
 SLOTS, FULL_WEIGHT = 1 << 15, 100.0
 #: Strength of the level above in smoothed host priors, pseudo-counts of declared languages and suffixes, least confidence.
@@ -49,19 +49,21 @@ def _count(batches):
 
 
 def train(labelled: DataFrame, text_column: str = "text", lang_column: str = "lang", most: int = TRAINING_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and the log likelihood of each slot in each, from about ``most`` labelled rows chosen by hash.
+    """Languages and the log likelihood of each slot in each, from about ``most`` labelled rows of each, chosen by hash.
 
     Rows without a label or text teach nothing. The model has
-    ``MOST_LANGUAGES`` x ``SLOTS`` numbers at most.
+    ``MOST_LANGUAGES`` x ``SLOTS`` numbers at most: those of the languages with most rows,
+    the first by name among equals. No labels give no languages.
     """
     rows = labelled.select(F.lower(lang_column).alias("lang"), text_or_empty(text_column).alias("text")).filter("lang is not null and text != ''")
-    share = min(1.0, most / max(rows.count(), 1))
-    picked = rows.filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    known = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not known:
+        return [], np.empty((0, SLOTS), dtype=np.float32)
+    slots = F.create_map(*[F.lit(x) for r in known for x in (r.lang, int(min(1.0, most / r.n) * (1 << 20)) + 1)])
+    picked = rows.filter(F.col("lang").isin([r.lang for r in known]) & (F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) < slots[F.col("lang")]))
     counted = picked.mapInArrow(_count, "lang string, slot bigint, n bigint").groupBy("lang", "slot").agg(F.sum("n").alias("n"))
     found: dict[str, np.ndarray] = {}
     for row in counted.toLocalIterator():
-        if row.lang not in found and len(found) == MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
         found.setdefault(row.lang, np.zeros(SLOTS))[row.slot] = row.n
     names = sorted(found)
     counts = np.array([found[n] for n in names]).reshape(len(names), SLOTS) + 0.05
@@ -180,8 +182,20 @@ def identify(rows: DataFrame, languages: list[str], model: np.ndarray, text_colu
 
 def identify_pages(pages: DataFrame, labelled: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html",
                    text_column: str = "text", lang_column: str = "lang") -> DataFrame:
-    """Languages of web pages: main text, ``lang`` of the markup, host of the address; the model learns from ``labelled``."""
+    """Languages of web pages: main text, ``lang`` of the markup, host of the address; the model learns from ``labelled``.
+
+    Without any label nothing is told apart: every page is ``und`` and not accepted.
+    """
     languages, model = train(labelled, text_column, lang_column)
+    if not languages:
+        languages, model = ["und"], np.zeros((1, SLOTS), dtype=np.float32)
+        return identify_pages_by(pages, languages, model, id_column, url_column, html_column).withColumn("accepted", F.lit(False))
+    return identify_pages_by(pages, languages, model, id_column, url_column, html_column)
+
+
+def identify_pages_by(pages: DataFrame, languages: list[str], model: np.ndarray, id_column: str = "page_id", url_column: str = "url",
+                      html_column: str = "html") -> DataFrame:
+    """``identify_pages`` by a model that is given."""
     host = F.regexp_extract(F.coalesce(F.col(url_column), F.lit("")), _ADDRESS, 1)
     return identify(pages, languages, model, html_column, id_column, F.when(host != "", host), None, pages=True) \
         .withColumnRenamed("id", "page_id").drop("key")
@@ -193,15 +207,19 @@ def keep_identified(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     The documents' own ``lang`` is what they declare and teaches the text
     model, ``source`` is the host. Documents without letters go, and those of
-    which no language reaches ``confident``.
+    which no language reaches ``confident``. A document with letters that declares a language the
+    model doesn't know (beyond ``MOST_LANGUAGES``) stays as it is, and so does a table without any label.
+    Columns may have any names.
     """
     languages, model = train(docs, text_column, lang_column)
     if not languages:
-        return docs.limit(0)
+        return docs
+    docs, back = set_apart(docs, "_key", "_lang")
     told = identify(docs, languages, model, text_column, id_column, F.col(host_column), F.col(lang_column), confident=confident)
     store = TableStore(docs.sparkSession, "identified")
-    changed = told.filter(~F.col("accepted") | ~F.col("lang").eqNullSafe(F.col("declared"))).select(F.col("key").alias("_key"), F.col("lang").alias("_lang"))
+    unknown = F.col("declared").isNotNull() & ~F.col("declared").isin(languages) & (F.col("triples") > 0)
+    changed = told.filter(~unknown & (~F.col("accepted") | ~F.col("lang").eqNullSafe(F.col("declared")))).select(F.col("key").alias("_key"), F.col("lang").alias("_lang"))
     changed, seen = store.write(changed.dropDuplicates(["_key"]), "changed", n=F.count(F.lit(1)))
     keyed = docs.withColumn("_key", F.xxhash64(F.col(id_column), F.coalesce(F.col(text_column), F.lit(""))))
     both = lookup_join(keyed, changed, ["_key"], "left", seen["n"]).filter(F.col("_lang").isNull() | (F.col("_lang") != "und"))
-    return both.withColumn(lang_column, F.coalesce("_lang", F.col(lang_column))).select(*docs.columns)
+    return both.withColumn(lang_column, F.coalesce("_lang", F.col(lang_column))).select(*docs.columns).withColumnsRenamed(back)

@@ -40,6 +40,8 @@ class ChunkEncoder(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_str(model)
         pattern = json.loads(model)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        steps = [s["type"] for s in (json.loads(model).get("normalizer") or {}).get("normalizers", [])]
+        self.short = steps == ["NFC", "Replace", "Lowercase"]  # else every chunk goes through the whole tokenizer
         self.words, self.plain = regex.compile(pattern), regex.compile(r"[\x21-\x7E¡-ɉ]+")
         self.model, self.bytes = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
@@ -55,10 +57,11 @@ class ChunkEncoder(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         core = chunk.rstrip(_MARKS)
         text = core.decode("utf-8", "replace")
-        if core.isalpha():
-            found = self._word(text.lower())
-        elif core and b"<|" not in chunk and self.plain.fullmatch(text) and text[-1].isalpha():
-            text = "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+        lower = text.lower() if core.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", text))
+        if self.short and core.isalpha():
+            found = self._word(lower)
+        elif self.short and core and b"<|" not in chunk and self.plain.fullmatch(text) and lower[-1].isalpha():  # a capital may end in a mark
+            text = lower
             found = self._word(text) if text.isalpha() else b"".join(map(self._word, self.words.findall(text)))
         else:
             core = chunk

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from itinera.llm.common import lookup_join, text_or_empty
+from itinera.llm.common import lookup_join, set_apart, text_or_empty
 from itinera.plans.tables import TableStore
 
 #: Kinds in the order of spans that start together; ``token`` spans are the method's own.
@@ -146,6 +146,7 @@ def redact_secrets(docs: DataFrame, scanned: DataFrame, mask: str = "[secret]",
 
     Columns and rows are those of ``docs``; spans that overlap are replaced as one.
     """
+    docs, back = set_apart(docs, "_key", "_spans")
     live = F.filter("details", lambda s: s["verdict"] == "live")
     store = TableStore(docs.sparkSession, "redact")
     marks, seen = store.write(scanned.filter("n_live > 0").select(F.col("key").alias("_key"), live.alias("_spans"))
@@ -162,4 +163,4 @@ def redact_secrets(docs: DataFrame, scanned: DataFrame, mask: str = "[secret]",
 
     rest = lambda acc: F.concat(acc["text"], F.substring(text, acc["at"].cast("int"), F.length(text)))
     masked = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", start, step, rest))
-    return both.withColumn(text_column, masked).select(*docs.columns)
+    return both.withColumn(text_column, masked).select(*docs.columns).withColumnsRenamed(back)
