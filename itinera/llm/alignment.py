@@ -237,8 +237,8 @@ def ranges(text: str, size: int) -> Iterator[tuple[str, int, int]]:
     if len(text) <= size:
         yield text, 0, 1 + len(text.encode())
         return
-    starts = [0] + [m.start() + 1 for m in _BREAK.finditer(text)]  # where segments start; the space before is theirs
-    ends = [s - 1 for s in starts[1:]] + [len(text)]
+    starts = np.array([0] + [m.start() + 1 for m in _BREAK.finditer(text)])  # where segments start; the space before is theirs
+    ends = np.append(starts[1:] - 1, len(text))
     borders, last = [], -1
     for border in range(size, len(text), size):
         k = int(np.searchsorted(starts, border, side="right")) - 1
@@ -430,6 +430,7 @@ def _parts(batches, vocabularies, key: str, weights):
     for batch in batches:
         for i in range(0, batch.num_rows, 64):
             rows = batch.slice(i, 64).to_pydict()
+            aligner.learn(set(chain.from_iterable(map(segments, rows["text"]))))
             found = [aligner.part(t, lo, hi) for t, lo, hi in zip(rows["text"], rows["low"], rows["high"])]
             yield _fragment_rows(rows["key"], rows["place"], found)
 

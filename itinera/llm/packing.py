@@ -57,11 +57,10 @@ class ChunkEncoder(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         core = chunk.rstrip(_MARKS)
         text = core.decode("utf-8", "replace")
-        lower = text.lower() if core.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", text))
         if self.short and core.isalpha():
-            found = self._word(lower)
-        elif self.short and core and b"<|" not in chunk and self.plain.fullmatch(text) and lower[-1].isalpha():  # a capital may end in a mark
-            text = lower
+            found = self._word(text.lower())
+        elif self.short and core and b"<|" not in chunk and text[-1].isalpha() and self.plain.fullmatch(text) \
+                and (text := unicodedata.normalize("NFC", text).lower())[-1].isalpha():  # a capital may end in a mark
             found = self._word(text) if text.isalpha() else b"".join(map(self._word, self.words.findall(text)))
         else:
             core = chunk
