@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from itinera.plans.tables import TableStore
+
 STATION_SCHEMA = ("uic_code string, station_name string, station_name_normalized string, "
                   "city_name string, city_name_normalized string, latitude double, "
                   "longitude double, segment_drg string")
@@ -75,17 +77,60 @@ def read_labelled_orders(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+# Where a byte sequence stops being UTF-8, on bytes read as characters 0 to 255. As the coding
+# synchronizes itself, up to three bytes round a place decide it, so nothing is carried along the text.
+_NOT_UTF8 = "|".join([
+    r"[\xC0\xC1\xF5-\xFF]",                          # never allowed
+    r"[\xC2-\xDF](?![\x80-\xBF])",                    # cut off after one byte
+    r"\xE0(?![\xA0-\xBF][\x80-\xBF])",                # cut off or overlong
+    r"[\xE1-\xEC\xEE\xEF](?![\x80-\xBF]{2})",
+    r"\xED(?![\x80-\x9F][\x80-\xBF])",                # cut off or a surrogate
+    r"\xF0(?![\x90-\xBF][\x80-\xBF]{2})",
+    r"[\xF1-\xF3](?![\x80-\xBF]{3})",
+    r"\xF4(?![\x80-\x8F][\x80-\xBF]{2})",             # cut off or above the last code point
+    r"(?<![\xC2-\xF4])(?<![\xE0-\xF4][\x80-\xBF])(?<![\xF0-\xF4][\x80-\xBF]{2})[\x80-\xBF]",  # no sequence to continue
+])
+
+
+def first_invalid_byte(text) -> Column:
+    """1-based byte at which ``text`` (binary, or a string of raw bytes) stops being UTF-8; 0 if all is valid, null for null.
+
+    A sequence that is cut off, overlong, a surrogate or too large counts from its first byte.
+    """
+    raw = (F.col(text) if isinstance(text, str) else text).cast("binary")
+    found = F.regexp_instr(F.decode(raw, "ISO-8859-1"), F.lit(_NOT_UTF8))
+    return F.when(F.is_valid_utf8(raw.cast("string")), F.lit(0)).otherwise(found)
+
+
+def _raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of files as raw bytes, in splits: (path, size, block, row, line); ``row`` grows within a split."""
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
+                        F.col("_metadata.file_block_start").alias("block"),
+                        F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row"), F.col("value").alias("line"))
+
+
 def invalid_utf8_files(spark: SparkSession, path: str) -> DataFrame:
-    """A2: files that are not UTF-8, with the 1-based byte at which the valid head ends.
+    """A2: files that are not UTF-8, as (path, length, first_bad_byte), the byte counted from 1.
 
-    Files are read one per row; the position comes from the length of the longest
-    valid head, found by repairing the text and comparing it with the original bytes.
+    Files are read in splits, line by line: no sequence holds a line break, so a
+    line decides for itself. The first pass keeps the first bad line of each file,
+    the second counts the bytes before it; texts are not shuffled. A leading byte
+    order mark, which the line reader drops, shows as bytes that no line accounts
+    for. Empty and valid files have no row; a genuine U+FFFD is valid.
     """
-    files = spark.read.format("binaryFile").load(path)
-    bad = files.filter(~F.expr("is_valid_utf8(CAST(content AS STRING))"))
-    repaired = F.expr("make_valid_utf8(CAST(content AS STRING))")
-    head = F.substring_index(repaired, "�", 1)
-    return bad.select("path", "length", (F.octet_length(head) + 1).alias("first_bad_byte"))
+    place = F.struct("block", "row")
+    bad = (_raw_lines(spark, path).withColumn("at", first_invalid_byte("line")).filter(F.col("at") > 0)
+           .groupBy("path").agg(F.min_by(F.struct("block", "row", "at"), place).alias("bad")))
+    bad, _ = TableStore(spark, "utf8").write(bad, "bad")
+    used = (F.octet_length("line") + 1).cast("bigint")  # with its line break
+    earlier = F.struct("block", "row") < F.struct("bad.block", "bad.row")
+    return (_raw_lines(spark, path).join(bad, "path")
+            .groupBy("path", "size", F.col("bad.at").alias("at"))
+            .agg(F.sum(used).alias("all"), F.coalesce(F.sum(F.when(earlier, used)), F.lit(0)).alias("before"))
+            .select("path", F.col("size").alias("length"),
+                    (F.col("before") + F.col("at") + F.when(F.col("size") - F.col("all") >= 2, 3).otherwise(0))
+                    .cast("bigint").alias("first_bad_byte")))
 
 
 def read_gtfs(spark: SparkSession, folder: str, table: str) -> DataFrame:

@@ -1,7 +1,9 @@
 import glob
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from itinera.operators import labels as LB
 from itinera.operators import network as NW
@@ -57,6 +59,51 @@ def test_utf8_report(spark, tmp_path):
     assert bad == {"bad.csv": 4, "late.csv": 4}
 
 
+def first_error(data):
+    try:
+        data.decode("utf-8")
+        return 0
+    except UnicodeDecodeError as error:
+        return error.start + 1
+
+
+def test_first_invalid_byte(spark):
+    parts = [b"a", b"\xc3\xa9", b"\xe2\x82\xac", b"\xf0\x9f\x98\x80", b"\xef\xbf\xbd", b"\x80", b"\xc3", b"\xc0\xaf", b"\xe0\x9f\xbf",
+             b"\xed\xa0\x80", b"\xed\x9f\xbf", b"\xf0\x8f\xbf\xbf", b"\xf4\x8f\xbf\xbf", b"\xf4\x90\x80\x80", b"\xf5", b"\xff", b"\xe2\x82", b"\xf0\x9f\x98"]
+    rng = random.Random(3)
+    texts = [b"", *parts, *[b"".join(rng.choice(parts[:5] if rng.random() < 0.8 else parts) for _ in range(rng.randrange(1, 12))) for _ in range(1500)],
+             *[bytes(rng.randrange(128, 256) for _ in range(rng.randrange(1, 6))) for _ in range(1500)], b"x" * 2_000_000 + b"\xe9"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, b binary").select("i", RD.first_invalid_byte("b").alias("at")).collect()
+    assert {r["i"]: r["at"] for r in got} == {i: first_error(t) for i, t in enumerate(texts)}
+    assert spark.range(1).select(RD.first_invalid_byte(F.lit(None).cast("binary")).alias("at")).first()["at"] is None
+
+
+@pytest.mark.parametrize("split", [None, 64])
+def test_utf8_positions_in_splits(spark, tmp_path, split):
+    folder, rng, want = tmp_path / "raw", random.Random(5), {}
+    folder.mkdir()
+    for i in range(12):
+        lines = ["é" * rng.randrange(30) + "\ufffd" * (i % 2) + "\r" * (i % 3) for _ in range(40)]
+        data = [line.encode() for line in lines]
+        for k in rng.sample(range(40), i % 4):
+            data[k] += rng.choice([b"\xc3", b"\xc0\xaf", b"\xed\xa0\x80", b"\x80", b"\xe2\x82"])
+        whole = (b"\xef\xbb\xbf" if i % 5 == 3 else b"") + b"\n".join(data) + (b"\n" if i % 2 else b"")
+        (folder / f"f{i}").write_bytes(whole)
+        if first_error(whole):
+            want[f"f{i}"] = (len(whole), first_error(whole))
+    (folder / "empty").write_bytes(b"")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n in names if split else ():
+            spark.conf.set(n, str(split))
+        got = RD.invalid_utf8_files(spark, str(folder)).collect()
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+    assert len(want) > 5 and {r["path"].rsplit("/", 1)[1]: (r["length"], r["first_bad_byte"]) for r in got} == want
+
+
 def test_gazetteer_files(spark, tmp_path):
     WR.write_gazetteer_json(default_names(spark), default_aliases(spark), str(tmp_path / "g"))
     names, aliases = RD.read_gazetteer_json(spark, str(tmp_path / "g"))
