@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 from itinera import constants as K
 from itinera.functions import text as T
-from itinera.plans.ranking import GROUP_LIMIT, ordinal, rank_in_group, same_keys, top_in_group
+from itinera.plans.ranking import GROUP_LIMIT, first_n, ordinal, rank_in_group, same_keys, top_in_group
+from itinera.plans.tables import TableStore
 
 ID = "sentenceID"
 
@@ -43,11 +46,11 @@ def sample_per_category(df: DataFrame, n: int = 5, seed: int = 42, category: str
 def trim_exact(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n seeded rows in id order, renumbered; the whole table when it is not longer.
 
-    The cut uses distributed row numbers, so ``n`` may be of any size.
+    The cut is found by counting the hashes of the ids, so texts are neither
+    sorted nor copied before it; ``n`` may be of any size. Null ids come first.
     """
-    keyed = df.withColumn("_h", T.seeded_hash(seed, ID))
-    kept = ordinal(keyed, ["_h", ID], "_pos").filter(F.col("_pos") <= n).drop("_h", "_pos")
-    return resequence(kept, [ID])
+    hashed = F.conv(F.substring(T.seeded_hash(seed, ID), 1, 15), 16, 10).cast("bigint")
+    return resequence(first_n(df, F.coalesce(hashed, F.lit(-1)), n, [T.seeded_hash(seed, ID), ID]), [ID])
 
 
 def shuffle_resequence(df: DataFrame, seed: int = 42) -> DataFrame:
@@ -56,12 +59,27 @@ def shuffle_resequence(df: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def top_up(existing: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
-    """Existing rows, then candidates, without repeated sentences, cut to n and renumbered."""
+    """Existing rows, then candidates, without repeated sentences, cut to n and renumbered.
+
+    Repeats are found and the cut is made on (hash of the sentence, source, id);
+    the texts are read once more and meet the kept keys only.
+    """
     both = (existing.withColumn("_src", F.lit(0))
-            .unionByName(candidates.select(*existing.columns).withColumn("_src", F.lit(1))))
-    unique = deduplicate(both, "sentence", ["_src", ID])
-    return (resequence(unique.withColumn("_old", F.col(ID)), ["_src", "_old"])
-            .filter(F.col(ID) <= n).drop("_src", "_old"))
+            .unionByName(candidates.select(*existing.columns).withColumn("_src", F.lit(1)))
+            .withColumn("_md5", F.md5("sentence")))
+    first = both.groupBy("_md5").agg(F.min(F.struct("_src", ID)).alias("k")).select("_md5", "k.*")
+    keys, seen = TableStore(both.sparkSession, "top-up").write(
+        first, "keys", old=F.count_if(F.col("_src") == 0), ids=F.count(ID), n=F.count(F.lit(1)))
+    whole = dict(keys.dtypes)[ID] in ("tinyint", "smallint", "int", "bigint") and seen["ids"] == seen["n"]
+
+    def cut(part: DataFrame, size: int) -> DataFrame:
+        return first_n(part, F.col(ID), size, ["_md5"]) if whole else \
+            ordinal(part, [ID, "_md5"], "_pos").filter(F.col("_pos") <= size).drop("_pos")
+
+    old, new = keys.filter(F.col("_src") == 0), keys.filter(F.col("_src") == 1)
+    kept = cut(old, n) if seen["old"] >= n else old.unionByName(cut(new, n - seen["old"]))
+    rows = deduplicate(same_keys(both, kept, ["_md5", "_src", ID], "left_semi").drop("_md5"), "sentence", ["_src", ID])
+    return resequence(rows.withColumn("_old", F.col(ID)), ["_src", "_old"]).drop("_src", "_old")
 
 
 # --------------------------------------------------------------------- H19: templates
@@ -80,9 +98,18 @@ def misspell(city: Column, variants: Column | None = None, seed: int = 42) -> Co
     return F.when(F.coalesce(F.size(variants), F.lit(0)) > 0, pick).otherwise(generic)
 
 
+def pair_step(total: int) -> int:
+    """The step that walks 0..total-1 without a repeat: the first number above 0.618 of it that shares no factor with it."""
+    return next(x for x in itertools.count(total * 618_033_989 // 1_000_000_000 + 1) if math.gcd(x, total) == 1)
+
+
 def expand_templates(templates: DataFrame, places: DataFrame, n_templates: int, n_places: int,
-                     marks: tuple[str, str] = ("{origin}", "{destination}")) -> DataFrame:
-    """Every template with every ordered pair of different places.
+                     marks: tuple[str, str] = ("{origin}", "{destination}"), n: int | None = None, seed: int = 42) -> DataFrame:
+    """Every template with every ordered pair of different places, or ``n`` of them without a repeat.
+
+    With ``n`` the row numbers 0..n-1 are mapped into the product by a seeded
+    permutation of it, so the other combinations are never made; a larger ``n``
+    than the product gives the whole product in that order.
 
     ``templates`` has (t, template, category, difficulty, lower) and ``places``
     (k, name), both numbered from 0. The product is generated from a range of row
@@ -91,11 +118,16 @@ def expand_templates(templates: DataFrame, places: DataFrame, n_templates: int,
     """
     spark = templates.sparkSession
     pairs = n_places * (n_places - 1)
+    total = n_templates * pairs
+    rows = spark.range(total if n is None else max(0, min(n, total))).withColumn("number", F.col("id") + 1)
+    if n is not None and total:
+        wide = lambda c: c.cast("decimal(19,0)")
+        rows = rows.withColumn("id", ((wide(F.col("id")) * wide(F.lit(pair_step(total))) + F.lit(seed % total)) % F.lit(total)).cast("bigint"))
     at = F.col("id")
     other = at % (n_places - 1)
     first = F.floor(at % pairs / (n_places - 1)).cast("bigint")
-    numbers = spark.range(n_templates * pairs).select(
-        (at + 1).alias(ID), F.floor(at / pairs).cast("bigint").alias("t"), first.alias("o"),
+    numbers = rows.select(
+        F.col("number").alias(ID), F.floor(at / pairs).cast("bigint").alias("t"), first.alias("o"),
         F.when(other >= first, other + 1).otherwise(other).alias("d"))
     end = lambda k, name: places.select(F.col("k").cast("bigint").alias(k), F.col("name").alias(name))
     filled = F.replace(F.replace("template", F.lit(marks[0]), F.col("origin")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +13,10 @@ from itinera import constants as K
 from itinera.functions import transport as X
 from itinera.operators.stations import primary_code
 from itinera.plans.ranking import next_in_group
+from itinera.plans.tables import TableStore
 
 PAIR = ["origin_uic", "destination_uic"]
+CUBE = ["cx", "cy", "cz"]
 
 
 # ------------------------------------------------------------- timetable -> edges
@@ -232,36 +236,52 @@ def build_network(stations: DataFrame, connection_rows: DataFrame, transfers: Da
 
 # ------------------------------------------------------------ geography
 
-def nearest_station(points: DataFrame, stations: DataFrame, radius_km: float = 2.0) -> DataFrame:
-    """Closest station within the radius, as (point_id, uic, distance_km).
+def _cube_cells(lat: str, lon: str, size: float) -> list[Column]:
+    """Numbers of the cube cell, ``size`` earth radii wide, that holds a place as a point of the unit sphere."""
+    phi, theta = F.radians(lat), F.radians(lon)
+    return [F.floor(axis / F.lit(size)).alias(name) for name, axis in
+            (("cx", F.cos(phi) * F.cos(theta)), ("cy", F.cos(phi) * F.sin(theta)), ("cz", F.sin(phi)))]
 
-    Range join on a latitude/longitude grid. A cell is at least one radius high
-    and, at the latitude of the point, one radius wide, so the 3 x 3 cells round
-    a point hold every station in range. Stations are deduplicated per place first.
+
+def nearest_station(points: DataFrame, stations: DataFrame, radius_km: float = 2.0, levels: int = 3) -> DataFrame:
+    """Closest station within the radius, as (point_id, uic, distance_km); ties go to the smallest code.
+
+    Places are points of the unit sphere in a grid of cubes as wide as the chord
+    of the radius, so the 27 cells round a point hold every station in range, at
+    the poles and at 180 degrees as elsewhere; a station is copied to those that
+    touch the sphere. Levels go from a small radius to the full one by four: a point that finds
+    a station on a level is done, so in a dense place it only meets the fine cells.
+    Places without coordinates and points without a station in range have no row.
     """
-    lat_step = radius_km / 111.0
-    lat_cell = lambda lat: F.floor(lat / lat_step)
-
-    def lon_step(band: Column) -> Column:
-        # widest needed step of a band and its two neighbours: the largest |latitude| counts
-        edge = F.greatest(F.abs((band - 1) * lat_step), F.abs((band + 2) * lat_step))
-        return F.lit(lat_step) / F.greatest(F.lit(0.01), F.cos(F.radians(edge)))
-
-    sites = (stations.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-             .groupBy("latitude", "longitude").agg(F.min("uic").alias("uic"))
-             .withColumn("own", lat_cell(F.col("latitude")))
-             .withColumn("band", F.explode(F.sequence(F.col("own") - 1, F.col("own") + 1)))
-             .withColumn("column", F.floor(F.col("longitude") / lon_step(F.col("band"))))
-             .withColumn("column", F.explode(F.sequence(F.col("column") - 1, F.col("column") + 1)))
-             .select("band", "column", "uic", F.col("latitude").alias("s_lat"),
-                     F.col("longitude").alias("s_lon")))
-    asked = (points.withColumn("band", lat_cell(F.col("lat")))
-             .withColumn("column", F.floor(F.col("lon") / lon_step(F.col("band")))))
-    distance = X.haversine_km("lon", "lat", "s_lon", "s_lat")
-    near = (asked.join(sites, ["band", "column"]).withColumn("distance_km", distance)
-            .filter(F.col("distance_km") <= radius_km))
-    return (near.groupBy("point_id").agg(F.min(F.struct("distance_km", "uic")).alias("b"))
-            .select("point_id", "b.uic", "b.distance_km"))
+    located = lambda lat, lon: F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    sites = (stations.filter(located("latitude", "longitude"))
+             .groupBy(F.col("latitude").alias("s_lat"), F.col("longitude").alias("s_lon")).agg(F.min("uic").alias("uic")))
+    store = TableStore(points.sparkSession, "nearest")
+    sites, _ = store.write(sites, "sites")
+    left, seen = store.write(points.filter(located("lat", "lon")).select("point_id", "lat", "lon"), "left", n=F.count(F.lit(1)))
+    found = []
+    for level in reversed(range(levels)):
+        if not seen["n"] and found:
+            break
+        reach = radius_km / 4 ** level
+        size = 2 * math.sin(min(reach / (2 * K.EARTH_RADIUS_KM), math.pi / 2)) * (1 + 1e-6) + 1e-9
+        step = lambda c: F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1))
+        inner = sum((F.pow(F.greatest(F.col(c), -F.col(c) - 1, F.lit(0)) * F.lit(size), F.lit(2)) for c in CUBE), F.lit(0.0))
+        outer = sum((F.pow(F.greatest(F.col(c) + 1, -F.col(c)) * F.lit(size), F.lit(2)) for c in CUBE), F.lit(0.0))
+        copies = sites.select("*", *_cube_cells("s_lat", "s_lon", size))
+        for axis in CUBE:
+            copies = copies.withColumn(axis, step(axis))
+        copies = copies.filter((inner <= 1 + 1e-9) & (outer >= 1 - 1e-9))
+        near = (left.select("*", *_cube_cells("lat", "lon", size)).join(copies, CUBE)
+                .withColumn("distance_km", X.haversine_km("lon", "lat", "s_lon", "s_lat"))
+                .filter(F.col("distance_km") <= reach)
+                .groupBy("point_id").agg(F.min(F.struct("distance_km", "uic")).alias("b"))
+                .select("point_id", "b.uic", "b.distance_km"))
+        near, _ = store.write(near, f"found-{level}")
+        found.append(near)
+        if level:
+            left, seen = store.write(left.join(near, "point_id", "left_anti"), f"left-{level}", n=F.count(F.lit(1)))
+    return reduce(DataFrame.unionByName, found)
 
 
 def network_quality(network: Network, components: DataFrame | None = None) -> DataFrame:

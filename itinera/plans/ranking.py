@@ -127,3 +127,54 @@ def top_in_group(df: DataFrame, keys: Sequence[str], order: Sequence, n: int,
     """
     window = Window.partitionBy(*keys).orderBy(*_columns(order))
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= n)
+
+
+_BINS = 4096
+
+
+def nth_smallest(keys: DataFrame, column: str, n: int) -> tuple[int, int, int] | None:
+    """(value, rows below it, rows equal to it) for the ``n``-th smallest integer; None with fewer than ``n`` rows.
+
+    A histogram of 4096 counters narrows the range to one value: one scan of the
+    key column, then scans of the rows of one bin, which are written. Nothing is
+    sorted or shuffled but the counters. Nulls are not counted.
+    """
+    store = TableStore(keys.sparkSession, "nth")
+    value = F.col("v")
+    keys = keys.select(F.col(column).cast("bigint").alias("v")).filter(value.isNotNull())
+    low, high, equal = keys.agg(F.min(value), F.max(value), F.count(F.lit(1))).first()
+    if n < 1 or equal < n:
+        return None
+    below, rounds = 0, 0
+    while low < high:
+        width = (high - low) // _BINS + 1
+        bins = keys.groupBy(F.expr(f"CAST((v - {low}L) DIV {width}L AS INT)").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        for place, equal in sorted((r["bin"], r["n"]) for r in bins.collect()):  # at most 4096 counters
+            if below + equal >= n:
+                break
+            below += equal
+        low, high = low + place * width, min(high, low + (place + 1) * width - 1)
+        keys, _ = store.write(keys.filter(value.between(low, high)), f"bin-{rounds}")
+        rounds += 1
+    store.clear()
+    return low, below, equal
+
+
+def first_n(df: DataFrame, key: Column, n: int, ties: Sequence) -> DataFrame:
+    """The ``n`` rows with the smallest integer ``key``, in no order; all rows when there are no more.
+
+    The cut is found on the keys alone, so the rows themselves are only filtered.
+    Rows that share the key of the cut are numbered in the order ``ties``.
+    """
+    if n < 1:
+        return df.limit(0)
+    keyed = df.withColumn("_key", key)
+    cut = nth_smallest(keyed, "_key", n)
+    if cut is None:
+        return df
+    value, below, equal = cut
+    at_most = keyed.filter(F.col("_key") <= value).drop("_key")
+    if below + equal == n:
+        return at_most
+    tied = ordinal(keyed.filter(F.col("_key") == value), ties, "_pos").filter(F.col("_pos") <= n - below)
+    return keyed.filter(F.col("_key") < value).drop("_key").unionByName(tied.select(*df.columns))

@@ -174,6 +174,12 @@ def read_gazetteer_json(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     return names, aliases
 
 
+def read_gazetteer_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """A7 for dictionaries of any size: (names, aliases) as ``write_gazetteer_rows`` wrote them."""
+    return (spark.read.schema("name string, kind string, seq bigint").json(f"{path}/names"),
+            spark.read.schema("canonical_norm string, alias string").json(f"{path}/aliases"))
+
+
 def read_token_examples(spark: SparkSession, path: str, json_lines: bool = False) -> DataFrame:
     """Token examples; check rows with ``labels.label_problems``."""
     return spark.read.schema(LABELLED_SCHEMA).option("multiLine", not json_lines).json(path)

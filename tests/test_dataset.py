@@ -114,3 +114,29 @@ def test_split_keeps_rows_of_a_null_stratum(spark):
         assert out.count() == 20
         assert {(r.is_valid, r.split): r["count"] for r in out.groupBy("is_valid", "split").count().collect()} == {
             (v, s): n for v in (None, 1) for s, n in (("test", 1), ("val", 1), ("train", 8))}
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_cuts_with_repeated_and_null_ids(spark, kind):
+    data = [(str(7 if i % 3 == 0 else i) if kind == "string" else (7 if i % 3 == 0 else i), f"s{i % 90}", 1) for i in range(120)]
+    df = spark.createDataFrame([*data, (None, "none", 1), (None, None, 1)], f"sentenceID {kind}, sentence string, is_valid int")
+    for n in (0, 1, 2, 45, 121, 122, 500):
+        out = DS.trim_exact(df, n)
+        assert [r["sentenceID"] for r in out.orderBy("sentenceID").collect()] == list(range(1, min(n, 122) + 1))
+        old = df.filter("sentence IN ('s1', 's2')")
+        both = [r["sentence"] for r in DS.top_up(old, df, n).orderBy("sentenceID").collect()]
+        assert len(both) == len(set(both)) == min(n, 92) and set(both[:2]) <= {"s1", "s2"}
+
+
+def test_templates_drawn_without_repeats(spark):
+    templates = spark.createDataFrame([(0, "de {origin} a {destination}", "x", "easy", False), (1, "billet {origin} {destination}", "y", "easy", True)],
+                                      "t int, template string, category string, difficulty string, lower boolean")
+    places = spark.createDataFrame([(i, f"P{i}") for i in range(9)], "k int, name string")
+    every = {r["sentence"] for r in DS.expand_templates(templates, places, 2, 9).collect()}
+    for n in (0, 1, 50, 144, 900):
+        rows = DS.expand_templates(templates, places, 2, 9, n=n).orderBy("sentenceID").collect()
+        drawn = [r["sentence"] for r in rows]
+        assert [r["sentenceID"] for r in rows] == list(range(1, min(n, 144) + 1))
+        assert len(set(drawn)) == len(drawn) and set(drawn) <= every
+    other = [r["sentence"] for r in DS.expand_templates(templates, places, 2, 9, n=50, seed=7).orderBy("sentenceID").collect()]
+    assert other != [r["sentence"] for r in DS.expand_templates(templates, places, 2, 9, n=50).orderBy("sentenceID").collect()]

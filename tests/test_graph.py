@@ -1,4 +1,5 @@
 import heapq
+import math
 import random
 
 import pytest
@@ -213,3 +214,22 @@ def test_nearest_station_brute_force(spark):
     far = p.crossJoin(s).withColumn("km", haversine_km("lon", "lat", "longitude", "latitude")).filter("km <= 300")
     want = {r["point_id"]: r["u"] for r in far.groupBy("point_id").agg(F.min_by("uic", "km").alias("u")).collect()}
     assert got == want and want
+
+
+@pytest.mark.parametrize("radius, levels", [(400.0, 1), (400.0, 3), (3000.0, 4), (30000.0, 2)])
+def test_nearest_station_on_the_whole_sphere(spark, radius, levels):
+    from itinera.functions.transport import haversine_km
+
+    rng = random.Random(8)
+    anywhere = lambda: (math.degrees(math.asin(rng.uniform(-1, 1))), rng.uniform(-180, 180))
+    places = [(90.0, 0.0), (-90.0, 50.0), (89.9, 170.0), (89.9, -10.0), (0.0, 180.0), (0.0, -180.0), (10.0, 179.9), (10.0, -179.9), (-60.0, -179.99)]
+    dense = [(45 + rng.uniform(0, 0.5), 5 + rng.uniform(0, 0.5)) for _ in range(60)]  # a third of all in one cell
+    sites = [(f"s{i:03}", *at) for i, at in enumerate([*places[1::2], *dense, *[anywhere() for _ in range(120)], (1.0, 1.0), (1.0, 1.0)])]
+    points = [(i, *at) for i, at in enumerate([*places, *dense[::2], (45.2, 5.6), *[anywhere() for _ in range(120)], (1.0, 1.1)])]
+    s = spark.createDataFrame([*sites, ("none", None, 3.0)], "uic string, latitude double, longitude double")
+    p = spark.createDataFrame([*points, (999, 4.0, None)], "point_id int, lat double, lon double")
+    got = {r["point_id"]: r["uic"] for r in NW.nearest_station(p, s, radius, levels).collect()}
+    near = p.dropna().crossJoin(s.dropna()).withColumn("km", haversine_km("lon", "lat", "longitude", "latitude")).filter(F.col("km") <= radius)
+    want = {r["point_id"]: r["b"]["uic"] for r in near.groupBy("point_id").agg(F.min(F.struct("km", "uic")).alias("b")).collect()}
+    assert got == want and len(want) > 30
+    assert NW.nearest_station(p.limit(0), s, radius, levels).isEmpty() and NW.nearest_station(p, s.limit(0), radius, levels).isEmpty()

@@ -83,3 +83,25 @@ def test_null_keys_on_both_paths(spark, limit):
     assert ranked == {(g, i): i // 2 + 1 for g, i, _ in rows}
     following = {(r.g, r.i): r.next_x for r in R.next_in_group(df, ["g"], ["i"], ["x"], group_limit=limit).collect()}
     assert following == {(g, i): (i + 2) * 3 if i < 38 else None for g, i, _ in rows}
+
+
+@pytest.mark.parametrize("values", [[], [7], [5] * 400, list(range(-300, 300)), [0, 2**61, 2**61 + 1, -5, 3],
+                                    [(i * 7919) % 1009 * 10**12 for i in range(2000)], [None, 3, None, 1, 3, 3, 2]])
+def test_nth_smallest(spark, values):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v bigint")
+    held = sorted(v for v in values if v is not None)
+    for n in {0, 1, 2, len(held) // 2, len(held), len(held) + 1}:
+        got = R.nth_smallest(df, "v", n)
+        if not 1 <= n <= len(held):
+            assert got is None
+        else:
+            want = held[n - 1]
+            assert got == (want, sum(v < want for v in held), held.count(want))
+
+
+@pytest.mark.parametrize("n", [0, 1, 250, 399, 400, 5000])
+def test_first_n_numbers_ties(spark, n):
+    rows = [(i, 4 if i % 3 == 0 else i % 50) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, v bigint")
+    got = sorted(tuple(r) for r in R.first_n(df, F.col("v"), n, ["id"]).collect())
+    assert got == sorted(sorted(rows, key=lambda r: (r[1], r[0]))[:n])

@@ -127,6 +127,12 @@ add("dictionary_lookup", f"""
     SELECT sentenceID, upper(origin) AS name, canonical, canonical IS NOT NULL AS is_member
     FROM preds LEFT JOIN gaz ON gaz.norm = {norm('upper(origin)')}""", "preds place_names", [gaz("place_names")])
 
+add("alias_matches", f"""
+    SELECT id, coalesce(gaz.canonical, a.canonical) AS canonical, coalesce(gaz.canonical, a.canonical) IS NOT NULL AS is_member
+    FROM typed_aliases LEFT JOIN gaz ON gaz.norm = {norm('typed_aliases.name')}
+    LEFT JOIN (SELECT {norm('alias')} AS n, g.canonical FROM supplier_aliases JOIN gaz g ON g.norm = {norm('city')}) a
+        ON a.n = {norm('typed_aliases.name')}""", "typed_aliases supplier_aliases place_names", [gaz("place_names")])
+
 MATCH = [
     gaz("place_names"),
     ("t1", f"SELECT *, {norm('sentence')} AS norm FROM orders_text"),
@@ -581,6 +587,10 @@ add("nearest_station", f"""
     SELECT point_id, arg_min(uic, {{'d': km, 'u': uic}}) AS uic, round(min(km), 6) AS distance_km FROM (
         SELECT point_id, uic_code AS uic, {KM.format(a='lat', b='latitude', c='lon', d='longitude')} AS km FROM line_ends, stations)
     WHERE km <= 20 GROUP BY point_id""", "line_ends stops", STATIONS)
+add("nearest_station_world", f"""
+    SELECT point_id, arg_min(uic, {{'d': km, 'u': uic}}) AS uic, round(min(km), 6) AS distance_km FROM (
+        SELECT point_id, uic, {KM.format(a='lat', b='latitude', c='lon', d='longitude')} AS km FROM world_points, world_sites)
+    WHERE km <= 500 GROUP BY point_id""", "world_points world_sites")
 _QUALITY = TIMES + UNDIRECTED + TRANSFERS + [
     ("all_edges", """SELECT src, dst, minutes FROM net UNION ALL SELECT a, b, 15 FROM moves UNION ALL SELECT b, a, 15 FROM moves"""),
     ("nodes", "SELECT string_split(uic_code, ';')[1] AS uic, latitude, longitude FROM packed_stations"),
@@ -725,6 +735,8 @@ add("misidentified_places", f"""
         GROUP BY 1, 2) WHERE errors > 0) WHERE r <= 10""", EVAL, INNER)
 add("slice_ranking", """SELECT category AS slice, count(*) AS total, count(*) FILTER (ex) AS correct, count(*) FILTER (NOT ex) AS errors,
                         round(CAST(count(*) FILTER (ex) AS DOUBLE) / count(*), 4) AS accuracy FROM cmp WHERE tv GROUP BY 1""", EVAL, INNER)
+add("difficulty_ranking", """SELECT difficulty AS slice, count(*) AS total, count(*) FILTER (ex) AS correct, count(*) FILTER (NOT ex) AS errors,
+                             round(CAST(count(*) FILTER (ex) AS DOUBLE) / count(*), 4) AS accuracy FROM cmp WHERE tv GROUP BY 1""", EVAL, INNER)
 add("worst_slices", f"SELECT * FROM ({slices()}) ORDER BY CAST(correct AS DOUBLE) / total, slice LIMIT 3", EVAL, compared("preds"))
 _EXAMPLES = """SELECT category, sentenceID, sentence, origin AS expected_origin, destination AS expected_dest, po AS predicted_origin,
     pd AS predicted_dest, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY sentenceID) AS rank
@@ -827,6 +839,20 @@ add("expand_templates", """
     FROM (SELECT t.*, o.k AS ok, d.k AS dk, replace(replace(template, '[origin]', o.name), '[destination]', d.name) AS s
           FROM templates t, supplier_places o, supplier_places d WHERE o.k <> d.k) x
     JOIN supplier_places o ON o.k = ok JOIN supplier_places d ON d.k = dk, (SELECT count(*) AS n FROM supplier_places) c""", "templates supplier_places")
+add("sample_templates", """
+    SELECT r.id + 1 AS sentenceID, CASE WHEN lower THEN lower(s) ELSE s END AS sentence, origin, destination, difficulty, category
+    FROM (SELECT r.id, t.lower, o.name AS origin, e.name AS destination, difficulty, category,
+                 replace(replace(template, '[origin]', o.name), '[destination]', e.name) AS s
+          FROM drawn r JOIN templates t ON t.t = r.p // (n * (n - 1))
+          JOIN supplier_places o ON o.k = r.p % (n * (n - 1)) // (n - 1)
+          JOIN supplier_places e ON e.k = r.p % (n * (n - 1)) % (n - 1)
+               + CASE WHEN r.p % (n * (n - 1)) % (n - 1) >= r.p % (n * (n - 1)) // (n - 1) THEN 1 ELSE 0 END) r""",
+    "templates supplier_places", [
+        ("sizes", "SELECT n, 3 * n * (n - 1) AS total FROM (SELECT count(*) AS n FROM supplier_places)"),
+        ("step", """SELECT n, total, min(x) AS step FROM (SELECT n, total, unnest(range(total * 618033989 // 1000000000 + 1,
+                    total * 618033989 // 1000000000 + 1000)) AS x FROM sizes) WHERE gcd(x, total) = 1 GROUP BY n, total"""),
+        ("drawn", """SELECT id, n, CAST((CAST(id AS HUGEINT) * step + 42 % total) % total AS BIGINT) AS p
+                     FROM (SELECT *, unnest(range(least(20 * n, total))) AS id FROM step)""")])
 _HEX = " + ".join(f"(instr('0123456789abcdef', h[{i}]) - 1) * {16 ** (6 - i)}" for i in range(1, 7))
 add("misspelt_places", f"""
     SELECT name, CASE WHEN name = 'Paris' THEN ['Pari', 'Parris'][v % 2 + 1] WHEN length(name) <= 4 THEN name
@@ -873,3 +899,14 @@ add("error_file", "SELECT CAST(sentenceID AS VARCHAR) AS sentenceID, sentence FR
 for _file, _same in (("batch_counters", "resolution_counters"), ("timetable_files", "connections"), ("station_file", "stations_clean"),
                      ("token_file", "label_stats"), ("network_snapshot", "degree_stats")):
     ORACLES[_file] = ORACLES[_same]
+add("gazetteer_rows", """SELECT name, kind, seq FROM all_names UNION ALL SELECT upper(name) AS name, 'alias' AS kind, NULL AS seq FROM place_names""",
+    "all_names place_names")
+add("city_map_file", "SELECT city_norm, uic FROM city_map", "city_rows", CITY_MAP)
+for _file, _same in (("connection_file", "connections"), ("report_file", "slice_breakdown"), ("batch_route_counters", "resolution_counters")):
+    ORACLES[_file] = ORACLES[_same]
+add("utf8_files", """
+    SELECT part, CAST(sum(size) AS BIGINT) AS length, min(start + good) FILTER (fault > 0) AS first_bad_byte FROM (
+        SELECT part, fault, good, size, coalesce(CAST(sum(size) OVER (PARTITION BY part ORDER BY doc_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS start
+        FROM (SELECT *, strlen(body) + 3 * marked + 1 AS good, strlen(body) + 3 * marked + 5 + [0, 1, 2, 3, 1, 3][fault + 1] AS size FROM broken_texts))
+    GROUP BY part HAVING max(fault) > 0""", "broken_texts")

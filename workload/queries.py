@@ -120,6 +120,13 @@ def gazetteer_counts(spark, d):
     return GZ.gazetteer_stats(names, GZ.build_gazetteer(names), aliases)
 
 
+@query
+def alias_matches(spark, d):
+    gaz = _gaz(spark, d)
+    aliases = GZ.add_aliases(GZ.default_aliases(spark).limit(0), table(spark, d, "supplier_aliases").select("city", "alias"))
+    return GZ.lookup(table(spark, d, "typed_aliases"), "name", GZ.with_aliases(gaz, aliases)).select("id", "canonical", "is_member")
+
+
 @query
 def dictionary_lookup(spark, d):
     return GZ.lookup(table(spark, d, "preds").select("sentenceID", F.upper("origin").alias("name")), "name",
@@ -592,6 +599,11 @@ def nearest_station(spark, d):
     return _rounded(NW.nearest_station(table(spark, d, "line_ends"), sites, radius_km=20.0), "distance_km")
 
 
+@query
+def nearest_station_world(spark, d):
+    return _rounded(NW.nearest_station(table(spark, d, "world_points"), table(spark, d, "world_sites"), radius_km=500.0), "distance_km")
+
+
 @query
 def network_quality(spark, d):
     net = _packed_network(spark, d)
@@ -739,6 +751,11 @@ def slice_ranking(spark, d):
     return EV.slice_ranking(_compared(spark, d, "inner"))
 
 
+@query
+def difficulty_ranking(spark, d):
+    return EV.slice_ranking(_compared(spark, d, "inner"), "difficulty")
+
+
 @query
 def worst_slices(spark, d):
     return _rounded(EV.worst_slices(EV.slice_breakdown(_compared(spark, d)), 3), "accuracy")
@@ -891,6 +908,14 @@ def expand_templates(spark, d):
                                marks=("[origin]", "[destination]")).drop("is_valid", "notes")
 
 
+@query
+def sample_templates(spark, d):
+    places = table(spark, d, "supplier_places")
+    size = places.count()
+    return DS.expand_templates(table(spark, d, "templates"), places, 3, size, marks=("[origin]", "[destination]"),
+                               n=20 * size).drop("is_valid", "notes")
+
+
 @query
 def misspelt_places(spark, d):
     variants = F.when(F.col("name") == "Paris", F.array(F.lit("Pari"), F.lit("Parris")))
@@ -954,6 +979,58 @@ def gazetteer_file(spark, d):
     return names.select("name", "kind").unionByName(read.select(F.col("alias").alias("name"), F.lit("alias").alias("kind")))
 
 
+@query
+def gazetteer_rows(spark, d):
+    path = _folder(spark, "gazetteer-rows")
+    aliases = table(spark, d, "place_names").select(F.lower("name").alias("canonical_norm"), F.upper("name").alias("alias"))
+    WR.write_gazetteer_rows(table(spark, d, "all_names"), aliases, path)
+    names, read = RD.read_gazetteer_rows(spark, path)
+    return names.select("name", "kind", "seq").unionByName(
+        read.select(F.col("alias").alias("name"), F.lit("alias").alias("kind"), F.lit(None).cast("bigint").alias("seq")))
+
+
+@query
+def connection_file(spark, d):
+    rows = RD.read_connections(spark, _csv(_connections(spark, d), _folder(spark, "connection-file")))
+    return rows.select("origin_uic", "destination_uic", "duration_minutes", "line_code", F.col("trip_count").cast("bigint").alias("trip_count"))
+
+
+@query
+def city_map_file(spark, d):
+    path = _folder(spark, "city-map-file")
+    WR.write_sorted(table(spark, d, "city_rows"), ["seq"], path)
+    return ST.city_station_map(RD.read_city_map(spark, path)).select("city_norm", "uic")
+
+
+@query
+def report_file(spark, d):
+    path = _folder(spark, "report-file")
+    compared = EV.full_evaluation(_orders(spark, d), table(spark, d, "preds"))
+    WR.write_report(WR.evaluation_report(*compared, "rules", "orders"), path)
+    read = spark.read.json(path).select(F.explode("slices").alias("s")).select("s.*")
+    return _rounded(read, "accuracy")
+
+
+@query
+def batch_route_counters(spark, d):
+    orders = _csv(_orders(spark, d).select("sentenceID", "sentence"), _folder(spark, "batch-in"))
+    foreign = GZ.build_gazetteer(table(spark, d, "place_names").filter(F.col("name").isin("Nice", "Metz"))).select("norm")
+    return RS.run_batch(orders, _folder(spark, "batch-out"), "route", _gaz(spark, d), _city_map(spark, d), _flat_network(spark, d), foreign)
+
+
+@query
+def utf8_files(spark, d):
+    """Raw bytes written as they are, a file for each part, with faults of five kinds."""
+    path = _folder(spark, "utf8-files")
+    fault = F.coalesce(F.get(F.array(*[F.unhex(F.lit(h)) for h in ("C3", "C0AF", "EDA080", "80", "F09F98")]), F.col("fault").cast("int") - 1), F.unhex(F.lit("")))
+    mark = F.when(F.col("marked") == 1, F.unhex(F.lit("EFBFBD"))).otherwise(F.unhex(F.lit("")))
+    line = F.concat(F.encode("body", "UTF-8"), mark, fault, F.encode(F.lit(" end"), "UTF-8")).cast("string")
+    (table(spark, d, "broken_texts").select("part", "doc_id", line.alias("value")).repartition("part")
+     .sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path))
+    bad = RD.invalid_utf8_files(spark, f"{path}/*/*.txt")
+    return bad.select(F.regexp_extract("path", "part=([0-9]+)", 1).cast("bigint").alias("part"), "length", "first_bad_byte")
+
+
 @query
 def sorted_file(spark, d):
     path = _folder(spark, "sorted-file")

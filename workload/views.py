@@ -157,6 +157,26 @@ VIEWS: dict[str, str] = {
     "line_ends": """
         SELECT c_custkey AS point_id, 41 + CAST(c_custkey * 61 % 1000 AS DOUBLE) / 100 AS lat,
                -5 + CAST(c_custkey * 97 % 1500 AS DOUBLE) / 100 AS lon FROM {customer}""",
+    # points and stations all over the globe, poles and both sides of 180 degrees among them
+    "world_points": """
+        SELECT c_custkey AS point_id, -90 + CAST(c_custkey * 61 % 1801 AS DOUBLE) / 10 AS lat,
+               CASE c_custkey % 4 WHEN 0 THEN 179.95 WHEN 1 THEN -179.9 ELSE -180 + CAST(c_custkey * 97 % 3601 AS DOUBLE) / 10 END AS lon
+        FROM {customer}""",
+    "world_sites": """
+        SELECT CAST(s_suppkey AS STRING) AS uic, -90 + CAST(s_suppkey * 37 % 1801 AS DOUBLE) / 10 AS latitude,
+               CASE s_suppkey % 3 WHEN 0 THEN -179.98 WHEN 1 THEN 180.0 ELSE -180 + CAST(s_suppkey * 53 % 3601 AS DOUBLE) / 10 END AS longitude
+        FROM {supplier}""",
+    # texts of the documents with faulty bytes in some and a genuine replacement mark in others, in files of 100 numbers
+    "broken_texts": """
+        SELECT doc_id, CAST(floor(doc_id / 100) AS BIGINT) AS part, coalesce(text, '') AS body,
+               CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS marked,
+               CASE WHEN doc_id * 7919 % 97 = 1 THEN 1 + doc_id % 5 ELSE 0 END AS fault FROM {documents}""",
+    # dictionary aliases: each supplier's name stands for a place
+    "supplier_aliases": "SELECT s_suppkey, s_name AS alias, name AS city FROM {supplier} JOIN {places} ON k = s_suppkey % 25",
+    "typed_aliases": """
+        SELECT 's' || CAST(s_suppkey AS STRING) AS id, upper(s_name) AS name FROM {supplier}
+        UNION ALL SELECT 'c' || CAST(c_custkey AS STRING) AS id, c_name AS name FROM {customer}
+        UNION ALL SELECT 'o' || CAST(sentenceID AS STRING) AS id, lower(origin) AS name FROM {orders_text}""",
     # stations whose code lists carry an alternate code
     "packed_stations": """
         SELECT CAST(87000000 + s_suppkey AS STRING)
