@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from itinera.plans.tables import TableStore
@@ -24,13 +24,58 @@ LABELLED_SCHEMA = ("tokens array<string>, labels array<string>, metadata struct<
                    "origin:string,destination:string,is_valid:int,difficulty:string,category:string>")
 
 
+_CSV = {"header": True, "quote": '"', "escape": '"'}
+
+
 def _csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """All columns as text, quotes doubled inside quotes; missing paths raise.
 
-    A file is read in splits unless ``multi_line`` allows line breaks inside quotes.
+    A file is read in splits, also where ``multi_line`` allows line breaks inside quotes.
+    """
+    return _csv_records(spark, path) if multi_line else spark.read.options(**_CSV).csv(path)
+
+
+def _csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of CSV files whose quoted values may hold line breaks, without reading a file in one task.
+
+    A line starts a record if the quotes before it in the file are even. Splits
+    are counted on their own, their parities are summed along the file (one row a
+    split), and a window over each split places its lines; a record that runs
+    into the next splits is put together from its lines. Files in which every
+    line has an even count are read as usual, after one scan. Carriage returns before a
+    line break go, as with the common reader. A quote inside a value that is not
+    quoted is an error of the file and shifts what follows; an open quote takes
+    the rest of the file.
     """
-    return (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-            .option("multiLine", multi_line).csv(path))
+    lines = _raw_lines(spark, path).withColumn("line", F.regexp_replace("line", "\\r$", "")).withColumn(
+        "odd", (F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))) % 2)
+    if lines.filter(F.col("odd") == 1).isEmpty():
+        return spark.read.options(**_CSV).csv(path)
+    store = TableStore(spark, "records")
+    split, file = Window.partitionBy("path", "block").orderBy("row"), Window.partitionBy("path").orderBy("block")
+    so_far = lambda w, last: w.rowsBetween(Window.unboundedPreceding, last)
+    carried = lines.groupBy("path", "block").agg(F.sum("odd").alias("odd"), F.min("row").alias("first")).select(
+        "path", "block", F.coalesce(F.sum("odd").over(so_far(file, -1)), F.lit(0)).alias("carried"), "first")
+    starts = F.when((F.col("carried") + F.coalesce(F.sum("odd").over(so_far(split, -1)), F.lit(0))) % 2 == 0, F.col("row"))
+    placed = (lines.join(carried, ["path", "block"]).withColumn("starts", starts)
+              .withColumn("own", F.last("starts", True).over(so_far(split, 0)))
+              .select("path", "block", "row", "line", "own", "first"))
+    placed, _ = store.write(placed, "placed")
+    open_before = placed.groupBy("path", "block").agg(F.max("own").alias("last")).select(
+        "path", "block", F.last(F.when(F.col("last").isNotNull(), F.struct("block", "last")), True).over(so_far(file, -1)).alias("before"))
+    own = F.col("own").isNotNull()
+    record = (placed.join(open_before, ["path", "block"])
+              .select("path", F.when(own, F.col("block")).otherwise(F.col("before.block")).alias("from_block"),
+                      F.when(own, F.col("own")).otherwise(F.col("before.last")).alias("from_row"),
+                      F.when((F.col("block") == 0) & (F.col("own") == F.col("first")), True).alias("head"),
+                      F.struct("block", "row", "line").alias("part"))
+              .groupBy("path", "from_block", "from_row")
+              .agg(F.array_sort(F.collect_list("part")).alias("parts"), F.coalesce(F.max("head"), F.lit(False)).alias("head")))
+    text = F.array_join(F.col("parts.line"), "\n")
+    names = spark.read.options(**_CSV).option("multiLine", True).csv(path).columns  # reads one header
+    schema = ", ".join(f"`{n.replace('`', '``')}` STRING" for n in names)
+    parsed = F.from_csv(text, schema, {"quote": '"', "escape": '"', "multiLine": "true"})
+    return record.filter(~F.col("head") & (F.trim(text) != "")).select(parsed.alias("r")).select("r.*")
 
 
 def _typed(df: DataFrame, schema: str) -> DataFrame:

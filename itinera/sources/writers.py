@@ -18,7 +18,7 @@ def _require(df: DataFrame, columns: Sequence[str]) -> None:
 
 def _write_csv(df: DataFrame, path: str) -> None:
     (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-     .option("emptyValue", "").csv(path))
+     .option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_flat(results: DataFrame, path: str) -> None:

@@ -104,6 +104,36 @@ def test_utf8_positions_in_splits(spark, tmp_path, split):
     assert len(want) > 5 and {r["path"].rsplit("/", 1)[1]: (r["length"], r["first_bad_byte"]) for r in got} == want
 
 
+@pytest.mark.parametrize("split", [None, 48])
+def test_line_breaks_in_quotes_across_splits(spark, tmp_path, split):
+    rng, want = random.Random(11), []
+    folder = tmp_path / "m"
+    folder.mkdir()
+    words = ["Paris", "é à", "a,b", 'say ""hi""', "\n", "\n\n", "\nx,y\n", "1,2", "z" * 70]
+    for f in range(4):
+        text = "sentenceID,sentence,note" + ("\r\n" if f == 2 else "\n")
+        for i in range(30):
+            value = "s" + "".join(rng.choice(words if f else words[:2]) for _ in range(rng.randrange(0, 5)))
+            shown = f'"{value}"' if f or i % 2 else value
+            want.append((f"{f}-{i}", value.replace('""', '"')))
+            text += f'{f}-{i},{shown},""' + ("\r\n" if f == 2 else "\n") + ("\n" if i % 9 == 4 else "")
+        (folder / f"f{f}.csv").write_bytes((text.rstrip("\n") if f == 3 else text).encode())
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for n in names if split else ():
+            spark.conf.set(n, str(split))
+        got = RD.read_orders(spark, str(folder), multi_line=True)
+        assert sorted((r["sentenceID"], r["sentence"]) for r in got.collect()) == sorted(want)
+        plain = RD.read_orders(spark, str(folder / "f0.csv"), multi_line=True)
+        assert sorted(tuple(r) for r in plain.collect()) == sorted(w for w in want if w[0].startswith("0-"))
+    finally:
+        for n, value in zip(names, before):
+            spark.conf.set(n, value)
+    common = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(folder)).select("sentenceID", "sentence")
+    assert sorted(tuple(r) for r in common.collect()) == sorted(want)
+
+
 def test_gazetteer_files(spark, tmp_path):
     WR.write_gazetteer_json(default_names(spark), default_aliases(spark), str(tmp_path / "g"))
     names, aliases = RD.read_gazetteer_json(spark, str(tmp_path / "g"))

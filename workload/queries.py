@@ -931,7 +931,8 @@ def _folder(spark, label: str) -> str:
 
 def _csv(df: DataFrame, path: str) -> str:
     """Several CSV files with a header each."""
-    df.repartition(3).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    df.repartition(3).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "") \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
 
@@ -940,6 +941,12 @@ def orders_file(spark, d):
     return RD.read_orders(spark, _csv(_orders(spark, d).select("sentenceID", "sentence"), _folder(spark, "orders-file")))
 
 
+@query
+def orders_file_lines(spark, d):
+    """Read in splits although values hold line breaks."""
+    return RD.read_orders(spark, _csv(table(spark, d, "broken_lines"), _folder(spark, "orders-lines")), multi_line=True)
+
+
 @query
 def flat_file(spark, d):
     path = _folder(spark, "flat-file")

@@ -171,6 +171,11 @@ VIEWS: dict[str, str] = {
         SELECT doc_id, CAST(floor(doc_id / 100) AS BIGINT) AS part, coalesce(text, '') AS body,
                CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS marked,
                CASE WHEN doc_id * 7919 % 97 = 1 THEN 1 + doc_id % 5 ELSE 0 END AS fault FROM {documents}""",
+    # orders with line breaks, commas and quotes inside the sentence
+    "broken_lines": """
+        SELECT CAST(sentenceID AS STRING) AS sentenceID,
+               CASE sentenceID % 4 WHEN 0 THEN sentence || chr(10) || 'le "' || category || '", merci' WHEN 1 THEN chr(10) || sentence || chr(10) || chr(10) || '.'
+                                   WHEN 2 THEN '"' || sentence ELSE sentence END AS sentence FROM {orders_text}""",
     # dictionary aliases: each supplier's name stands for a place
     "supplier_aliases": "SELECT s_suppkey, s_name AS alias, name AS city FROM {supplier} JOIN {places} ON k = s_suppkey % 25",
     "typed_aliases": """
