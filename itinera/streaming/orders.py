@@ -48,6 +48,24 @@ def resolve_batches(orders: DataFrame, gazetteer: DataFrame, city_station: DataF
             .trigger(availableNow=True).start())
 
 
+def batch_tables(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink for ``resolve_batches``: a Parquet folder for each batch number, written whole or again.
+
+    A stream hands a batch to its sink once more if it stopped before noting it;
+    the number stays, so the rows take the place of the earlier ones. Read the
+    folder as one table with ``read_batches``.
+    """
+    def write(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def read_batches(orders: DataFrame, path: str) -> DataFrame:
+    """All batches that ``batch_tables`` wrote, without their numbers."""
+    return orders.sparkSession.read.parquet(path).drop("batch")
+
+
 def first_seen(events: DataFrame, keys: list[str], time_col: str, delay: str = "1 hour") -> DataFrame:
     """K2: pass each key once; state is dropped ``delay`` behind the newest event."""
     timed = events.withColumn(time_col, F.col(time_col).cast("timestamp"))

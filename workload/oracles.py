@@ -911,3 +911,4 @@ add("utf8_files", """
         FROM (SELECT *, strlen(body) + 3 * marked + 1 AS good, strlen(body) + 3 * marked + 5 + [0, 1, 2, 3, 1, 3][fault + 1] AS size FROM broken_texts))
     GROUP BY part HAVING max(fault) > 0""", "broken_texts")
 add("orders_file_lines", "SELECT sentenceID, sentence FROM broken_lines", "broken_lines")
+ORACLES["stream_resolve_batches"] = ORACLES["stream_resolve"]

@@ -1080,21 +1080,40 @@ def _drain(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{store.path}/out")
 
 
-@query
-def stream_resolve(spark, d):
+def _stream_parts(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stream of orders, city map, and routes of the pairs in demand."""
     orders, _ = TableStore(spark, "stream").write(_orders(spark, d).select("sentenceID", "sentence"), "orders")
     source = spark.readStream.schema(orders.schema).parquet(orders.inputFiles()[0].rsplit("/", 1)[0])
     net = _flat_network(spark, d)
     cities = _city_map(spark, d)
     asked = ST.map_cities(_extracted(spark, d), "origin", cities, "origin_uic")
     asked = ST.map_cities(asked, "destination", cities, "destination_uic")
-    pairs = asked.select("origin_uic", "destination_uic").dropna().distinct()  # routes for the pairs in demand only
+    pairs = asked.select("origin_uic", "destination_uic").dropna().distinct()
     routes, _ = TableStore(spark, "stream").write(GR.shortest_paths(net.nodes, net.edges, pairs), "routes")
-    out = _drain(SM.resolve_stream(source, _gaz(spark, d), cities, routes), "stream-resolve")
+    return source, cities, routes
+
+
+def _stream_columns(out: DataFrame) -> DataFrame:
     return out.select("sentenceID", "origin", "destination", "origin_uic", "destination_uic", "valid", "method",
                       _joined("path").alias("path"), "total_time", "success")
 
 
+@query
+def stream_resolve(spark, d):
+    source, cities, routes = _stream_parts(spark, d)
+    return _stream_columns(_drain(SM.resolve_stream(source, _gaz(spark, d), cities, routes), "stream-resolve"))
+
+
+@query
+def stream_resolve_batches(spark, d):
+    """With a name for each order line in the dictionary, more than travel with a plan."""
+    source, cities, routes = _stream_parts(spark, d)
+    path = _folder(spark, "stream-batches")
+    names = table(spark, d, "place_names").unionByName(table(spark, d, "line_names"))
+    SM.resolve_batches(source, GZ.build_gazetteer(names), cities, routes, SM.batch_tables(f"{path}/out"), f"{path}/progress").awaitTermination()
+    return _stream_columns(SM.read_batches(source, f"{path}/out"))
+
+
 @query
 def stream_first_seen(spark, d):
     schema = table(spark, d, "events").schema

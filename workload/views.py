@@ -176,6 +176,10 @@ VIEWS: dict[str, str] = {
         SELECT CAST(sentenceID AS STRING) AS sentenceID,
                CASE sentenceID % 4 WHEN 0 THEN sentence || chr(10) || 'le "' || category || '", merci' WHEN 1 THEN chr(10) || sentence || chr(10) || chr(10) || '.'
                                    WHEN 2 THEN '"' || sentence ELSE sentence END AS sentence FROM {orders_text}""",
+    # a dictionary name for each order line; no order mentions one
+    "line_names": """
+        SELECT 'Ligne ' || CAST(l_orderkey AS STRING) || ' ' || CAST(l_linenumber AS STRING) AS name, 'station' AS kind,
+               1000 + CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS seq FROM {lineitem}""",
     # dictionary aliases: each supplier's name stands for a place
     "supplier_aliases": "SELECT s_suppkey, s_name AS alias, name AS city FROM {supplier} JOIN {places} ON k = s_suppkey % 25",
     "typed_aliases": """
