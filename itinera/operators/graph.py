@@ -50,11 +50,13 @@ def top_connected(nodes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
 
 # ------------------------------------------------------------------ J7: components
 
+HOT_LABELS = 100_000
+
 def _jump(merged: DataFrame, owner: DataFrame, store: TableStore, name: str, hub_degree: int) -> DataFrame:
-    """``merged`` with the label of its label (``parent``), hot labels by broadcast."""
+    """``merged`` with the label of its label (``parent``), hot labels by broadcast while they are few."""
     used = merged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     parents, seen = store.write(used.join(owner, "component"), name, hot=F.count_if(F.col("n") > hub_degree))
-    if not seen["hot"]:
+    if not 0 < seen["hot"] <= HOT_LABELS:
         return merged.join(parents.select("component", "parent"), "component")
     hot = parents.filter(F.col("n") > hub_degree).select("component", "parent")
     tried = merged.join(F.broadcast(hot), "component", "left")
@@ -71,8 +73,9 @@ def connected_components(nodes: DataFrame, edges: DataFrame, hub_degree: int = H
     label names, so whole groups join at once; that step aggregates before it
     shuffles. The jump first counts the nodes
     per label: labels of normal size are looked up in a shuffle join, the few that
-    cover more than ``hub_degree`` nodes (at most nodes / ``hub_degree``) by broadcast,
-    so a component of any size is spread over all tasks.
+    cover more than ``hub_degree`` nodes by broadcast, so a component of any size is
+    spread over all tasks. Beyond ``HOT_LABELS`` of them, each is a small share of
+    the nodes and the shuffle join takes them too.
     """
     store = TableStore(nodes.sparkSession, "components")
     ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))

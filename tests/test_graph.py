@@ -68,8 +68,9 @@ def test_shortest_paths_match_dijkstra(spark, net, hub_degree):
             assert (int(r["cost"] * 1000), r["hops"], r["path"], r["minutes"]) == want and r["error"] is None
 
 
-@pytest.mark.parametrize("hub_degree", [1_000_000, 4])
-def test_components(spark, net, hub_degree):
+@pytest.mark.parametrize("hub_degree, hot_labels", [(1_000_000, 100_000), (4, 100_000), (4, 1)])
+def test_components(spark, net, hub_degree, hot_labels, monkeypatch):
+    monkeypatch.setattr(GR, "HOT_LABELS", hot_labels)
     rng = random.Random(11)
     links = [(f"n{rng.randint(0, 120):03d}", f"n{rng.randint(0, 120):03d}") for _ in range(70)]
     links += [(f"c{k:03d}", f"c{k + 1:03d}") for k in range(40)] + [("c000", f"c{k:03d}") for k in range(50, 80)]
