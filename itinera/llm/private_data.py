@@ -5,6 +5,8 @@ Only built-in expressions run on the rows.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from itinera.plans.tables import TableStore
 
 #: Kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring, least distinct seeds that a pattern must meet, and the scores that patterns and instances need.
-ROUNDS, SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 3, 3, 0.8, 0.75
+#: Least distinct instances, seeds or discovered, that a pattern must meet, and the scores that patterns and instances need.
+SUPPORT, PATTERN_SCORE, INSTANCE_SCORE = 3, 0.8, 0.75
 #: Least share of known instances among all that a pattern meets, times the binary logarithm of one more than the known.
 KNOWN_SHARE = 1.0
 
@@ -127,8 +129,9 @@ def _learnt(found: DataFrame, store: TableStore) -> DataFrame:
     it meets: seeds count 1, others their score, and seeds of other kinds
     against it. Instances of which nothing is known only matter where they
     swamp the known ones (``KNOWN_SHARE``). An instance's score is the chance that not
-    all of its patterns are wrong. Scores pass along the graph for ``ROUNDS``
-    rounds.
+    all of its patterns are wrong; one that is discovered supports further
+    patterns as a seed does. Scores only rise from round to round, and rounds end
+    when one adds neither a pattern nor an instance.
     """
     each = found.select("key", F.inline(F.concat(F.transform("sure", lambda s: s.withField("seed", F.lit(True))),
                                                  F.transform("maybe", lambda s: s.withField("seed", F.lit(False))))))
@@ -136,20 +139,25 @@ def _learnt(found: DataFrame, store: TableStore) -> DataFrame:
              .distinct())
     graph, _ = store.write(graph, "graph")
     seeds, _ = store.write(graph.filter("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("all_seeds")), "seeds")
-    scores = None
-    for k in range(ROUNDS):
+    scores, before = None, (0, 0)
+    for k in count():
         seen = graph if scores is None else graph.join(scores, ["kind", "instance", "seed"], "left")
-        known = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)) if scores is not None else F.lit(0.0))
+        score = F.coalesce("score", F.lit(0.0)) if scores is not None else F.lit(0.0)
+        known = F.when(F.col("seed"), 1.0).otherwise(score)
         other = F.col("all_seeds") - F.col("seeds")
-        good = (seen.groupBy("kind", "pattern").agg(F.sum(known).alias("known"), F.count(F.lit(1)).alias("met"), F.count_if("seed").alias("seeds"))
-                .filter(F.col("seeds") >= SUPPORT).join(seeds, "pattern")
+        good = (seen.groupBy("kind", "pattern").agg(F.sum(known).alias("known"), F.count(F.lit(1)).alias("met"), F.count_if("seed").alias("seeds"),
+                                                    F.count_if(F.col("seed") | (score >= INSTANCE_SCORE)).alias("support"))
+                .filter(F.col("support") >= SUPPORT).join(seeds, "pattern", "left").withColumn("all_seeds", F.coalesce("all_seeds", F.lit(0)))
                 .withColumn("trust", (F.col("known") + 0.5) / (F.col("known") + other + 1))
                 .filter((F.col("trust") >= PATTERN_SCORE) & (F.log2(F.col("known") + 1) * F.col("known") / F.col("met") >= KNOWN_SHARE))
                 .select("kind", "pattern", "trust"))
-        good, _ = store.write(good, f"patterns-{k}")
+        good, patterns = store.write(good, f"patterns-{k}", n=F.count(F.lit(1)))
         met = graph.filter("not seed").join(good, ["kind", "pattern"])
         scores = met.groupBy("kind", "instance", "seed").agg((1 - F.exp(F.sum(F.log(1 - 0.95 * F.col("trust"))))).alias("score"))
-        scores, _ = store.write(scores, f"scores-{k}")
+        scores, instances = store.write(scores, f"scores-{k}", n=F.count_if(F.col("score") >= INSTANCE_SCORE))
+        if before == (patterns["n"], instances["n"]):
+            break
+        before = patterns["n"], instances["n"]
     return scores.filter(F.col("score") >= INSTANCE_SCORE).select("kind", "instance")
 
 

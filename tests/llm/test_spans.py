@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -131,6 +132,20 @@ def test_private_contexts_of_as_many_unseen(spark):
     assert not any(got[310 + i] for i in range(60))
 
 
+def test_private_second_generation(spark):
+    rows = [(i, f"Please call office: +49 30 55512{i:02d} today") for i in range(12)]
+    rows += [(100 + i, f"Please call office: (030) 555 77{i:02d} today") for i in range(6)]
+    rows += [(200 + i, f"The extension reads (030) 555 77{i:02d} today") for i in range(6)]
+    rows += [(300 + i, f"The extension reads (040) 999 11{i:02d} today") for i in range(3)]
+    rows += [(400 + i, f"Their hotline says (040) 999 11{i:02d} today") for i in range(3)] + [(410, "Their hotline says (050) 111 2233 today")]
+    rows += [(500, "In all 1999 12345 67 people met"), (501, "The extension has 1234 5678 90 rooms")]
+    found = private_data.find_private(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    got = {r.doc_id: r.n_found for r in found.collect()}
+    assert all(got[k] == 1 for k in got if 100 <= k < 500), got
+    assert not got[500] and not got[501]
+    assert "Python" not in found._jdf.queryExecution().toString()
+
+
 def test_private_of_given_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     check_private(private_data.find_private(docs).collect(), {r.doc_id: r.text for r in docs.collect()})
@@ -170,6 +185,31 @@ def test_html_asides_go(attributes):
     assert html_text.main_text(f"<div><p>The article, all of it.</p><div {attributes}><p>Not this, at all.</p></div></div>") == "The article, all of it."
 
 
+LONG = "A paragraph of the story, which goes on, and on, until it is long enough to count as one."
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<p>The word <span class="notice">never</span> matters, here.</p>', "The word never matters, here."),
+    (f'<div><p>{LONG}</p><p><span class="notice">Sale now</span></p></div>', LONG),
+    (f'<div><p>{LONG} <span class="share-buttons">Post this</span></p></div>', LONG),
+    (f"<body><div><p>{LONG}</p></div><h2>Next part</h2><ul><li>one</li><li>two</li></ul><div><p>{LONG}</p></div></body>",
+     f"{LONG}\nNext part\none\ntwo\n{LONG}"),
+    ("<body><div><p>Hi</p></div><div><ol>" + "".join(f"<li>Step {i} of the recipe is to stir</li>" for i in range(4)) + "</ol></div></body>",
+     "\n".join(f"Step {i} of the recipe is to stir" for i in range(4))),
+    (f"<main><article><p>{LONG}</p></article><article><p>Second, {LONG}</p></article></main>", f"{LONG}\nSecond, {LONG}"),
+    ("<p>Let <math><mi>x</mi></math> be, press <button>OK</button> now.</p>", "Let x be, press now."),
+])
+def test_html_keeps_the_whole_article(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_is_linear_in_depth():
+    start = time.process_time()
+    assert html_text.main_text("<div>x" * 100_000).count("x") == 100_000
+    assert html_text.main_text("<ul><li><span>" + "<div>" * 50_000 + "<li>x</p>" * 50_000).count("x") == 50_000
+    assert time.process_time() - start < 20
+
+
 def test_html_of_given_pages(spark):
     import html
 
