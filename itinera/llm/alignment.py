@@ -54,6 +54,9 @@ def _byte_level() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + k): b for k, b in enumerate(others)}}
 
 
+#: Of both vocabularies: the ids of many segments in turn, and how many are each segment's.
+Ids = list[tuple[np.ndarray, np.ndarray]]
+
 #: Fixed value: the pattern that byte-level vocabularies cut texts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -77,8 +80,10 @@ class Tokenizers:
         ranks = {spell(piece): i for piece, i in vocab.items() if piece not in special}
         if told["pre_tokenizer"].get("type") == "ByteLevel" and not told["pre_tokenizer"].get("add_prefix_space") and made == sorted(set(made)) \
                 and len(made) + 256 == len(ranks) and not told.get("normalizer"):
-            self.encode_a = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.fast = tiktoken.Encoding("first", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.encode_a = self.fast.encode_ordinary
         else:
+            self.fast = None
             self.encode_a = lambda text: slow.encode(text, add_special_tokens=False).ids
         self.b = sentencepiece.SentencePieceProcessor(model_proto=second)
         piece = self.b.id_to_piece
@@ -87,6 +92,9 @@ class Tokenizers:
         self.size_a = [len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)]
         self.size_b = list(map(len, self.bytes_b))
         self.length_a, self.length_b = np.array(self.size_a), np.array(self.size_b)
+        # ids as text with what follows them: at twice an id a comma, one further the end of its side of a group
+        self.shown = [f"{i}{mark}" for size, end in ((self.size_a, "|"), (self.size_b, ";")) for i in range(len(size)) for mark in (",", end)]
+        self.shown_length = np.fromiter(map(len, self.shown), dtype=np.int64, count=len(self.shown))
 
     def encode(self, parts: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """Ids of space + segment by both for each segment, None where the tokens' bytes are not the segment's."""
@@ -97,15 +105,65 @@ class Tokenizers:
             out.append((a, b) if b"".join(map(of_a, a)) == raw == b"".join(map(of_b, b)) else None)
         return out
 
-    def walk(self, ids: list[tuple[list[int], list[int]]]) -> Walk:
+    def together(self, parts: list[str]) -> tuple[list[str], Ids, list[str]]:
+        """Segments with their ids, and those whose bytes differ from their tokens'.
+
+        Segments that start and end in no white space are encoded by the first
+        vocabulary as one text, which no token crosses a segment's end of.
+        """
+        joined = [p for p in parts if p and p.strip() == p] if self.fast else []
+        ids = self._joined(joined) if joined else None
+        good, single = (joined, [p for p in parts if not p or p.strip() != p]) if ids else ([], parts)
+        found = list(zip(single, self.encode(single)))
+        some = [(p, x) for p, x in found if x]
+        rest = [(np.fromiter(chain.from_iterable(x[k] for _, x in some), dtype=np.int64),
+                 np.fromiter((len(x[k]) for _, x in some), dtype=np.int64)) for k in (0, 1)]
+        both = rest if not ids else [tuple(map(np.concatenate, zip(i, r))) for i, r in zip(ids, rest)]
+        return good + [p for p, _ in some], both, [p for p, x in found if not x]
+
+    def _joined(self, parts: list[str]) -> Ids | None:
+        """Ids of segments encoded as one text, or None if any of their bytes differ."""
+        text = " " + " ".join(parts)
+        raw = text.encode()
+        ends = np.cumsum(np.fromiter((len(p) if p.isascii() else len(p.encode()) for p in parts), dtype=np.int64, count=len(parts)) + 1)
+        pieces = self.b.encode(parts, num_threads=1)
+        flat = [self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64), np.fromiter(chain.from_iterable(pieces), dtype=np.int64)]
+        out = []
+        for ids, size, spelt in zip(flat, (self.length_a, self.length_b), (self.bytes_a, self.bytes_b)):
+            at = np.cumsum(size[ids])
+            last = np.searchsorted(at, ends)
+            if at[-1] != len(raw) or not np.array_equal(at[last], ends) or b"".join(map(spelt.__getitem__, ids.tolist())) != raw:
+                return None
+            out.append((ids, np.diff(last, prepend=-1)))
+        if not np.array_equal(out[1][1], np.fromiter(map(len, pieces), dtype=np.int64, count=len(parts))):
+            return None
+        return out
+
+    def walk(self, ids: Ids) -> Walk:
         """Links and groups of many segments at once: one after another they are a text that has a common end after each."""
-        flat = [np.fromiter(chain.from_iterable(x[k] for x in ids), dtype=np.int64) for k in (0, 1)]
-        ends = [np.cumsum(size[f]) for size, f in zip((self.length_a, self.length_b), flat)]
-        last = ends[0][np.cumsum([len(x[0]) for x in ids]) - 1]
-        every, common = np.union1d(*ends), np.intersect1d(*ends, assume_unique=True)
-        keys = flat[0][np.searchsorted(ends[0], every)] << 32 | flat[1][np.searchsorted(ends[1], every)]
-        per = lambda found: np.diff(np.append(0, np.searchsorted(found, last, side="right")))
-        return Walk(flat, [np.append(0, np.searchsorted(e, common) + 1) for e in ends], keys, per(every), per(common))
+        (a, n_a), (b, _) = ids
+        end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        last = end_a[np.cumsum(n_a) - 1]
+        shared = end_b[np.searchsorted(end_b, end_a)] == end_a
+        common = end_a[shared]
+        every = np.sort(np.concatenate([end_a[~shared], end_b]), kind="stable")
+        keys = a[np.searchsorted(end_a, every)] << 32 | b[np.searchsorted(end_b, every)]
+        per = lambda found: np.diff(np.searchsorted(found, last, side="right"), prepend=0)
+        return Walk([a, b], [np.append(0, np.searchsorted(e, common) + 1) for e in (end_a, end_b)], keys, per(every), per(common))
+
+    def texts(self, walk: Walk) -> list[str]:
+        """The groups of each segment of a walk as text."""
+        (a, b), (cut_a, cut_b) = walk.flat, walk.cuts
+        first, second = 2 * a, 2 * b + 2 * len(self.size_a)
+        first[cut_a[1:] - 1] += 1
+        second[cut_b[1:] - 1] += 1
+        order = np.empty(len(a) + len(b), dtype=np.int64)
+        order[np.arange(len(a)) + np.repeat(cut_b[:-1], np.diff(cut_a))] = first
+        order[np.arange(len(b)) + np.repeat(cut_a[1:], np.diff(cut_b))] = second
+        text = "".join(map(self.shown.__getitem__, order.tolist()))
+        groups = np.cumsum(walk.groups)
+        ends = np.cumsum(self.shown_length[order])[cut_a[groups] + cut_b[groups] - 1].tolist()
+        return [text[i:j - 1] for i, j in zip([0, *ends], ends)]
 
 
 @dataclass(frozen=True)
@@ -117,14 +175,6 @@ class Walk:
     links: np.ndarray
     groups: np.ndarray
 
-    def texts(self) -> list[str]:
-        """The groups of each segment as text."""
-        shown = [list(map(str, f.tolist())) for f in self.flat]
-        a, b = (c.tolist() for c in self.cuts)
-        each = [f"{','.join(shown[0][i:j])}|{','.join(shown[1][k:m])}" for i, j, k, m in zip(a, a[1:], b, b[1:])]
-        ends = np.cumsum(self.groups).tolist()
-        return [";".join(each[i:j]) for i, j in zip([0, *ends], ends)]
-
 
 # --------------------------------------------------------------------------------------------- the monoid
 
@@ -254,33 +304,38 @@ def ranges(text: str, size: int) -> Iterator[tuple[str, int, int]]:
 
 
 class Aligner(dict):
-    """Fragments of slices; of whole segments the groups and packed counts are remembered (None where the bytes differ)."""
+    """Fragments of slices; of whole segments the groups and counts are remembered by number (None where the bytes differ)."""
 
     def __init__(self, tokenizers: Tokenizers, weigh):
         super().__init__()
-        self.tokenizers, self.weigh, self.held = tokenizers, weigh, 0
+        self.tokenizers, self.weigh = tokenizers, weigh
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.texts, self.counts, self.held = [], np.zeros((1024, 6), dtype=np.int64), 0
 
     def learn(self, parts: set[str]) -> None:
         """Remember segments, encoded and weighed together."""
         if self.held > CACHED:
-            self.clear()
-            self.held = 0
-        fresh = list(parts - self.keys())
-        ids = self.tokenizers.encode(fresh)
-        self.update(dict.fromkeys(fresh))
-        fresh = [s for s, x in zip(fresh, ids) if x]
-        ids = [x for x in ids if x]
+            self.forget()
+        fresh, ids, unlike = self.tokenizers.together(list(parts - self.keys()))
+        self.update(dict.fromkeys(unlike))
         if not fresh:
             return
         walk = self.tokenizers.walk(ids)
-        first = np.cumsum(np.append(0, walk.links[:-1]))
-        sums = [walk.links] + [np.add.reduceat(x, first) for x in self.weigh(walk.keys)]
-        texts = walk.texts()
-        for segment, (a, b), text, n_groups, n_links, best, count in zip(fresh, ids, texts, walk.groups.tolist(), *(x.tolist() for x in sums)):
-            self[segment] = text, len(a) | len(b) << 64 | n_groups << 128 | n_links << 192 | best << 256 | count << 320
-        self.held += 300 * len(fresh) + 4 * sum(map(len, fresh)) + sum(map(len, texts))
-
-    def __missing__(self, segment: str) -> tuple[str, int] | None:
+        first = np.cumsum(walk.links) - walk.links
+        low, high = len(self.texts), len(self.texts) + len(fresh)
+        while high > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
+        self.counts[low:high] = np.column_stack([ids[0][1], ids[1][1], walk.groups, walk.links,
+                                                 *[np.add.reduceat(x, first) for x in self.weigh(walk.keys)]])
+        texts = self.tokenizers.texts(walk)
+        self.texts += texts
+        self.update(zip(fresh, range(low, high)))
+        self.held += 300 * len(fresh) + sum(map(len, fresh)) + sum(map(len, texts))
+
+    def __missing__(self, segment: str) -> int | None:
         self.learn({segment})
         return self[segment]
 
@@ -289,11 +344,12 @@ class Aligner(dict):
         found = list(map(self.__getitem__, parts))
         if None in found:
             return None
-        total = sum([f[1] for f in found])
-        first, _, rest = found[0][0].partition(";")
+        total = self.counts[found].sum(axis=0)
+        texts = list(map(self.texts.__getitem__, found))
+        first, _, rest = texts[0].partition(";")
         a, b = (tuple(map(int, side.split(","))) for side in first.split("|"))
-        closed = ";".join(filter(None, [rest, *[f[0] for f in found[1:]]]))
-        return Fragment(True, (a, b), closed, counts=tuple(total >> 64 * i & (1 << 64) - 1 for i in range(6)))
+        closed = ";".join([rest, *texts[1:]] if rest else texts[1:])
+        return Fragment(True, (a, b), closed, counts=tuple(total.tolist()))
 
     def part(self, piece: str, low: int, high: int) -> Fragment | None:
         """The fragment of the bytes (low, high] of space + piece; None if the bytes differ."""
@@ -350,10 +406,8 @@ class LinkCounts:
 
     def add(self, texts: list[list[str]]) -> None:
         """Count the segments of texts; those of a text whose bytes differ count nothing."""
-        fresh = list(set().union(*texts) - self.known.keys() - self.unlike)
-        ids = self.tokenizers.encode(fresh)
-        self.unlike.update(s for s, x in zip(fresh, ids) if not x)
-        fresh, ids = [s for s, x in zip(fresh, ids) if x], [x for x in ids if x]
+        fresh, ids, unlike = self.tokenizers.together(list(set().union(*texts) - self.known.keys() - self.unlike))
+        self.unlike.update(unlike)
         if fresh:
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
             walk = self.tokenizers.walk(ids)
