@@ -9,7 +9,7 @@ from itinera import constants as K
 from itinera.functions import text as T
 from itinera.functions.once import bind, with_computed
 from itinera.operators.matching import INLINE_KEYS, dictionary_keys, find_places
-from itinera.plans.lookup import left_lookup
+from itinera.plans.lookup import left_lookup, sized
 
 
 def _any_in(text: Column, words: list[str]) -> Column:
@@ -99,7 +99,7 @@ def extract_orders(orders: DataFrame, gazetteer: DataFrame, text_col: str = "sen
     for key, end in (("_o", "origin"), ("_d", "destination")):
         names = gazetteer.select(F.col("norm").alias(key), F.col("canonical").alias(end))
         # the dictionary is known to be small when its keys fit the plan
-        picked = left_lookup(picked, F.broadcast(names) if keys is not None else names, [key], id_col)
+        picked = left_lookup(picked, F.broadcast(names) if keys is not None else sized(names), [key], id_col)
     return picked.select(*found.columns, "origin", "destination", "valid", "method")
 
 

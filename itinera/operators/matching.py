@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from itinera.functions import text as T
 from itinera.functions.once import with_computed
+from itinera.plans.lookup import sized
 from itinera.plans.tables import TableStore
 
 INLINE_KEYS = 20_000
@@ -76,21 +77,22 @@ def _joined_places(df: DataFrame, gazetteer: DataFrame, id_col: str, min_length:
 
     Every row gets a key of its own, written with it, so rows with null or
     repeated ids keep their own places. A name mentioned by several of its
-    forms counts once, by the first mention.
+    forms counts once, by the first mention. Rows and their hits are both as
+    many as the texts, so they meet by shuffle only.
     """
     rows = df.withColumn("_row", F.monotonically_increasing_id())
     df, _ = TableStore(df.sparkSession, "places").write(rows, "rows")
     id_col = "_row"
     words = F.split("norm", " ")
-    sized = [F.transform(_grams(words, n), _numbered(n)) for n in range(1, MAX_GRAM + 1)]
-    grams = (df.select(id_col, F.explode(F.concat(*sized)).alias("g")).select(id_col, "g.*")
+    by_size = [F.transform(_grams(words, n), _numbered(n)) for n in range(1, MAX_GRAM + 1)]
+    grams = (df.select(id_col, F.explode(F.concat(*by_size)).alias("g")).select(id_col, "g.*")
              .filter((F.col("n") > 1) | (F.length("gram") >= min_length)))
-    names = gazetteer.select(F.col("norm").alias("gram"), "canonical")
+    names = sized(gazetteer.select(F.col("norm").alias("gram"), "canonical"))
     hits = (grams.join(names, "gram")
             .groupBy(id_col, "canonical").agg(F.min(F.struct("n", "pos", "gram")).alias("at"))
             .groupBy(id_col).agg(F.array_sort(F.collect_list("at")).alias("hits"))
             .select(id_col, F.col("hits.gram").alias("places")))
-    return (df.join(hits, id_col, "left").drop(id_col)
+    return (df.join(hits.hint("merge"), id_col, "left").drop(id_col)
             .withColumn("places", F.coalesce("places", F.array().cast("array<string>"))))
 
 
@@ -132,7 +134,7 @@ def place_mentions(df: DataFrame, gazetteer: DataFrame, text_col: str, id_col: s
     """C4 as rows: (id, rank, norm key, canonical)."""
     found = find_places(df, gazetteer, text_col, id_col, **options)
     rows = found.select(id_col, F.posexplode("places").alias("rank", "place"))
-    keys = gazetteer.select(F.col("norm").alias("place"), "canonical")
+    keys = sized(gazetteer.select(F.col("norm").alias("place"), "canonical"))
     return rows.join(keys, "place").select(id_col, (F.col("rank") + 1).alias("rank"),
                                            "place", "canonical")
 

@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 _SPREAD = 4096
 
+#: Most rows of a lookup side that is broadcast; it is counted first, and a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
+
+
+def sized(lookup: DataFrame) -> DataFrame:
+    """A lookup side whose join is chosen by its counted rows.
+
+    Spark guesses the size of derived columns from compressed files and may
+    broadcast millions of rows; the hint for a larger side keeps it from that.
+    """
+    few = lookup.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(lookup) if few else lookup.hint("merge")
+
 
 def left_lookup(df: DataFrame, lookup: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     """Left join on text keys where rows without a key do not gather in one task.
