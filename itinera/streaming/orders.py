@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from itinera.operators.extract import extract_orders
 from itinera.operators.matching import INLINE_KEYS
 from itinera.operators.stations import map_cities
+from itinera.plans.tables import TableStore
 
 
 def resolve_stream(orders: DataFrame, gazetteer: DataFrame, city_station: DataFrame,
@@ -39,8 +40,11 @@ def resolve_batches(orders: DataFrame, gazetteer: DataFrame, city_station: DataF
     """K1 for dictionaries of any size: each micro-batch is resolved as a table and handed to ``sink(rows, batch)``.
 
     A large dictionary is an n-gram join inside the batch; nothing is kept
-    between batches but the stream's own progress in ``checkpoint``.
+    between batches but the stream's own progress in ``checkpoint``. The
+    dictionary is written once, not derived again by each of its joins.
     """
+    gazetteer, _ = TableStore(gazetteer.sparkSession, "stream-names").write(gazetteer, "gazetteer")
+
     def resolve(batch: DataFrame, number: int) -> None:
         sink(resolve_stream(batch, gazetteer, city_station, routes, inline_keys), number)
 
