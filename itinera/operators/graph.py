@@ -52,63 +52,85 @@ def top_connected(nodes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
 
 HOT_LABELS = 100_000
 
-def _jump(merged: DataFrame, owner: DataFrame, store: TableStore, name: str, hub_degree: int) -> DataFrame:
-    """``merged`` with the label of its label (``parent``), hot labels by broadcast while they are few."""
-    used = merged.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    parents, seen = store.write(used.join(owner, "component"), name, hot=F.count_if(F.col("n") > hub_degree))
+
+def _looked_up(rows: DataFrame, table: DataFrame, key: str, store: TableStore, name: str, hub_degree: int) -> DataFrame:
+    """``rows`` joined with ``table``, unique by ``key``; hot keys by broadcast while they are few."""
+    used = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    known, seen = store.write(used.join(table, key), name, hot=F.count_if(F.col("_n") > hub_degree))
     if not 0 < seen["hot"] <= HOT_LABELS:
-        return merged.join(parents.select("component", "parent"), "component")
-    hot = parents.filter(F.col("n") > hub_degree).select("component", "parent")
-    tried = merged.join(F.broadcast(hot), "component", "left")
-    rest = (tried.filter(F.col("parent").isNull()).drop("parent")
-            .join(parents.filter(F.col("n") <= hub_degree).select("component", "parent"), "component"))
-    return tried.filter(F.col("parent").isNotNull()).unionByName(rest)
+        return rows.join(known.drop("_n"), key)
+    hot, rest = (known.filter(which).drop("_n") for which in (F.col("_n") > hub_degree, F.col("_n") <= hub_degree))
+    return rows.join(F.broadcast(hot), key).unionByName(
+        rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key))
+
+
+def _node_number(node: Column, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), node)
+
+
+def _turned(number: Column, turn: int) -> Column:
+    """The bits of a number moved round by ``turn`` places: another order of the same numbers, and -turn is the way back."""
+    turn %= 64
+    return number if not turn else F.shiftleft(number, turn).bitwiseOR(F.shiftrightunsigned(number, 64 - turn))
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, hub_degree: int = HUB_DEGREE) -> DataFrame:
     """(node, component), the component being its smallest node.
 
-    Rounds of neighbour minimum, hooking and pointer jumping until no label moves.
-    A moved node hands its new label to its neighbours and to the node its old
-    label names, so whole groups join at once; that step aggregates before it
-    shuffles. The jump first counts the nodes
-    per label: labels of normal size are looked up in a shuffle join, the few that
-    cover more than ``hub_degree`` nodes by broadcast, so a component of any size is
-    spread over all tasks. Beyond ``HOT_LABELS`` of them, each is a small share of
-    the nodes and the shuffle join takes them too.
+    Nodes are numbered by a hash, which is checked to be unique and drawn again
+    if it is not. Every round each node moves to the first of itself and its
+    neighbours, in an order of its own, and edges are rewritten between the
+    nodes moved to; that about halves the nodes that have edges (Bogeholz et
+    al., "In-database connected component analysis", 2020), so later rounds cost
+    a fraction of the first. At the end the moves are followed back from the
+    last round to the first. Labels of normal size are looked up in a shuffle
+    join, the few that cover more than ``hub_degree`` nodes by broadcast, so a
+    component of any size is spread over all tasks. Beyond ``HOT_LABELS`` of
+    them, each is a small share of the nodes and the shuffle join takes them too.
     """
     store = TableStore(nodes.sparkSession, "components")
-    ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
-    both = (edges.filter(F.col("src") != F.col("dst"))
-            .select(F.inline(F.array(ends("src", "dst"), ends("dst", "src")))).distinct())
-    graph = Adjacency(both, store, hub_degree)
-    ids = nodes.select("node").unionByName(both.select(F.col("src").alias("node"))).distinct()
-    labels, seen = store.write(ids.select("node", F.col("node").alias("component"), F.col("node").alias("before"),
-                                          F.lit(True).alias("moved")), "labels-0", n=F.count(F.lit(1)))
-    none_hot = seen["n"] <= hub_degree
-    nothing = F.lit(None).cast("string").alias("old")
-    rounds = 0
-    while True:
-        rounds += 1
-        fresh = labels.filter("moved")
-        pushed = graph.expand(fresh.select("node", "component")) \
-            .select(F.col("dst").alias("node"), "component", nothing)
-        hooked = fresh.select(F.col("before").alias("node"), "component", nothing)
-        merged = (labels.select("node", "component", F.col("component").alias("old"))
-                  .unionByName(pushed).unionByName(hooked).groupBy("node")
-                  .agg(F.min("component").alias("component"), F.max("old").alias("old")))
-        merged, _ = store.write(merged, f"merged-{rounds}")
-        owner = merged.select(F.col("node").alias("component"), F.col("component").alias("parent"))
-        jumped = merged.join(owner, "component") if none_hot \
-            else _jump(merged, owner, store, f"parents-{rounds}", hub_degree)
-        moved = jumped.select("node", F.col("parent").alias("component"), F.col("old").alias("before"),
-                              (F.col("parent") != F.col("old")).alias("moved"))
-        new, seen = store.write(moved, f"labels-{rounds}", moved=F.count_if("moved"))
-        for name in (f"labels-{rounds - 1}", f"merged-{rounds}", f"parents-{rounds}"):
-            store.drop(name)  # a table that was not written is skipped
-        labels = new
-        if not seen["moved"]:
-            return labels.select("node", "component")
+    linked = edges.filter(F.col("src") != F.col("dst"))
+    ids, _ = store.write(nodes.select("node").unionByName(linked.select(F.explode(F.array("src", "dst")).alias("node")))
+                         .filter(F.col("node").isNotNull()).distinct(), "nodes")
+    seed = 0
+    while not ids.groupBy(_node_number(F.col("node"), seed)).count().filter("count > 1").isEmpty():
+        seed += 1
+    left, seen = store.write(linked.select(_node_number(F.col("src"), seed).alias("a"), _node_number(F.col("dst"), seed).alias("b")),
+                             "edges-0", n=F.count(F.lit(1)))
+    moves = []
+    while seen["n"]:
+        turn = 13 * len(moves)
+        near = lambda n, o: F.struct(F.col(n).alias("node"), _turned(F.col(o), turn).alias("o"))  # noqa: B023, E731
+        first = left.select(F.inline(F.array(near("a", "b"), near("b", "a")))).groupBy("node").agg(F.min("o").alias("o"))
+        moved, _ = store.write(first.select("node", _turned(F.least("o", _turned(F.col("node"), turn)), -turn).alias("to")),
+                               f"moves-{len(moves)}")
+        ends = (left.join(moved.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
+                .join(moved.select(F.col("node").alias("b"), F.col("to").alias("y")), "b"))
+        moves.append(moved)
+        left, seen = store.write(ends.filter("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(),
+                                 f"edges-{len(moves)}", n=F.count(F.lit(1)))
+        store.drop(f"edges-{len(moves) - 1}")
+    roots = None
+    for k, moved in reversed(list(enumerate(moves))):
+        if roots is not None:
+            # a node moved to in the last place of its edges has no later move
+            moved = moved.join(roots.select(F.col("node").alias("to"), F.col("to").alias("last")), "to", "left") \
+                .select("node", F.coalesce("last", "to").alias("to"))
+        roots, _ = store.write(moved, f"roots-{k}")
+    numbered = ids.withColumn("_id", _node_number(F.col("node"), seed))
+    if roots is None:
+        labels = numbered.withColumn("root", F.col("_id"))
+    else:
+        labels = numbered.join(roots.select(F.col("node").alias("_id"), "to"), "_id", "left") \
+            .withColumn("root", F.coalesce("to", "_id"))
+    labels, seen = store.write(labels.select("node", "root"), "labels", n=F.count(F.lit(1)))
+    least = labels.groupBy("root").agg(F.min("node").alias("component"))
+    named = labels.join(least, "root") if seen["n"] <= hub_degree \
+        else _looked_up(labels, least, "root", store, "least", hub_degree)
+    named, _ = store.write(named.select("node", "component"), "components")
+    for name in ["nodes", "labels", "least", f"edges-{len(moves)}", *(f"{kind}-{k}" for kind in ("moves", "roots") for k in range(len(moves)))]:
+        store.drop(name)  # a table that was not written is skipped
+    return named
 
 
 def component_summary(components: DataFrame) -> DataFrame:
