@@ -158,7 +158,8 @@ def label_tokens(col) -> Column:
     def pieces(word: Column) -> Column:
         hyphenated = F.split(F.replace(word, F.lit("-"), F.lit("\n-\n")), "\n")
         punctuated = F.array(F.regexp_extract(word, shape, 1), F.regexp_extract(word, shape, 2))
-        split_word = (F.when(word.contains("-"), hyphenated)
+        split_word = (F.when(~word.rlike("[-.,!?;:]"), F.array(word))  # the most of words, at one look
+                      .when(word.contains("-"), hyphenated)
                       .when(word.rlike(shape), punctuated)
                       .otherwise(F.array(word)))
         return F.filter(split_word, lambda t: t != "")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from itinera import constants as K
 from itinera.functions import text as T
 from itinera.functions.once import bind, with_computed
+from itinera.plans.lookup import counted
 
 ALL_LABELS = list(K.LABEL_IDS)
 
@@ -19,28 +20,40 @@ def entity_positions(tokens: Column, entity: Column, known: Column, floor: float
     The window is as long as the entity. A similar window counts only when the
     entity is a ``known`` dictionary place.
     """
-    size = F.size(T.label_tokens(entity))
+    forms = F.struct(F.transform(tokens, _lower).alias("lowered"), F.transform(tokens, T.fuzzy_key).alias("keys"))
+    return _found_at(forms, entity, T.label_tokens(entity), known, floor, max_distance)
 
+
+def _token_forms(tokens: Column) -> Column:
+    """Lower-case label tokens and their fuzzy keys; such tokens hold no line break, so all keys come from one text."""
+    lines = F.regexp_replace(F.lower(T.remove_accents(F.array_join(tokens, "\n"), keep_cedilla=False)), "[^a-z0-9\n]", "")
+    return F.struct(F.transform(tokens, _lower).alias("lowered"), F.split(lines, "\n").alias("keys"))
+
+
+def _lower(token: Column) -> Column:
+    return F.trim(F.lower(token))
+
+
+def _found_at(forms: Column, entity: Column, parts: Column, known: Column, floor: float = 0.7, max_distance: int = 3) -> Column:
+    """I11 on ``_token_forms`` of the tokens and the tokens of the entity."""
     def search(e: Column) -> Column:
-        last = F.size(tokens) - e["size"]
+        last = F.size(e["lowered"]) - e["size"]
 
         def hit(start: Column) -> Column:
             same = F.slice(e["lowered"], start + 1, e["size"]) == e["parts"]
-            window = T.fuzzy_key(F.array_join(F.slice(tokens, start + 1, e["size"]), ""))
+            window = F.when(e["size"] == 1, F.get(e["keys"], start)).otherwise(F.array_join(F.slice(e["keys"], start + 1, e["size"]), ""))
             return same | (known & bind(window, near))
 
         def near(window: Column) -> Column:
-            edits = F.levenshtein(window, e["key"])
+            edits = F.levenshtein(window, e["key"], max_distance)
             longest = F.greatest(F.length(window), F.length(e["key"]), F.lit(1))
-            return (edits <= max_distance) & (F.lit(1.0) - edits / longest > floor)
+            return (edits >= 0) & (F.lit(1.0) - edits / longest > floor)
 
         starts = F.filter(F.sequence(F.lit(0), last), hit)
         return F.when((e["size"] > 0) & (last >= 0), starts).otherwise(F.array().cast("array<int>"))
 
-    lower = lambda t: F.trim(F.lower(t))
-    return bind(F.struct(F.transform(T.label_tokens(entity), lower).alias("parts"),
-                         F.transform(tokens, lower).alias("lowered"),
-                         size.alias("size"), T.fuzzy_key(entity).alias("key")), search)
+    return bind(F.struct(F.transform(parts, _lower).alias("parts"), forms["lowered"].alias("lowered"), forms["keys"].alias("keys"),
+                         F.size(parts).alias("size"), T.fuzzy_key(entity).alias("key")), search)
 
 
 def bio_labels(orders: DataFrame, gazetteer: DataFrame, text_col: str = "sentence") -> DataFrame:
@@ -49,17 +62,16 @@ def bio_labels(orders: DataFrame, gazetteer: DataFrame, text_col: str = "sentenc
     Origin is its first hit; destination its first hit behind the origin, else its
     last hit. Invalid rows are all 'O'.
     """
-    places = gazetteer.select(F.lower(F.trim("canonical")).alias("_p")).distinct().withColumn("_m", F.lit(True))
-    rows = with_computed(orders, tokens=T.label_tokens(text_col))
+    known = gazetteer.select(F.lower(F.trim("canonical")).alias("_p")).distinct()
+    places = counted(known, "label-places").withColumn("_m", F.lit(True))
+    text = lambda end: F.trim(F.coalesce(end, F.lit("")))
+    rows = with_computed(orders, tokens=T.label_tokens(text_col), _op=T.label_tokens(text("origin")), _dp=T.label_tokens(text("destination")))
+    rows = with_computed(rows, _forms=_token_forms(F.col("tokens")), _ow=F.size("_op"), _dw=F.size("_dp"))
     for end in ("origin", "destination"):
         rows = (rows.withColumn("_p", F.lower(F.trim(F.coalesce(end, F.lit("")))))
                 .join(places.withColumnRenamed("_m", f"_known_{end}"), "_p", "left").drop("_p"))
-    text = lambda end: F.trim(F.coalesce(end, F.lit("")))
-    known = lambda end: F.coalesce(f"_known_{end}", F.lit(False))
-    rows = with_computed(
-        rows, _ow=F.size(T.label_tokens(text("origin"))), _dw=F.size(T.label_tokens(text("destination"))),
-        _origin=entity_positions(F.col("tokens"), text("origin"), known("origin")),
-        _destination=entity_positions(F.col("tokens"), text("destination"), known("destination")))
+    found = lambda end, parts: _found_at(F.col("_forms"), text(end), F.col(parts), F.coalesce(f"_known_{end}", F.lit(False)))
+    rows = with_computed(rows, _origin=found("origin", "_op"), _destination=found("destination", "_dp"))
     rows = rows.withColumn("_oa", F.get("_origin", 0))
     behind = F.get(F.filter("_destination", lambda s: s >= F.col("_oa") + F.col("_ow")), 0)
     last = F.when(F.size("_destination") > 0, F.element_at("_destination", -1))

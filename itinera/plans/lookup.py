@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from itinera.plans.tables import TableStore
+
 _SPREAD = 4096
 
 #: Most rows of a lookup side that is broadcast; it is counted first, and a larger one is joined by shuffle.
@@ -21,6 +23,12 @@ def sized(lookup: DataFrame) -> DataFrame:
     return F.broadcast(lookup) if few else lookup.hint("merge")
 
 
+def counted(lookup: DataFrame, label: str) -> DataFrame:
+    """``sized`` for a lookup side that is dear to derive: written once, counted as it is written."""
+    table, seen = TableStore(lookup.sparkSession, label).write(lookup, "rows", n=F.count(F.lit(1)))
+    return F.broadcast(table) if seen["n"] <= BROADCAST_ROWS else table.hint("merge")
+
+
 def left_lookup(df: DataFrame, lookup: DataFrame, keys: list[str], row_id: str) -> DataFrame:
     """Left join on text keys where rows without a key do not gather in one task.
 

@@ -11,19 +11,20 @@ from itinera.operators.graph import shortest_paths
 from itinera.operators.matching import resolve_entities
 from itinera.operators.network import Network
 from itinera.operators.stations import flag_foreign, map_cities
-from itinera.plans.lookup import left_lookup
+from itinera.plans.lookup import counted, left_lookup
 from itinera.plans.tables import TableStore
 
 
 def extract_from_labels(tokens: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """Extraction from a labelled token table: E7, I7 and E9; valid when both ends are there."""
-    spans = decode_spans(tokens)
-    named = spans
-    ends = spans.select(F.explode(F.array("origin", "destination")).alias("query"))
-    resolved = resolve_entities(ends, gazetteer).select("query", "canonical")
+    store = TableStore(tokens.sparkSession, "labelled")
+    named, _ = store.write(decode_spans(tokens).withColumn("_row", F.monotonically_increasing_id()), "spans")
+    ends = named.select(F.explode(F.array("origin", "destination")).alias("query")).distinct()
+    resolved = counted(resolve_entities(ends, gazetteer).select("query", "canonical"), "labelled-names")
     for end in ("origin", "destination"):
-        named = (named.join(resolved.select(F.col("query").alias(end), F.col("canonical").alias("_c")), end, "left")
-                 .withColumn(end, F.col("_c")).drop("_c"))
+        named = left_lookup(named, resolved.select(F.col("query").alias(end), F.col("canonical").alias("_c")), [end], "_row") \
+            .withColumn(end, F.col("_c")).drop("_c")
+    named = named.drop("_row")
     kept = drop_person_names(named)
     valid = is_complete(F.col("origin"), F.col("destination"))
     return kept.withColumn("valid", valid).withColumn("method", F.when(valid, "labels").otherwise("invalid"))
