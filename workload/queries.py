@@ -215,16 +215,21 @@ def _subwords(labelled: DataFrame) -> DataFrame:
                            F.posexplode(F.concat(special, pieces, special)).alias("pos", "word_id"))
 
 
+def _written_labels(spark, d) -> DataFrame:
+    """Labelled orders read more than once, so they are written."""
+    return TableStore(spark, "labelled").write(_labelled(spark, d).select("sentenceID", "difficulty", "tokens", "labels"), "rows")[0]
+
+
 @query
 def subword_align(spark, d):
-    labelled = _labelled(spark, d)
+    labelled = _written_labels(spark, d)
     words = labelled.select(F.col("sentenceID").alias("ex_id"), F.posexplode("labels").alias("word_id", "label"))
     return LB.align_subwords(_subwords(labelled), words)
 
 
 @query
 def subword_stats(spark, d):
-    labelled = _labelled(spark, d)
+    labelled = _written_labels(spark, d)
     examples = labelled.select(F.col("sentenceID").alias("ex_id"), F.col("difficulty").alias("split"), "tokens")
     return _rounded(LB.subword_stats(_subwords(labelled), examples, max_length=10), "avg_subword_len") \
         .withColumn("max_subword_len", F.col("max_subword_len").cast("bigint"))
