@@ -311,7 +311,7 @@ def shortest_paths(nodes: DataFrame, edges: DataFrame, pairs: DataFrame,
     a sum too large for a label raises an overflow instead of a wrong route.
     """
     store = TableStore(edges.sparkSession, "paths")
-    pairs = pairs.select("origin_uic", "destination_uic").distinct()
+    pairs, _ = store.write(pairs.select("origin_uic", "destination_uic").distinct(), "pairs")  # often dear to derive, and read in four places
     known = nodes.select("uic")
     wanted = (pairs.join(known.withColumnRenamed("uic", "origin_uic"), "origin_uic", "left_semi")
               .join(known.withColumnRenamed("uic", "destination_uic"), "destination_uic", "left_semi"))

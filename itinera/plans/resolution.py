@@ -35,18 +35,18 @@ def resolve_orders(extracted: DataFrame, city_station: DataFrame, network: Netwo
     """13-column result per order.
 
     ``extracted`` has (sentenceID, sentence, origin, destination, valid) from the
-    rules or from labels. Place names are mapped once per distinct name and paths
+    rules or from labels and is worked out once. Place names are mapped once per distinct name and paths
     are searched once per distinct pair of stations. ``mode='route'`` names every
     station on the way; ``mode='nlp'`` reports the two places and keeps them when
     no path exists. ``routes`` takes a ready J9 table instead of a search.
     """
     if mode not in ("nlp", "route"):
         raise ValueError(f"mode must be 'nlp' or 'route', not {mode!r}")
-    base = extracted.select(F.col("sentenceID").alias("sentence_id"), "sentence", "origin", "destination", "valid")
+    store = TableStore(extracted.sparkSession, "resolve")
+    base, _ = store.write(extracted.select(F.col("sentenceID").alias("sentence_id"), "sentence", "origin", "destination", "valid"), "orders")
     complete = F.col("valid") & is_complete(F.col("origin"), F.col("destination"))
     names = (base.filter(complete).select(F.explode(F.array("origin", "destination")).alias("city")).distinct())
     mapped = flag_foreign(map_cities(names, "city", city_station), "city", foreign)
-    store = TableStore(base.sparkSession, "resolve")
     mapped, _ = store.write(mapped, "cities")
     rows = base.withColumn("_complete", complete)
     for end in ("origin", "destination"):
