@@ -80,3 +80,17 @@ def test_distance(spark):
 def test_output_line(spark):
     df = spark.createDataFrame([("1", "Paris", None)], "i string, o string, d string")
     assert df.select(T.output_line("i", "o", "d")).first()[0] == "1,Paris,INVALID"
+
+
+def test_other_characters_are_all_but_the_kept(spark):
+    """Every code point (but U+FEFF, which the decoder takes for a mark), against the negated class of H5."""
+    points = spark.range(1, 0x110000).filter("id not between 55296 and 57343 and id != 65279")
+    char = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    rows = points.select(F.concat(F.lit("a"), char, F.lit("b")).alias("c"))
+    for hyphens in (True, False):
+        for marks in (True, False):
+            keep = "a-zA-ZÀ-ÿ0-9" + (r"\-" if hyphens else "") + ("'" if marks else "")
+            wanted = F.regexp_replace("c", f"[^{keep}]+", " ")
+            got = T.remove_non_alphanumeric("c", keep_hyphens=hyphens, keep_apostrophes=marks)
+            assert rows.filter(got != wanted).count() == 0
+    assert rows.filter(T.remove_non_alphanumeric("c") != "a b").count() == 26 + 26 + 64 + 10 + 2
