@@ -7,7 +7,7 @@ from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from itinera.llm.common import components, lookup_join, once_per_worker, set_apart, shingle_hashes, text_or_empty, word_hashes
@@ -19,6 +19,8 @@ WIDTH, PERCENT = 4, 85
 COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: Most shared prefix tokens that a document may ask for (a choice of plan: any value gives the same links).
 MOST_SHARED = 8
+#: Tokens before a posting that are compared so that a pair is not met again at each token it shares (a choice of plan as well).
+BEFORE = 16
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -215,7 +217,7 @@ class _Verifier:
 
     def links(self, pairs: DataFrame, name: str) -> DataFrame:
         """Pairs (a, b) that are similar; a class's text is read once for all its pairs."""
-        pairs, seen = self.store.write(pairs, f"{name}-pairs", n=F.count(F.lit(1)))
+        pairs, _ = self.store.write(pairs, f"{name}-pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.reps.select("cls", "key"), "cls")
         wanted, counted = self.store.write(wanted, f"{name}-wanted", n=F.count(F.lit(1)))
         held = lookup_join(self.texts, wanted, ["key"], "inner", counted["n"]).dropDuplicates(["cls"]).select("cls", "text")
@@ -223,7 +225,43 @@ class _Verifier:
         side = lambda c: held.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}"))
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
         width, percent = self.width, self.percent
-        return self.store.write(both.mapInArrow(lambda x: _verify(x, width, percent), "a bigint, b bigint"), f"{name}-links")[0]
+        links, _ = self.store.write(both.mapInArrow(lambda x: _verify(x, width, percent), "a bigint, b bigint"), f"{name}-links")
+        for table in ("pairs", "wanted", "texts"):
+            self.store.drop(f"{name}-{table}")
+        return links
+
+
+def _across(postings: DataFrame, joined: DataFrame, store: TableStore) -> DataFrame:
+    """Postings (token, cls, n, k, part, main) of tokens that several components share; ``main`` has most classes of a token."""
+    part = postings.join(joined.withColumnRenamed("node", "cls"), "cls", "left") \
+        .select("token", "cls", "n", "k", F.coalesce("component", "cls").alias("part"))
+    part, _ = store.write(part, "parts")
+    size = part.groupBy("token", "part").agg(F.count(F.lit(1)).alias("size"))
+    mixed = size.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "part")).alias("m")) \
+        .filter("parts > 1").select("token", F.col("m.part").alias("main"))
+    across, _ = store.write(part.join(mixed, "token"), "across")
+    store.drop("parts")
+    return across
+
+
+def _placed(split: DataFrame) -> DataFrame:
+    """Postings with the tokens ``before`` them in their class, ``BEFORE`` at the most."""
+    order = Window.partitionBy("cls").orderBy("token").rowsBetween(-BEFORE, -1)
+    return split.withColumn("before", F.collect_list("token").over(order))
+
+
+def _met(split: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components that share a token and fit, of placed postings with bitmaps.
+
+    A pair meets at the first token it shares, and at others only where none of
+    the last ones before is shared, so that pairs do not multiply by their tokens.
+    """
+    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("cls", "n", "part", "before", *_BITS)]
+    one = split.filter("part != main").select("token", *side("a"))
+    two = split.select("token", *side("b"), (F.col("part") != F.col("main")).alias("minor"))
+    met = one.join(two, "token").filter((F.col("part_a") != F.col("part_b")) & (~F.col("minor") | (F.col("cls_a") < F.col("cls_b")))
+                                        & _fits("a", "b", percent) & ~F.arrays_overlap("before_a", "before_b"))
+    return met.select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
 
 
 def _linked(docs: DataFrame, store: TableStore, id_column: str, text_column: str, width: int, percent: int) -> DataFrame:
@@ -253,24 +291,15 @@ def _linked(docs: DataFrame, store: TableStore, id_column: str, text_column: str
              .select(F.col("cls").alias("a"), F.col("m.leader").alias("b")))
     votes = votes.join(marks("a"), "a").join(marks("b"), "b").filter(_fits("a", "b", percent)).select("a", "b")
     near = verifier.links(votes, "leaders")
-    joined = components(near, store, "leaders")
+    split = _across(postings, components(near, store, "leaders"), store)
 
-    part = postings.join(joined.withColumnRenamed("node", "cls"), "cls", "left") \
-        .select("token", "cls", "n", "k", F.coalesce("component", "cls").alias("part"))
-    part, _ = store.write(part, "parts")
-    size = part.groupBy("token", "part").agg(F.count(F.lit(1)).alias("size"))
-    mixed = size.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "part")).alias("m")) \
-        .filter("parts > 1").select("token", F.col("m.part").alias("main"))
-    split, _ = store.write(part.join(mixed, "token").join(reps.drop("key", "n"), "cls"), "mixed")
-    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("cls", "n", "k", "part", *_BITS)]
-    one = split.filter("part != main").select("token", *side("a"))
-    two = split.select("token", *side("b"), (F.col("part") != F.col("main")).alias("minor"))
-    met = one.join(two, "token").filter((F.col("part_a") != F.col("part_b")) & (~F.col("minor") | (F.col("cls_a") < F.col("cls_b")))
-                                        & _fits("a", "b", percent))
+    split, _ = store.write(_placed(split).join(reps.drop("key", "n"), "cls"), "mixed")
+    pairs, _ = store.write(_met(split, percent).distinct(), "met")
+    tokens, _ = store.write(split.groupBy("cls").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"), F.first("k").alias("k")), "tokens")
+    held = lambda c: tokens.select(*[F.col(x).alias(c if x == "cls" else f"{x}_{c}") for x in tokens.columns])
+    votes = F.size(F.array_intersect("tokens_a", "tokens_b"))
     need = _enough(F.col("n_a"), F.col("k_a"), F.col("n_b"), F.col("k_b"), percent)
-    pairs = (met.groupBy(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"))
-             .agg(F.count(F.lit(1)).alias("votes"), F.first(need).alias("need")).filter("votes >= need"))
-    far = verifier.links(pairs.select("a", "b"), "others")
+    far = verifier.links(pairs.join(held("a"), "a").join(held("b"), "b").filter(votes >= need).select("a", "b"), "others")
 
     whole = components(near.unionByName(far), store, "all").select(F.col("node").alias("cls"), "component")
     named = sized.join(whole, "cls", "left").select("doc_id", "key", "n_shingles", F.coalesce("component", "cls").alias("component"))

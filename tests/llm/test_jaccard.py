@@ -136,3 +136,15 @@ def test_components(spark):
         up[y] = x
     assert got == {x: root(x) for x in up if any(x in e and e[0] != e[1] for e in edges)}
     assert common.components(spark.createDataFrame([], "a bigint, b bigint"), TableStore(spark, "t"), "t").count() == 0
+
+
+def test_pairs_meet_once_not_at_each_shared_token(spark):
+    rng = random.Random(8)
+    tokens = {c: sorted(rng.sample(range(60), 40)) for c in range(30)}
+    bits = ", ".join(f"{b} bigint" for b in jaccard._BITS)
+    rows = [(t, c, 100, 1, c // 3, 0, *[0] * jaccard.WORDS) for c, ts in tokens.items() for t in ts]
+    split = spark.createDataFrame(rows, f"token bigint, cls bigint, n int, k int, part bigint, main bigint, {bits}")
+    got = [tuple(r) for r in jaccard._met(jaccard._placed(split), 85).collect()]
+    want = {(a, b) for a in tokens for b in tokens if a < b and a // 3 != b // 3 and set(tokens[a]) & set(tokens[b])}
+    assert set(got) == want
+    assert len(got) < 1.1 * len(want)
