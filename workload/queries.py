@@ -934,9 +934,13 @@ def _folder(spark, label: str) -> str:
     return TableStore(spark, label).path
 
 
+#: Most rows of a CSV file or so; it is one task's work.
+_FILE_ROWS = 500_000
+
+
 def _csv(df: DataFrame, path: str) -> str:
-    """Several CSV files with a header each."""
-    df.repartition(3).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "") \
+    """Several CSV files with a header each, as many as the counted rows need."""
+    df.repartition(max(3, -(-df.count() // _FILE_ROWS))).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "") \
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     return path
 
