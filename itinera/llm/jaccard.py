@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections import OrderedDict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,9 @@ COUNTERS, CHUNK = 1 << 20, 1 << 14
 MOST_SHARED = 8
 #: Tokens before a posting that are compared so that a pair is not met again at each token it shares (a choice of plan as well).
 BEFORE = 16
+#: Postings before one that it is compared with by bitmap in a round of contraction, most of a token that one task deals in,
+#: pairs of a class that a round checks, share of its classes that a round must link for another, most rounds (choices of plan, too).
+AHEAD, HELD, CLOSEST, WORTH, ROUNDS = 64, 4096, 3, 0.01, 4
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -231,17 +235,87 @@ class _Verifier:
         return links
 
 
-def _across(postings: DataFrame, joined: DataFrame, store: TableStore) -> DataFrame:
-    """Postings (token, cls, n, k, part, main) of tokens that several components share; ``main`` has most classes of a token."""
-    part = postings.join(joined.withColumnRenamed("node", "cls"), "cls", "left") \
-        .select("token", "cls", "n", "k", F.coalesce("component", "cls").alias("part"))
-    part, _ = store.write(part, "parts")
-    size = part.groupBy("token", "part").agg(F.count(F.lit(1)).alias("size"))
-    mixed = size.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "part")).alias("m")) \
-        .filter("parts > 1").select("token", F.col("m.part").alias("main"))
-    across, _ = store.write(part.join(mixed, "token"), "across")
-    store.drop("parts")
-    return across
+def _across(parts: DataFrame, store: TableStore, name: str) -> DataFrame:
+    """Of postings (token, cls, n, k, part) those of tokens that several components share; ``main`` has most of a token's ``total``."""
+    size = parts.groupBy("token", "part").agg(F.count(F.lit(1)).alias("size"))
+    mixed = size.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "part")).alias("m"), F.sum("size").alias("total")) \
+        .filter("parts > 1").select("token", F.col("m.part").alias("main"), "total")
+    return store.write(parts.join(mixed, "token"), name)[0]
+
+
+def _closest(batches, percent: int):
+    """Of rows sorted by token: each row's closest one by bitmap of those ``AHEAD`` before it that is of another component and fits.
+
+    That many rows are held back from batch to batch.
+    """
+    held, names = None, ["a", "b", "apart"]
+    for batch in batches:
+        cols, old = [c.to_numpy(zero_copy_only=False) for c in batch.columns], 0
+        if held is not None:
+            old = len(held[0])
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
+        (token, salt, cls, part, n), bits = cols[:5], np.column_stack(cols[5:]).view(np.uint64)
+        best, at = np.full(len(token), 64 * WORDS + 1), np.arange(len(token))
+        for k in range(1, min(AHEAD, len(token) - 1) + 1):
+            i = np.arange(max(old, k), len(token))
+            i = i[(token[i] == token[i - k]) & (salt[i] == salt[i - k])]
+            if not len(i):
+                break
+            i = i[part[i] != part[i - k]]
+            x, y = n[i].astype(np.int64), n[i - k].astype(np.int64)
+            apart = np.bitwise_count(bits[i] ^ bits[i - k]).sum(axis=1, dtype=np.int64)
+            good = (x * percent <= y * 100) & (y * percent <= x * 100) & (apart * (100 + percent) <= (x + y) * (100 - percent)) & (apart < best[i])
+            best[i[good]], at[i[good]] = apart[good], i[good] - k
+        found = np.flatnonzero(at != np.arange(len(at)))
+        yield pa.RecordBatch.from_arrays([pa.array(cls[found]), pa.array(cls[at[found]]), pa.array(best[found].astype(np.int32))], names)
+        held = [c[-AHEAD:] for c in cols]
+
+
+def _agreeing(pairs: DataFrame, split: DataFrame, store: TableStore, percent: int, name: str) -> DataFrame:
+    """Of pairs (a, b, ...) of classes of different components those that share enough prefix tokens."""
+    tokens, _ = store.write(split.groupBy("cls").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"), F.first("k").alias("k")), name)
+    held = lambda c: tokens.select(*[F.col(x).alias(c if x == "cls" else f"{x}_{c}") for x in tokens.columns])
+    votes = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    need = _enough(F.col("n_a"), F.col("k_a"), F.col("n_b"), F.col("k_b"), percent)
+    return pairs.join(held("a"), "a").join(held("b"), "b").filter(votes >= need).select(*pairs.columns)
+
+
+def _candidates(split: DataFrame, k: int, store: TableStore, percent: int) -> DataFrame:
+    """A few pairs (a, b) for each class, close by bitmap and of different components; round ``k`` looks at others than the last."""
+    salt = F.pmod(F.xxhash64("cls", F.lit(k)), F.ceil(F.col("total") / HELD)).cast("int").alias("salt")
+    rows = split.select("token", salt, "cls", "part", "n", *_BITS, F.xxhash64("cls", "token", F.lit(k)).alias("o"))
+    found = (rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "o").drop("o")
+             .mapInArrow(lambda b: _closest(b, percent), "a bigint, b bigint, apart int"))
+    found, _ = store.write(found.distinct(), f"found-{k}")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("apart", "b"))
+    few = _agreeing(found, split, store, percent, f"tokens-{k}").withColumn("_r", rank).filter(F.col("_r") <= CLOSEST)
+    return few.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _contracted(split: DataFrame, verifier: _Verifier, store: TableStore, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Postings whose components are linked as far as a few close pairs of each class do, and those links.
+
+    Where a token's first class is an outlying copy, the others of its group are
+    still apart; met by their tokens they would make all pairs of the group.
+    """
+    found = []
+    for k in range(ROUNDS):
+        links = verifier.links(_candidates(split, k, store, percent), f"round-{k}")
+        found.append(links)
+        size = links.count()
+        if not size:
+            break
+        named = split.select("cls", "part").distinct()
+        side = lambda c: named.select(F.col("cls").alias(c), F.col("part").alias(f"part_{c}"))
+        edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
+        joined = components(edges, store, f"round-{k}").withColumnRenamed("node", "part")
+        moved = split.drop("main", "total").join(joined, "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
+        classes = named.count()
+        split = _across(moved, store, f"across-{k + 1}")
+        store.drop(f"across-{k}")
+        if size <= WORTH * classes:
+            break
+    return split, found
 
 
 def _placed(split: DataFrame) -> DataFrame:
@@ -291,17 +365,18 @@ def _linked(docs: DataFrame, store: TableStore, id_column: str, text_column: str
              .select(F.col("cls").alias("a"), F.col("m.leader").alias("b")))
     votes = votes.join(marks("a"), "a").join(marks("b"), "b").filter(_fits("a", "b", percent)).select("a", "b")
     near = verifier.links(votes, "leaders")
-    split = _across(postings, components(near, store, "leaders"), store)
-
-    split, _ = store.write(_placed(split).join(reps.drop("key", "n"), "cls"), "mixed")
+    joined = components(near, store, "leaders").withColumnRenamed("node", "cls")
+    parts = postings.join(joined, "cls", "left").select("token", "cls", "n", "k", F.coalesce("component", "cls").alias("part"))
+    parts, _ = store.write(parts, "parts")
+    split = _across(parts, store, "shared")
+    split, _ = store.write(split.join(reps.drop("key", "n"), "cls"), "across-0")
+    split, linked = _contracted(split, verifier, store, percent)
+
+    split, _ = store.write(_placed(split), "mixed")
     pairs, _ = store.write(_met(split, percent).distinct(), "met")
-    tokens, _ = store.write(split.groupBy("cls").agg(F.collect_list("token").alias("tokens"), F.first("n").alias("n"), F.first("k").alias("k")), "tokens")
-    held = lambda c: tokens.select(*[F.col(x).alias(c if x == "cls" else f"{x}_{c}") for x in tokens.columns])
-    votes = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    need = _enough(F.col("n_a"), F.col("k_a"), F.col("n_b"), F.col("k_b"), percent)
-    far = verifier.links(pairs.join(held("a"), "a").join(held("b"), "b").filter(votes >= need).select("a", "b"), "others")
+    far = verifier.links(_agreeing(pairs, split, store, percent, "tokens"), "others")
 
-    whole = components(near.unionByName(far), store, "all").select(F.col("node").alias("cls"), "component")
+    whole = components(reduce(DataFrame.unionByName, [near, *linked, far]), store, "all").select(F.col("node").alias("cls"), "component")
     named = sized.join(whole, "cls", "left").select("doc_id", "key", "n_shingles", F.coalesce("component", "cls").alias("component"))
     named, _ = store.write(named, "named")
     return named
@@ -316,7 +391,8 @@ def jaccard_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str
     the whole corpus; each class keeps a prefix whose length follows its
     estimated candidate cost, and a longer prefix asks for more shared tokens.
     First every class is checked against one leader, the first class of the
-    tokens it shares most; linked classes then count as one, and each pair of
+    tokens it shares most, then in rounds against a few of its closest by
+    bitmap; linked classes then count as one, and each pair of
     classes of different components is checked if it shares enough prefix
     tokens and if sizes and parity bitmaps, which never differ more than the
     sets, allow the similarity. So a large group of near copies costs about one check for each

@@ -148,3 +148,32 @@ def test_pairs_meet_once_not_at_each_shared_token(spark):
     want = {(a, b) for a in tokens for b in tokens if a < b and a // 3 != b // 3 and set(tokens[a]) & set(tokens[b])}
     assert set(got) == want
     assert len(got) < 1.1 * len(want)
+
+
+def test_group_whose_first_class_is_an_outlying_copy_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(160)]
+
+    def copy(edits, places):
+        text = list(base)
+        for place in rng.sample(places, edits):
+            text[place] = f"x{rng.random()}"
+        return " ".join(text)
+
+    one = lambda t: jaccard._class(jaccard.shingle_set(t.encode(), 4))
+    copies = [copy(1, range(160)) for _ in range(400)]
+    first = min(map(one, copies))
+    outlying = next(t for t in iter(lambda: copy(3, range(160)), None) if one(t) < first)
+    met = {}
+    write = TableStore.write
+
+    def counted(self, df, name, **counters):
+        out = write(self, df, name, **counters)
+        met[name] = out[0].count() if name.endswith(("pairs", "links")) or name == "met" else 0
+        return out
+
+    monkeypatch.setattr(TableStore, "write", counted)
+    texts = [*copies, outlying]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert found(docs) == brute(list(range(len(texts))), texts)
+    assert met["leaders-links"] < 100 and met["met"] < 100 and sum(v for k, v in met.items() if k.endswith("pairs")) < 10 * len(texts)
