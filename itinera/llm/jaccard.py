@@ -237,10 +237,13 @@ class _Verifier:
 
 def _across(parts: DataFrame, store: TableStore, name: str) -> DataFrame:
     """Of postings (token, cls, n, k, part) those of tokens that several components share; ``main`` has most of a token's ``total``."""
+    parts, _ = store.write(parts, f"{name}-parts")
     size = parts.groupBy("token", "part").agg(F.count(F.lit(1)).alias("size"))
     mixed = size.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "part")).alias("m"), F.sum("size").alias("total")) \
         .filter("parts > 1").select("token", F.col("m.part").alias("main"), "total")
-    return store.write(parts.join(mixed, "token"), name)[0]
+    across, _ = store.write(parts.join(mixed, "token"), name)
+    store.drop(f"{name}-parts")
+    return across
 
 
 def _closest(batches, percent: int):
@@ -297,24 +300,33 @@ def _contracted(split: DataFrame, verifier: _Verifier, store: TableStore, percen
 
     Where a token's first class is an outlying copy, the others of its group are
     still apart; met by their tokens they would make all pairs of the group.
+    Later rounds go on with the classes that had such pairs.
     """
-    found = []
+    found, steps, work = [], [], split
     for k in range(ROUNDS):
-        links = verifier.links(_candidates(split, k, store, percent), f"round-{k}")
-        found.append(links)
+        close, _ = store.write(_candidates(work, k, store, percent), f"close-{k}")
+        links = verifier.links(close, f"round-{k}")
         size = links.count()
         if not size:
             break
-        named = split.select("cls", "part").distinct()
-        side = lambda c: named.select(F.col("cls").alias(c), F.col("part").alias(f"part_{c}"))
+        named, seen = store.write(work.select("cls", "part").distinct(), f"parts-{k}", n=F.count(F.lit(1)))
+        side = lambda c: named.select(F.col("cls").alias(c), F.col("part").alias(f"part_{c}"))  # noqa: B023, E731
         edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))
-        joined = components(edges, store, f"round-{k}").withColumnRenamed("node", "part")
-        moved = split.drop("main", "total").join(joined, "part", "left").withColumn("part", F.coalesce("component", "part")).drop("component")
-        classes = named.count()
-        split = _across(moved, store, f"across-{k + 1}")
-        store.drop(f"across-{k}")
-        if size <= WORTH * classes:
+        found.append(links)
+        steps.append(components(edges, store, f"round-{k}"))
+        if size <= WORTH * seen["n"]:
             break
+        alive = close.select(F.col("a").alias("cls")).union(close.select("b")).distinct()
+        work = work.drop("main", "total").join(alive, "cls", "left_semi").join(steps[-1].withColumnRenamed("node", "part"), "part", "left")
+        work = _across(work.withColumn("part", F.coalesce("component", "part")).drop("component"), store, f"alive-{k + 1}")
+    if not steps:
+        return split, found
+    moved = split.select("part", F.col("part").alias("node")).distinct()
+    for step in steps:
+        moved = moved.join(step, "node", "left").select("part", F.coalesce("component", "node").alias("node"))
+    moved, _ = store.write(moved.filter("part != node"), "moved")
+    split = split.drop("main", "total").join(moved, "part", "left").withColumn("part", F.coalesce("node", "part")).drop("node")
+    split = _across(split, store, "contracted")
     return split, found
 
 
@@ -367,7 +379,6 @@ def _linked(docs: DataFrame, store: TableStore, id_column: str, text_column: str
     near = verifier.links(votes, "leaders")
     joined = components(near, store, "leaders").withColumnRenamed("node", "cls")
     parts = postings.join(joined, "cls", "left").select("token", "cls", "n", "k", F.coalesce("component", "cls").alias("part"))
-    parts, _ = store.write(parts, "parts")
     split = _across(parts, store, "shared")
     split, _ = store.write(split.join(reps.drop("key", "n"), "cls"), "across-0")
     split, linked = _contracted(split, verifier, store, percent)
